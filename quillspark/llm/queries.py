@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, fingerprint, sharding, token_files, warc
+from quillspark.llm import bpe, fingerprint, near_dup, sharding, token_files, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -58,5 +58,9 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_warc(manifest, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_token_files, op4_sharding, op7_fingerprints, op9_warc)}
+def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, folder, "documents"), words=2)
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_token_files, op4_sharding, op7_fingerprints, op9_warc, op10_near_duplicates)}
 SQL: dict[str, str] = {}
