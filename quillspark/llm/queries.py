@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, fingerprint, near_dup, sharding, token_files, warc
+from quillspark.llm import bpe, decontaminate, fingerprint, line_dedup, near_dup, sharding, token_files, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, item_id, similarity and start of each benchmark item that a document has a window of."""
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = bpe.decode(bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), path).drop("text"), path)
@@ -53,6 +58,12 @@ def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_lines (not blank), n_removed and the digest of what is left of each text."""
+    rows = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     manifest = warc.write_warc(table(spark, folder, "pages"))
     return warc.read_warc(manifest, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -62,5 +73,5 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, folder, "documents"), words=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_token_files, op4_sharding, op7_fingerprints, op9_warc, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_token_files, op4_sharding, op7_fingerprints, op8_line_dedup, op9_warc, op10_near_duplicates)}
 SQL: dict[str, str] = {}
