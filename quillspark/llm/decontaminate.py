@@ -43,10 +43,14 @@ def word_hashes(text: Column) -> Column:
 
 
 def with_terms(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """key and the array ``terms`` of each row whose text has words."""
+    """key and the array ``terms`` of each row; a text without words has one term, the hash of nothing.
+
+    The array of word hashes is a column of its own. No filter may be derived from ``terms`` below it: Catalyst would put
+    the hashing of the whole text into the lambda, once a word. Outer generators derive none.
+    """
     h = F.col("h")
     runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - words, F.lit(0))), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(words))))
-    return df.select(key, word_hashes(F.col(text)).alias("h")).where(F.size(h) > 0).select(key, runs.alias("terms"))
+    return df.select(key, word_hashes(F.col(text)).alias("h")).select(key, runs.alias("terms"))
 
 
 def simhash(rows: DataFrame, keys: list[str], terms: str, name: str) -> DataFrame:
@@ -76,13 +80,13 @@ def numbered(found: Column) -> Column:
 
 def contaminated(docs: DataFrame, items: DataFrame, words: int = WORDS, similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, similarity (of the most similar window) and start (its first word, from 0; the earliest of equals)."""
-    bench = staged(with_terms(items.dropDuplicates(["item_id", "text"]), "item_id", "text", words).withColumn("n", F.size("terms")).withColumn("item", F.xxhash64("item_id", "terms")), "items")
-    places = bench.select("item", "n", F.explode(F.array_distinct("terms")).alias("term"))
+    bench = staged(with_terms(items.where(F.size(word_hashes(F.col("text"))) > 0).dropDuplicates(["item_id", "text"]), "item_id", "text", words).withColumn("n", F.size("terms")).withColumn("item", F.xxhash64("item_id", "terms")), "items")
+    places = bench.select("item", "n", F.explode("terms").alias("term")).distinct()
     n_items, n_places = bench.count(), places.count()
     texts = docs.select(F.col("doc_id").alias("doc"), "text")
 
     # 1. where documents have terms of items
-    rows = with_terms(texts, "doc", "text", words).select("doc", F.size("terms").alias("size"), F.posexplode("terms").alias("pos", "term"))
+    rows = with_terms(texts, "doc", "text", words).select("doc", F.size("terms").alias("size"), F.posexplode_outer("terms").alias("pos", "term"))
     hits = staged(rows.join(bounded(places, n_places), "term").select("doc", "size", "item", "n", "pos").distinct(), "hits")
 
     # 2. windows with enough of them: the last of so many places, counted from the first, lies in the window too
