@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, decontaminate, fingerprint, line_dedup, near_dup, sharding, token_files, warc
+from quillspark.llm import bpe, decontaminate, fingerprint, line_dedup, near_dup, repeats, sharding, token_files, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    rows = repeats.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     rows = fingerprint.with_edited(docs).withColumn("text_hash", F.xxhash64("text"))
@@ -73,5 +78,5 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, folder, "documents"), words=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_token_files, op4_sharding, op7_fingerprints, op8_line_dedup, op9_warc, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_token_files, op4_sharding, op6_suffix_repeats, op7_fingerprints, op8_line_dedup, op9_warc, op10_near_duplicates)}
 SQL: dict[str, str] = {}
