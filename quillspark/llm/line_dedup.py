@@ -30,16 +30,18 @@ from quillspark.llm.cluster import staged
 from quillspark.llm.shingles import WordHashes, mixed
 
 LEAST_WORDS = 5
+BLANK = " \t\x0b\x0c\r"
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
-_GROWN = [np.ones(1, np.uint64)]
+_GROWN = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> np.ndarray:
-    while len(_GROWN[0]) < n:
-        last = _GROWN[0]
-        _GROWN[0] = np.concatenate([last, last * np.uint64(pow(_BASE, len(last), 1 << 64))])
-    return _GROWN[0][:n]
+def _powers(n: int, inverse: bool = False) -> np.ndarray:
+    base = int(_INVERSE) if inverse else _BASE
+    while len(_GROWN[inverse]) < n:
+        last = _GROWN[inverse]
+        _GROWN[inverse] = np.concatenate([last, last * np.uint64(pow(base, len(last), 1 << 64))])
+    return _GROWN[inverse][:n]
 
 
 def _sums(h: np.ndarray) -> np.ndarray:
@@ -51,27 +53,29 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def sequence_hash(sums: np.ndarray, n: int) -> np.ndarray:
-    return mixed(sums + np.uint64(n * 0xD6E8FEB86659FD93 % (1 << 64)))
+def sequence_hash(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return mixed(sums + n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def line_keys(h: np.ndarray) -> tuple[int, list[int]]:
-    """The hash of a line and its half keys: (side, number of words of the shorter line, half)."""
-    n, s = len(h), _sums(h)
-    keys = np.empty(4, np.uint64)
-    for i, m in enumerate((n, n - 1)):
-        k = m // 2
-        tail = (s[n:] - s[n - k : n - k + 1]) * np.uint64(pow(int(_INVERSE), n - k, 1 << 64))
-        keys[2 * i : 2 * i + 1] = s[k : k + 1] + np.uint64(2 * m)
-        keys[2 * i + 1 :][:1] = tail + np.uint64(2 * m + 1)
-    return int(_signed(sequence_hash(s[n:], n))[0]), _signed(mixed(keys)).tolist()
+def line_keys(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lines whose words' hashes follow each other in ``h``: the hash of each line, and its four half keys, which hold the
+    side, the number of words of the shorter line, and the half."""
+    starts = np.r_[0, ends[:-1]]
+    sums, back = _sums(h), _powers(len(h) + 1, inverse=True)
+    part = lambda i, j: (sums[j] - sums[i]) * back[i]
+    keys = np.empty((len(ends), 4), np.uint64)
+    for i, m in enumerate((ends - starts, ends - starts - 1)):
+        tag = (2 * m).astype(np.uint64)
+        keys[:, 2 * i] = part(starts, starts + m // 2) + tag
+        keys[:, 2 * i + 1] = part(ends - m // 2, ends) + tag + np.uint64(1)
+    return _signed(sequence_hash(part(starts, ends), ends - starts)), _signed(mixed(keys))
 
 
 def variants(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys and deleted places: the line itself (-1), then the line without each of its words."""
     n, s = len(h), _sums(h)
     without = s[:n] + (s[n:] - s[1:]) * _INVERSE
-    return np.concatenate([_signed(sequence_hash(s[n:], n)), _signed(sequence_hash(without, n - 1))]), np.arange(-1, n, dtype=np.int32)
+    return np.concatenate([_signed(sequence_hash(s[n:], np.array([n]))), _signed(sequence_hash(without, np.array([n - 1])))]), np.arange(-1, n, dtype=np.int32)
 
 
 def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
@@ -96,16 +100,26 @@ def lines_of(docs: DataFrame, least_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                for i, line in enumerate(text.split("\n") if text else []):
-                    words = _words(line)
-                    if words:
-                        h, halves = line_keys(known.of(words))
-                        for column, x in zip(out, (k, i, h, len(words), halves if len(words) >= least_words else None)):
-                            column.append(x)
-            rows = pa.array(out[0], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.list_(pa.int64()))], names)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                rows, places, words, counts = [], [], [], []
+                for k, text in enumerate(part.column(1).to_pylist()):
+                    for i, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n") if text else []):
+                        found = line.split()
+                        if found:
+                            words += found
+                            rows.append(k)
+                            places.append(i)
+                            counts.append(len(found))
+                if not rows:
+                    continue
+                n = np.array(counts)
+                h, halves = line_keys(known.of(words), np.cumsum(n))
+                full = n >= least_words
+                offsets = pa.array(np.r_[0, np.cumsum(4 * full)].astype(np.int32), mask=np.r_[~full, False])
+                rows = pa.array(rows, pa.int32())
+                halves = pa.ListArray.from_arrays(offsets, pa.array(halves[full].ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(2).take(rows), pa.array(places, pa.int32()), pa.array(h), pa.array(n.astype(np.int32)), halves], names)
 
     names = ["doc_id", "t", "line", "h", "n", "halves"]
     kind = dict(docs.dtypes)["doc_id"]
@@ -175,7 +189,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
             texts, counts, removed = [], [], []
             for text, keep in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
                 lines, keep = text.split("\n") if text is not None else [], set(keep or ())
-                full = [bool(_words(x)) for x in lines]
+                full = [x.strip(BLANK) != "" for x in lines]
                 texts.append(None if text is None else "\n".join([x for i, (x, f) in enumerate(zip(lines, full)) if not f or i in keep]))
                 counts.append(sum(full))
                 removed.append(sum(f and i not in keep for i, f in enumerate(full)))
