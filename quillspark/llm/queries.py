@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, decontaminate, fingerprint, line_dedup, near_dup, repeats, sharding, token_files, warc
+from quillspark.llm import bpe, decontaminate, fingerprint, lang_id, line_dedup, near_dup, repeats, sharding, token_files, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,6 +39,17 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def held_out(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+
+
+def op5_lang_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = lang_id.train(docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))))
+    rows = lang_id.predict(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op6_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
     rows = repeats.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -78,5 +89,5 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, folder, "documents"), words=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_token_files, op4_sharding, op6_suffix_repeats, op7_fingerprints, op8_line_dedup, op9_warc, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_token_files, op4_sharding, op5_lang_id, op6_suffix_repeats, op7_fingerprints, op8_line_dedup, op9_warc, op10_near_duplicates)}
 SQL: dict[str, str] = {}
