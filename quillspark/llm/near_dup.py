@@ -9,8 +9,8 @@ as deep as it takes. Candidates are confirmed on the full sets, so links are exa
 by all 28 trees with a probability of 1.5e-5, if no other path joins it.
 
 Defined results: texts that are null, empty or blank have no shingles and are linked with nothing; texts may be of any
-length; repeated rows are in one component; rows with a null id are linked by their texts, but only ids count for the
-smallest id, and they are never kept beside an id; an empty table gives an empty table; only id and text are read.
+length; repeated rows are in one component; a text that only rows with a null id have is linked with
+equal texts only, and its component_id is null; an empty table gives an empty table; only id and text are read.
 """
 
 from __future__ import annotations
@@ -29,9 +29,11 @@ from quillspark.llm.shingles import WordHashes, shingle_set
 
 TREES, DEPTH, LEAST_DEPTH = 28, 8, 5
 #: Trees whose neighbours are the candidates of the first round; sets that a region holds before it is cut.
-FIRST_TREES, REGION = 6, 4096
+FIRST_TREES, REGION = 3, 4096
 #: Estimated similarity below the threshold at which a candidate of the second round is dropped: six standard errors.
 SLACK = 6.0
+#: Sets to be looked up in the documents up to which their list is broadcast (16 bytes each); beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
 
 _FACTORS = np.random.default_rng(20).integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -110,14 +112,17 @@ def neighbours(rows: DataFrame, least_depth: int) -> DataFrame:
     return found.where("b is not null").select("a", "b").unionByName(ends.mapInArrow(run, schema).where("b is not null").select("a", "b")).distinct()
 
 
-def cross_pairs(rows: DataFrame, least_depth: int, threshold: float) -> DataFrame:
+def cross_pairs(sets: DataFrame, least_depth: int, threshold: float) -> DataFrame:
     """a, b of sets in different components that share ``least_depth`` values or more in a tree.
 
-    ``rows`` has tree, key, node, sig and component. Only regions with several components are shuffled.
+    ``sets`` has node, sig and component. Only numbers are shuffled for all sets; signatures follow for the sets of regions
+    with several components.
     """
-    rows = rows.withColumn("region", F.xxhash64("tree", F.expr(f"substring(key, 1, {2 * least_depth})")))
+    rows = tree_rows(sets, TREES, "component").withColumn("region", F.xxhash64("tree", F.expr(f"substring(key, 1, {2 * least_depth})")))
     mixed = rows.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("region")
-    rows = rows.join(mixed, "region").select("region", "key", "node", "component", "sig").repartition("region").sortWithinPartitions("region", "key", "node")
+    found = staged(rows.select("region", "tree", "node").join(mixed, "region"), "regions")
+    rows = found.join(sets, "node").withColumn("key", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})"))
+    rows = rows.select("region", "key", "node", "component", "sig").repartition("region").sortWithinPartitions("region", "key", "node")
     total = TREES * DEPTH
     least = threshold - SLACK * (threshold * (1 - threshold) / total) ** 0.5
 
@@ -191,11 +196,15 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            found = [shingle_set(t, words, known) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "shingles"])
+            found = [shingle_set(t, words, known).tobytes() for t in batch.column(1).to_pylist()]
+            # of rows that share an id, the one with the set that was asked for
+            own = [xxhash.xxh3_64_intdigest(s) - (1 << 63) == n for s, n in zip(found, batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "shingles"]).filter(pa.array(own, pa.bool_()))
 
-    rows = docs.select("doc_id", "text").join(wanted.select("node", "doc_id"), "doc_id").select("node", "text")
-    return rows.mapInArrow(run, "node long, shingles binary")
+    wanted = staged(wanted.select("node", "doc_id"), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
+    return rows.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, least_depth: int = LEAST_DEPTH) -> DataFrame:
@@ -205,8 +214,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     first = staged(neighbours(tree_rows(sets, FIRST_TREES), least_depth), "pairs")
     links = staged(confirmed(first, _sets_for(docs, sets, first, words), num, den), "links")
     joined = components(links)
-    labelled = sets.join(joined, "node", "left").select("node", "sig", F.coalesce("component", "node").alias("component"))
-    second = staged(cross_pairs(tree_rows(labelled, TREES, "sig", "component"), least_depth, num / den).join(first, ["a", "b"], "left_anti"), "pairs")
+    labelled = staged(sets.join(joined, "node", "left").select("node", "sig", F.coalesce("component", "node").alias("component")), "labelled")
+    second = staged(cross_pairs(labelled, least_depth, num / den).join(first, ["a", "b"], "left_anti"), "pairs")
     more = staged(confirmed(second, _sets_for(docs, sets, second, words), num, den), "links")
     joined = components(links.unionByName(more))
     labels = sets.select("node", "doc_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
