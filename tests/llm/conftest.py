@@ -11,7 +11,7 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
-    session.conf.set("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
+    session.sparkContext.setCheckpointDir(f"file://{tmp_path_factory.mktemp('shared')}")
     return session
 
 
