@@ -14,7 +14,6 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
