@@ -3,9 +3,9 @@
 Every distinct shingle set gets a signature of TREES * DEPTH MinHash values; each run of DEPTH values is the set's key in
 one tree. Spark sorts the keys of all trees. Sets that follow each other in a tree and share a prefix of at least
 ``least_depth`` values are candidates of the first round. Components of confirmed links are formed. In the second round
-every region, the sets of a tree that share such a prefix, is looked at again if it holds several components: all pairs of
-its sets that lie in different components are candidates. A region with too many sets is cut at the next value of the key,
-as deep as it takes. Candidates are confirmed on the full sets, so links are exact; a pair at the threshold of 0.8 is missed
+every region, the sets of a tree that share such a prefix, is looked at again if it holds several components: sets that are
+similar to one of another component are candidates. A region with too many sets is cut at the next value of the key, as deep
+as it takes. Candidates are confirmed on the full sets, so links are exact; a pair at the threshold of 0.8 is missed
 by all 28 trees with a probability of 1.5e-5, if no other path joins it.
 
 Defined results: texts that are null, empty or blank have no shingles and are linked with nothing; texts may be of any
@@ -29,9 +29,7 @@ from quillspark.llm.shingles import WordHashes, shingle_set
 
 TREES, DEPTH, LEAST_DEPTH = 28, 8, 5
 #: Trees whose neighbours are the candidates of the first round; sets that a region holds before it is cut.
-FIRST_TREES, REGION = 3, 4096
-#: Estimated similarity below the threshold at which a candidate of the second round is dropped: six standard errors.
-SLACK = 6.0
+FIRST_TREES, REGION = 3, 8192
 #: Sets to be looked up in the documents up to which their list is broadcast (16 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -112,64 +110,85 @@ def neighbours(rows: DataFrame, least_depth: int) -> DataFrame:
     return found.where("b is not null").select("a", "b").unionByName(ends.mapInArrow(run, schema).where("b is not null").select("a", "b")).distinct()
 
 
-def cross_pairs(sets: DataFrame, least_depth: int, threshold: float) -> DataFrame:
-    """a, b of sets in different components that share ``least_depth`` values or more in a tree.
+def linked_components(docs: DataFrame, sets: DataFrame, words: int, least_depth: int, threshold: float) -> DataFrame:
+    """a, b of similar sets in different components that share ``least_depth`` values or more in a tree: in each region, one
+    pair for components that become one.
 
-    ``sets`` has node, sig and component. Only numbers are shuffled for all sets; signatures follow for the sets of regions
-    with several components.
+    ``sets`` has node, doc_id, sig and component. Regions are found by numbers alone; the sets themselves, as 32-bit hashes,
+    follow only to regions with several components. There a set outside the largest component is compared with all others
+    at once, in one gather over the region's hashes, and no pairs are listed.
     """
     rows = tree_rows(sets, TREES, "component").withColumn("region", F.xxhash64("tree", F.expr(f"substring(key, 1, {2 * least_depth})")))
     mixed = rows.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("region")
     found = staged(rows.select("region", "tree", "node").join(mixed, "region"), "regions")
-    rows = found.join(sets, "node").withColumn("key", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})"))
-    rows = rows.select("region", "key", "node", "component", "sig").repartition("region").sortWithinPartitions("region", "key", "node")
-    total = TREES * DEPTH
-    least = threshold - SLACK * (threshold * (1 - threshold) / total) ** 0.5
+    shingles = _sets_for(docs, sets, found.select("node").distinct(), words)
+    rows = found.join(sets.select("node", "component", "sig"), "node").join(shingles, "node")
+    rows = rows.select("region", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("key"), "node", "component", "shingles")
+    rows = rows.mapInArrow(_halved, "region long, key binary, node long, component long, shingles binary").repartition("region").sortWithinPartitions("region", "key", "node")
 
-    def pairs(key: np.ndarray, node: np.ndarray, group: np.ndarray, sig: np.ndarray, depth: int) -> Iterator[tuple[int, int]]:
+    def links(key: np.ndarray, node: np.ndarray, group: np.ndarray, held: list[np.ndarray], depth: int) -> Iterator[tuple[int, int]]:
         """Of one region whose sets share ``depth`` values."""
-        if (group == group[0]).all():
+        names, group, counts = np.unique(group, return_inverse=True, return_counts=True)
+        if len(names) == 1:
             return
         if len(node) > REGION and depth < DEPTH:
             cut = np.flatnonzero(key[1:, depth] != key[:-1, depth]) + 1
             for part in np.split(np.arange(len(node)), cut):
-                yield from pairs(key[part], node[part], group[part], sig[part], depth + 1)
+                yield from links(key[part], node[part], group[part], [held[i] for i in part], depth + 1)
             return
-        names, counts = np.unique(group, return_counts=True)
-        largest = names[counts.argmax()]
-        for i in np.flatnonzero(group != largest):  # each pair has a set outside the largest component
-            other = np.flatnonzero((group != group[i]) & ((group == largest) | (np.arange(len(node)) > i)))
-            like = (sig[other] == sig[i]).mean(axis=1)
-            for j in other[like >= least]:
-                yield min(node[i], node[j]), max(node[i], node[j])
+        sizes = np.array([len(h) for h in held])
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        known, flat = np.unique(np.concatenate(held), return_inverse=True)
+        mark = np.zeros(len(known), bool)
+        largest = counts.argmax()
+        for i in range(len(node)):
+            if group[i] == largest:
+                continue
+            own = flat[starts[i] : starts[i] + sizes[i]]
+            mark[own] = True
+            shared = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            mark[own] = False
+            like = shared / (sizes + sizes[i] - shared)
+            like[group == group[i]] = 0
+            for j in np.argsort(-like, kind="stable"):
+                if like[j] < threshold - 0.002:
+                    break
+                if group[j] != group[i]:
+                    yield min(node[i], node[j]), max(node[i], node[j])
+                    x, y = (group[i], group[j]) if group[j] == largest else (group[j], group[i])
+                    group[group == x] = y
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
-            node, group = t["node"].to_numpy(), t["component"].to_numpy()
-            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), ">u2").reshape(-1, total)
-            found = list(pairs(_keys(t["key"]), node, group, sig, least_depth))
-            for i in range(0, len(found), 50_000):
-                a, b = zip(*found[i : i + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            one = [np.frombuffer(x, np.uint32) for x in t["shingles"].to_pylist()]
+            found = list(links(_keys(t["key"]), t["node"].to_numpy(), t["component"].to_numpy(), one, least_depth))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
             region = batch.column(0).to_numpy()
             cuts = np.r_[0, np.flatnonzero(region[1:] != region[:-1]) + 1, len(region)]
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if held and held[0].column(0)[0].as_py() != region[i]:
-                    yield from flush()
+                    yield flush()
                     held = []
                 if j > i:
                     held.append(batch.slice(i, j - i))
         if held:
-            yield from flush()
+            yield flush()
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Full sets, in the last column, as their upper 32 bits."""
+    for batch in batches:
+        short = [(np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column(4).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(short, pa.binary())], batch.schema.names)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs with den * (size of intersection) >= num * (size of union). ``sets``: node, shingles (binary)."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -212,11 +231,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     found = staged(features(docs, words), "features")
     sets = staged(found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "sets")
     first = staged(neighbours(tree_rows(sets, FIRST_TREES), least_depth), "pairs")
-    links = staged(confirmed(first, _sets_for(docs, sets, first, words), num, den), "links")
+    links = staged(confirmed(first, _sets_for(docs, sets, _nodes(first), words), num, den), "links")
     joined = components(links)
-    labelled = staged(sets.join(joined, "node", "left").select("node", "sig", F.coalesce("component", "node").alias("component")), "labelled")
-    second = staged(cross_pairs(labelled, least_depth, num / den).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = staged(confirmed(second, _sets_for(docs, sets, second, words), num, den), "links")
+    labelled = staged(sets.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
+    second = staged(linked_components(docs, labelled, words, least_depth, num / den), "pairs")
+    more = staged(confirmed(second, _sets_for(docs, sets, _nodes(second), words), num, den), "links")
     joined = components(links.unionByName(more))
     labels = sets.select("node", "doc_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -225,6 +244,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _sets_for(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def _sets_for(docs: DataFrame, sets: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return staged(sets_of(docs, sets.select("node", "doc_id").join(nodes, "node", "left_semi"), words), "shingles")
