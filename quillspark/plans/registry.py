@@ -2,5 +2,45 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its function's name, with the SQL that DuckDB runs for the same rows."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def views(spark: SparkSession, folder: str, *names: str) -> None:
+    """Temporary views for queries that users give as SQL text."""
+    for name in names:
+        table(spark, folder, name).createOrReplaceTempView(name)
+
+
+def delegated(name: str, tables: str, sql: str, duck: str | None = None) -> None:
+    """Registers a query given as SQL text, which Spark and the oracle run alike."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        views(spark, folder, *tables.split())
+        return spark.sql(sql)
+
+    run.__name__ = name
+    QUERIES[name], SQL[name] = run, duck or sql
+
+
+from quillspark.plans import diff_queries, function_queries, relational_queries, schema_queries, workbench_queries  # noqa: E402, F401
