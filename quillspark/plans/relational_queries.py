@@ -11,7 +11,7 @@ delegated("join_left", "customer orders", "select c_custkey, o_orderkey from cus
 delegated("join_right", "customer orders", "select c_custkey, o_orderkey from customer right join orders on c_custkey = o_custkey and c_acctbal > 0")
 delegated("join_full", "supplier customer", "select s_suppkey, c_custkey from supplier full join customer on s_suppkey = c_custkey and s_nationkey = c_nationkey")
 delegated("join_semi", "customer orders", "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)")
-delegated("join_anti", "customer orders", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+delegated("join_anti", "customer orders", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')")
 delegated("join_theta", "nation region", "select n_nationkey, r_regionkey from nation join region on n_regionkey = r_regionkey and n_nationkey > r_regionkey * 4")
 delegated("join_in_subquery", "part lineitem", "select p_partkey from part where p_partkey in (select l_partkey from lineitem where l_quantity >= 49)")
 delegated("group_having", "lineitem", "select l_returnflag, l_linestatus, count(*) as n, sum(cast(l_quantity as bigint)) as q, min(l_shipdate) as first_ship, max(l_shipdate) as last_ship from lineitem group by l_returnflag, l_linestatus having count(*) > 10")
@@ -23,7 +23,7 @@ delegated("window_frames", "orders", "select o_orderkey, count(*) over (partitio
 delegated("set_union", "customer supplier", "select c_nationkey as k from customer union select s_nationkey from supplier")
 delegated("set_union_all", "customer supplier", "select c_nationkey as k from customer union all select s_nationkey from supplier")
 delegated("set_intersect", "customer supplier", "select c_nationkey as k from customer intersect select s_nationkey from supplier")
-delegated("set_except", "customer orders", "select c_custkey as k from customer except select o_custkey from orders")
+delegated("set_except", "customer orders", "select c_custkey as k from customer except select o_custkey from orders where o_orderstatus = 'P'")
 delegated("cte_query", "orders", "with big as (select o_custkey, count(*) as n from orders group by o_custkey), top as (select * from big where n >= 10) select o_custkey, n from top")
 delegated("scalar_subquery", "customer orders", "select c_custkey, (select count(*) from orders where o_custkey = c_custkey) as n from customer")
 delegated("case_coalesce", "orders", "select o_orderkey, case o_orderstatus when 'F' then 'done' when 'O' then 'open' else 'part' end as s, coalesce(nullif(o_orderpriority, '5-LOW'), 'none') as p, o_custkey between 10 and 20 as b from orders")
