@@ -22,13 +22,33 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Lets Spark delete a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: short lineage that survives lost executors."""
+    """``df`` written as Parquet to the shared folder and read again: short lineage that survives lost executors.
+
+    Once the table is written its shuffle files serve nothing, so they go at once.
+    """
     spark, path = df.sparkSession, fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            fs, path = filesystem(folder)
+            fs.delete_dir(path)
+
+
 def filesystem(uri: str):
     """(file system, path) by pyarrow for a shared URI, so tasks can write files that Spark has no writer for."""
     from pyarrow import fs

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.cluster import staged
+from quillspark.llm.cluster import discard, staged
 from quillspark.llm.shingles import mixed
 
 LENGTH, ANCHOR = 400, 32
@@ -100,57 +100,68 @@ def _contexts(texts: DataFrame, active: DataFrame, length: int) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, step: int, length: int) -> DataFrame:
-    """The rows cut into blocks of ``step`` offsets; o1 to o2 is what the anchor has of a block, context what its strings cover."""
-    names = ["t1", "t2", "anchor", "o1", "o2", "known", "first", "context", "core", "span"]
+    """The blocks of ``step`` offsets in each context, with their hashes: o1 to o2 is what the anchor has of a block, from the
+    context that begins at offset ``of``."""
+    names = ["t1", "t2", "anchor", "of", "o1", "o2", "known", "core", "span"]
+    kinds = [pa.int64()] * 6 + [pa.bool_(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names[:8]}
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("t1", "t2", "anchor", "o1", "o2", "known", "first", "context")]
             out: list[list] = [[] for _ in names]
-            for t1, t2, a, o1, o2, known, first, data in zip(*columns.values()):
+            for t1, t2, a, o1, o2, known, first, data in zip(*columns):
                 for block in range(o1 // step, o2 // step + 1):
                     p, q = max(o1, block * step), min(o2, block * step + step - 1)
-                    start = a - q
-                    piece = data[start - first : a - p + length - first]
-                    tag = (a - start).to_bytes(4, "big") + block.to_bytes(4, "big")
-                    i, j = a - block * step - first, a - (block + 1) * step + 1 + length - first
-                    core = xxhash.xxh3_128_digest(data[i:j] + block.to_bytes(4, "big"))
-                    for column, x in zip(out, (t1, t2, a, p, q, known, start, piece, core, xxhash.xxh3_128_digest(piece + tag))):
+                    tag = block.to_bytes(4, "big")
+                    # what all strings of the whole block share, so within the context whatever part of the block is here
+                    core = xxhash.xxh3_64_intdigest(data[a - block * step - first : a - (block + 1) * step + 1 + length - first] + tag) - (1 << 63)
+                    span = xxhash.xxh3_128_digest(data[a - q - first : a - p + length - first] + q.to_bytes(4, "big") + tag)
+                    for column, x in zip(out, (t1, t2, a, o1, p, q, known, core, span)):
                         column.append(x)
-                if len(out[0]) >= 5_000:
+                if len(out[0]) >= 10_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
                     out = [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
-    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64()] + [pa.binary()] * 3
-    return rows.mapInArrow(run, "t1 long, t2 long, anchor long, o1 long, o2 long, known boolean, first long, context binary, core binary, span binary")
+    return rows.mapInArrow(run, "t1 long, t2 long, anchor long, of long, o1 long, o2 long, known boolean, core long, span binary")
 
 
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """t1, t2 (hashes of a text) and the sorted spans (from, to) of its bytes that lie in repeated strings; spans may overlap."""
     texts = _hashed(docs).select("t1", "t2", "text")
-    rows = staged(_anchor_rows(texts, length), "anchors")
+    every = staged(_anchor_rows(texts, length), "anchors")
 
     # the anchors' runs: those that occur once are dropped, anchors whose span occurs again are done
-    cores = rows.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
-    rows = staged(rows.join(cores, "core"), "anchors")
+    cores = every.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
+    rows = staged(every.join(cores, "core"), "anchors")
+    discard(every)
     spans = rows.groupBy("span").agg(F.count("*").alias("c"), F.min(F.struct("t1", "t2", "anchor", "lo", "hi", "core")).alias("one"))
     again = spans.where("c > 1")
     done = rows.join(again.select("span"), "span").select("t1", "t2", F.col("lo").alias("from"), (F.col("hi") + length).alias("to")).distinct()
     parts = [staged(done, "spans")]
     open_rows = spans.where("c = 1").select("one.*").withColumn("known", F.lit(False))
     sources = again.select("one.*").join(open_rows.select("core").distinct(), "core", "left_semi").withColumn("known", F.lit(True))
-    rows = staged(_contexts(texts, open_rows.unionByName(sources), length), "blocks")
+    contexts = staged(_contexts(texts, open_rows.unionByName(sources), length), "contexts")
+    discard(rows)
 
     for step in STEPS:
-        blocks = staged(_blocks(rows, step, length), "blocks")
+        blocks = staged(_blocks(contexts, step, length), "blocks")
         cores = blocks.groupBy("core").agg(F.count("*").alias("c"), F.min("known").alias("all_known")).where("c > 1 and not all_known").select("core")
-        blocks = blocks.join(cores, "core")
-        spans = blocks.groupBy("span").agg(F.count("*").alias("c"))
-        blocks = staged(blocks.join(spans, "span").withColumn("done", (F.col("c") > 1) | F.lit(step == 1)), "blocks")
-        parts.append(staged(blocks.where("c > 1 and not known").select("t1", "t2", (F.col("anchor") - F.col("o2")).alias("from"), (F.col("anchor") - F.col("o1") + length).alias("to")), "spans"))
-        # what is done still counts as a source for others
-        rows = blocks.select("t1", "t2", "anchor", "o1", "o2", (F.col("known") | (F.col("c") > 1)).alias("known"), "first", "context")
+        kept = staged(blocks.join(cores, "core"), "blocks")
+        discard(blocks)
+        spans = kept.groupBy("span").agg(F.count("*").alias("c")).where("c > 1").select("span", F.lit(True).alias("again"))
+        judged = staged(kept.join(spans, "span", "left").select("t1", "t2", "anchor", "of", "o1", "o2", "known", "core", F.coalesce("again", F.lit(False)).alias("again")), "judged")
+        discard(kept)
+        parts.append(judged.where("again and not known").select("t1", "t2", (F.col("anchor") - F.col("o2")).alias("from"), (F.col("anchor") - F.col("o1") + length).alias("to")))
+        if step > 1:
+            # blocks go on where one of the same core is undecided; those that are decided are sources for it
+            undecided = judged.where("not again and not known").select("core").distinct()
+            blocks = judged.join(undecided, "core", "left_semi").select("t1", "t2", "anchor", F.col("of").alias("o1"), F.col("o1").alias("p"), F.col("o2").alias("q"), (F.col("known") | F.col("again")).alias("done"))
+            start = F.col("anchor") - F.col("q")
+            piece = F.expr(f"substring(context, cast(anchor - q - first + 1 as int), cast(q - p + {length} as int))")
+            smaller = staged(contexts.join(blocks, ["t1", "t2", "anchor", "o1"]).select("t1", "t2", "anchor", F.col("p").alias("o1"), F.col("q").alias("o2"), F.col("done").alias("known"), start.alias("first"), piece.alias("context")), "contexts")
+            discard(contexts)
+            contexts = smaller
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
