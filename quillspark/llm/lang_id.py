@@ -122,15 +122,16 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, keep: float = KEEP)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [counted(t) for t in batch["text"]]
-            yield pd.DataFrame({"rank": batch["rank"], "lang": batch["lang"], "buckets": [b for b, _ in found], "shares": [s for _, s in found]})
+            packed = {"buckets": [b.astype(np.int32).tobytes() for b, _ in found], "shares": [s.astype(np.float32).tobytes() for _, s in found]}
+            yield pd.DataFrame({"rank": batch["rank"], "lang": batch["lang"]} | packed)
 
-    top = picked.withColumn("rank", F.pmod("rank", F.lit(steps))).mapInPandas(run, "rank long, lang string, buckets array<long>, shares array<double>").orderBy("rank").limit(2 * per_language * len(counts))
+    top = picked.withColumn("rank", F.pmod("rank", F.lit(steps))).mapInPandas(run, "rank long, lang string, buckets binary, shares binary").orderBy("rank").limit(2 * per_language * len(counts))
     seen: Counter = Counter()
     examples = []
     for r in top.collect():
         seen[r["lang"]] += 1
         if seen[r["lang"]] <= per_language and r["buckets"]:
-            examples.append((r["lang"], np.array(r["buckets"]), np.array(r["shares"])))
+            examples.append((r["lang"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["shares"], np.float32)))
     return fit(examples, keep=keep) if examples else LanguageModel([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1), 1.0, 0.0)
 
 
