@@ -20,6 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def write_bytes(spark: SparkSession, name: str, data: bytes) -> str:
+    """Writes one small file to a new folder within the shared one, and gives that folder."""
+    from pyarrow import fs
+
+    folder = f"{shared_dir(spark)}/file-{uuid.uuid4().hex}"
+    system, path = fs.FileSystem.from_uri(folder if "://" in folder else "file:///" + folder.removeprefix("file:").lstrip("/"))
+    system.create_dir(path, recursive=True)
+    with system.open_output_stream(f"{path}/{name}", compression=None) as out:
+        out.write(data)
+    return folder
+
+
 def scan(df: DataFrame, where: str | None = None) -> DataFrame:
     """A scan with an optional filter text of one expression, which Catalyst pushes down."""
     condition = sqltext.single_expression(where)
