@@ -17,7 +17,7 @@ def tumbling(rows: DataFrame, time: str, width: str, keys: list[str], late: str
 def sessions(rows: DataFrame, key: str, time: str, order: str, gap_seconds: int) -> DataFrame:
     """Runs of a key's rows with no gap longer than ``gap_seconds``: number, start and size."""
     by = W.partitionBy(key).orderBy(time, order)
-    gap = F.timestamp_diff("SECOND", F.lag(time).over(by), F.col(time)) > gap_seconds
+    gap = F.timestamp_diff("MICROSECOND", F.lag(time).over(by), F.col(time)) > gap_seconds * 1_000_000
     numbered = rows.withColumn("_new", F.coalesce(gap, F.lit(True)).cast("long"))
     numbered = numbered.withColumn("session_no", F.sum("_new").over(by))
     return numbered.groupBy(key, "session_no").agg(F.min(time).alias("session_start"), F.count("*").alias("n"))
