@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.order import next_keys
 
 #: Samples of a fingerprint, and samples that one row of the aggregate draws.
-SAMPLES, RUN = 32, 8
+SAMPLES, RUN = 64, 8
 
 
 def terms_of(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, decontaminate, fingerprint, lang_id, line_dedup, near_dup, repeats, sharding, token_files, warc
+from quillspark.llm.cluster import staged
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -59,7 +60,7 @@ def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     rows = fingerprint.with_edited(docs).withColumn("text_hash", F.xxhash64("text"))
     same = (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")
-    found = fingerprint.fingerprint_pairs(rows, ["doc_id", "text_hash"], "text", "edited", same)
+    found = staged(fingerprint.fingerprint_pairs(rows, ["doc_id", "text_hash"], "text", "edited", same), "fingerprints")
     rows = rows.select("doc_id", "text_hash", "n_chars", "next_id", F.sha2("edited", 256).alias("edited_sha256")).join(found, ["doc_id", "text_hash"])
     first = found.groupBy("doc_id").agg(F.min_by("fingerprint", "text_hash").alias("next_fingerprint")).withColumnRenamed("doc_id", "next_id")
     rows = rows.join(first, "next_id", "left")
