@@ -15,6 +15,7 @@ equal ids are all written; null ids come first; an empty table gives no file and
 from __future__ import annotations
 
 import io
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -48,6 +49,7 @@ class ChunkEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks take the cores
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -58,9 +60,13 @@ class ChunkEncoder:
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    @staticmethod
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode_batch(self, texts: list[str | None], end: int) -> list[bytes]:
         """The ids (unsigned 32-bit, little-endian) of each text, and the end id."""
-        split = [t.translate(BLANKS).split(" ") if t else [] for t in texts]
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
@@ -72,14 +78,13 @@ class ChunkEncoder:
         for i in range(0, len(wanted), 10_000):
             part = wanted[i : i + 10_000]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[piece] = np.array(e.ids, "<u4").tobytes()
+                known[piece] = self.packed(e.ids)
         for p, (core, tail) in parts.items():
             known[p] = known[core] + known[tail]
-        last = struct.pack("<I", end)
+        last = self.packed([end])
         return [b"".join([known[p] for p in pieces]) + last for pieces in split]
 
 
-BLANKS = str.maketrans("\n\t\r", "   ")
 #: Marks that the pattern parts from letters and digits before them, and that begin none of its other alternatives.
 MARKS = ".,;:!?"
 
