@@ -132,30 +132,32 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     every = staged(_anchor_rows(texts, length), "anchors")
 
     # the anchors' runs: those that occur once are dropped, anchors whose span occurs again are done
-    cores = every.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
+    # (tables of hashes are staged before they are joined: beside an aggregate Spark wouldn't split a core with very many rows)
+    cores = staged(every.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"), "cores")
     rows = staged(every.join(cores, "core"), "anchors")
     discard(every)
     spans = rows.groupBy("span").agg(F.count("*").alias("c"), F.min(F.struct("t1", "t2", "anchor", "lo", "hi", "core")).alias("one"))
+    spans = staged(spans, "spans")
     again = spans.where("c > 1")
     done = rows.join(again.select("span"), "span").select("t1", "t2", F.col("lo").alias("from"), (F.col("hi") + length).alias("to")).distinct()
     parts = [staged(done, "spans")]
     open_rows = spans.where("c = 1").select("one.*").withColumn("known", F.lit(False))
     sources = again.select("one.*").join(open_rows.select("core").distinct(), "core", "left_semi").withColumn("known", F.lit(True))
     contexts = staged(_contexts(texts, open_rows.unionByName(sources), length), "contexts")
-    discard(rows)
+    discard(rows, spans)
 
     for step in STEPS:
         blocks = staged(_blocks(contexts, step, length), "blocks")
-        cores = blocks.groupBy("core").agg(F.count("*").alias("c"), F.min("known").alias("all_known")).where("c > 1 and not all_known").select("core")
+        cores = staged(blocks.groupBy("core").agg(F.count("*").alias("c"), F.min("known").alias("all_known")).where("c > 1 and not all_known").select("core"), "cores")
         kept = staged(blocks.join(cores, "core"), "blocks")
         discard(blocks)
-        spans = kept.groupBy("span").agg(F.count("*").alias("c")).where("c > 1").select("span", F.lit(True).alias("again"))
+        spans = staged(kept.groupBy("span").agg(F.count("*").alias("c")).where("c > 1").select("span", F.lit(True).alias("again")), "spans")
         judged = staged(kept.join(spans, "span", "left").select("t1", "t2", "anchor", "of", "o1", "o2", "known", "core", F.coalesce("again", F.lit(False)).alias("again")), "judged")
         discard(kept)
         parts.append(judged.where("again and not known").select("t1", "t2", (F.col("anchor") - F.col("o2")).alias("from"), (F.col("anchor") - F.col("o1") + length).alias("to")))
         if step > 1:
             # blocks go on where one of the same core is undecided; those that are decided are sources for it
-            undecided = judged.where("not again and not known").select("core").distinct()
+            undecided = staged(judged.where("not again and not known").select("core").distinct(), "cores")
             blocks = judged.join(undecided, "core", "left_semi").select("t1", "t2", "anchor", F.col("of").alias("o1"), F.col("o1").alias("p"), F.col("o2").alias("q"), (F.col("known") | F.col("again")).alias("done"))
             start = F.col("anchor") - F.col("q")
             piece = F.expr(f"substring(context, cast(anchor - q - first + 1 as int), cast(q - p + {length} as int))")
