@@ -71,7 +71,8 @@ class ChunkEncoder:
             self.known.clear()
         known = self.known
         new = set().union(*split).difference(known)
-        parts = {p: (core := p.rstrip(MARKS), p[len(core) :]) for p in new}
+        # marks stand apart only from a letter or digit before them: with other marks they form one run
+        parts = {p: (core, p[len(core) :]) if (core := p.rstrip(MARKS)).lower()[-1:].isalnum() else (p, "") for p in new}
         # the lower case of ASCII letters doesn't depend on what stands around them
         parts = {p: (core.lower() if core.isascii() else core, tail) for p, (core, tail) in parts.items()}
         wanted = list({x for pair in parts.values() for x in pair}.difference(known))

@@ -56,7 +56,7 @@ def test_bpe_equals_library(spark, awkward, empty):
 
 def test_token_files_round_trip(spark, awkward, empty):
     library = Tokenizer.from_file(WORD)
-    docs = frame(spark, texts(2, 40) + ["Ünïcode   MIXED’s　case", "don't<|endoftext|>stop"])
+    docs = frame(spark, texts(2, 40) + ["Ünïcode   MIXED’s　case", "don't<|endoftext|>stop", "a'. 'S: say,\". x?!y ...", "İ. ΑΣ, É. ß? 3.14,"])
     manifest = token_files.write_tokens(docs, WORD, end=1, files=3)
     start = 0
     rows = {r["doc_id"]: r for r in token_files.read_tokens(manifest).collect()}
