@@ -4,9 +4,9 @@ Every distinct shingle set gets a signature of TREES * DEPTH MinHash values; eac
 one tree. Spark sorts the keys of all trees. Sets that follow each other in a tree and share a prefix of at least
 ``least_depth`` values are candidates of the first round. Components of confirmed links are formed. In the second round
 every region, the sets of a tree that share such a prefix, is looked at again if it holds several components: sets that are
-similar to one of another component are candidates. A region with too many sets is cut at the next value of the key, as deep
-as it takes. Candidates are confirmed on the full sets, so links are exact; a pair at the threshold of 0.8 is missed
-by all 28 trees with a probability of 1.5e-5, if no other path joins it.
+similar to one of another component are candidates, at the same depth in regions of every size. Candidates are confirmed on
+the full sets, so links are exact; a pair at the threshold of 0.8 is missed by all 28 trees with a probability of 1.5e-5, if
+no other path joins it.
 
 Defined results: texts that are null, empty or blank have no shingles and are linked with nothing; texts may be of any
 length; repeated rows are in one component; a text that only rows with a null id have is linked with
@@ -28,8 +28,8 @@ from quillspark.llm.components import components
 from quillspark.llm.shingles import WordHashes, shingle_set
 
 TREES, DEPTH, LEAST_DEPTH = 28, 8, 5
-#: Trees whose neighbours are the candidates of the first round; sets that a region holds before it is cut.
-FIRST_TREES, REGION = 3, 8192
+#: Trees whose neighbours are the candidates of the first round.
+FIRST_TREES = 3
 #: Sets to be looked up in the documents up to which their list is broadcast (16 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -120,22 +120,16 @@ def linked_components(docs: DataFrame, sets: DataFrame, words: int, least_depth:
     """
     rows = tree_rows(sets, TREES, "component").withColumn("region", F.xxhash64("tree", F.expr(f"substring(key, 1, {2 * least_depth})")))
     mixed = rows.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("region")
-    found = staged(rows.select("region", "tree", "node").join(mixed, "region"), "regions")
+    found = staged(rows.select("region", "node").join(mixed, "region"), "regions")
     shingles = _sets_for(docs, sets, found.select("node").distinct(), words)
-    rows = found.join(sets.select("node", "component", "sig"), "node").join(shingles, "node")
-    rows = rows.select("region", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("key"), "node", "component", "shingles")
-    rows = rows.mapInArrow(_halved, "region long, key binary, node long, component long, shingles binary").repartition("region").sortWithinPartitions("region", "key", "node")
+    rows = found.join(sets.select("node", "component"), "node").join(shingles, "node").select("region", "node", "component", "shingles")
+    rows = rows.mapInArrow(_halved, "region long, node long, component long, shingles binary").repartition("region").sortWithinPartitions("region", "node")
 
-    def links(key: np.ndarray, node: np.ndarray, group: np.ndarray, held: list[np.ndarray], depth: int) -> Iterator[tuple[int, int]]:
-        """Of one region whose sets share ``depth`` values."""
+    def links(node: np.ndarray, group: np.ndarray, held: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        """Of one region, at whatever size."""
         names, group, counts = np.unique(group, return_inverse=True, return_counts=True)
         if len(names) == 1:
             return
-        if len(node) > REGION and depth < DEPTH:
-            cut = np.flatnonzero(key[1:, depth] != key[:-1, depth]) + 1
-            for part in np.split(np.arange(len(node)), cut):
-                yield from links(key[part], node[part], group[part], [held[i] for i in part], depth + 1)
-            return
         sizes = np.array([len(h) for h in held])
         starts = np.r_[0, np.cumsum(sizes)[:-1]]
         known, flat = np.unique(np.concatenate(held), return_inverse=True)
@@ -164,7 +158,7 @@ def linked_components(docs: DataFrame, sets: DataFrame, words: int, least_depth:
         def flush() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
             one = [np.frombuffer(x, np.uint32) for x in t["shingles"].to_pylist()]
-            found = list(links(_keys(t["key"]), t["node"].to_numpy(), t["component"].to_numpy(), one, least_depth))
+            found = list(links(t["node"].to_numpy(), t["component"].to_numpy(), one))
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
@@ -185,8 +179,8 @@ def linked_components(docs: DataFrame, sets: DataFrame, words: int, least_depth:
 def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Full sets, in the last column, as their upper 32 bits."""
     for batch in batches:
-        short = [(np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column(4).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(short, pa.binary())], batch.schema.names)
+        short = [(np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(short, pa.binary())], batch.schema.names)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:

@@ -253,6 +253,29 @@ def test_near_duplicates(spark, awkward, empty, words):
         assert near_dup.near_duplicates(empty).count() == 0
 
 
+def one_region(spark, found):
+    """docs and sets, for linked_components() on single words, of (text, component) rows that share the first five values of one tree
+    and nothing else. The doc_id of a row is its place."""
+    docs = frame(spark, [t for t, _ in found])
+    r, rows = random.Random(3), []
+    for i, (t, component) in enumerate(found):
+        s = near_dup.shingle_set(t, 1, near_dup.WordHashes())
+        sig = struct.pack(">5H", *range(5)) + r.randbytes(2 * (near_dup.TREES * near_dup.DEPTH - 5))
+        rows.append((near_dup.xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), i, bytearray(sig), len(s), component))
+    return docs, spark.createDataFrame(rows, "node long, doc_id long, sig binary, n_shingles long, component long"), [x[0] for x in rows]
+
+
+def word_set(*spans):
+    return " ".join(f"w{i}" for a, b in spans for i in range(a, b))
+
+
+def test_large_regions_keep_their_depth(spark):
+    found = [(word_set((0, 50)), 1), (word_set((0, 49), (50, 51)), 0)] + [(f"x{i} y{i}", 0) for i in range(8300)]
+    docs, sets, nodes = one_region(spark, found)
+    got = [(r["a"], r["b"]) for r in near_dup.linked_components(docs, sets, 1, 5, 0.8).collect()]
+    assert got == [tuple(sorted(nodes[:2]))]
+
+
 def test_decontamination(spark, awkward, empty):
     r = random.Random(13)
     vocabulary = [f"w{i}" for i in range(300)]
