@@ -4,8 +4,8 @@ Every distinct shingle set gets a signature of TREES * DEPTH MinHash values; eac
 one tree. Spark sorts the keys of all trees. Sets that follow each other in a tree and share a prefix of at least
 ``least_depth`` values are candidates of the first round. Components of confirmed links are formed. In the second round
 every region, the sets of a tree that share such a prefix, is looked at again if it holds several components: sets that are
-similar to one of another component are candidates, at the same depth in regions of every size. Candidates are confirmed on
-the full sets, so links are exact; a pair at the threshold of 0.8 is missed by all 28 trees with a probability of 1.5e-5, if
+similar to one of another component are linked, at the same depth in regions of every size. Links are decided on full sets
+of 64-bit hashes, so they are exact; a pair at the threshold of 0.8 is missed by all 28 trees with a probability of 1.5e-5, if
 no other path joins it.
 
 Defined results: texts that are null, empty or blank have no shingles and are linked with nothing; texts may be of any
@@ -110,20 +110,20 @@ def neighbours(rows: DataFrame, least_depth: int) -> DataFrame:
     return found.where("b is not null").select("a", "b").unionByName(ends.mapInArrow(run, schema).where("b is not null").select("a", "b")).distinct()
 
 
-def linked_components(docs: DataFrame, sets: DataFrame, words: int, least_depth: int, threshold: float) -> DataFrame:
+def linked_components(docs: DataFrame, sets: DataFrame, words: int, least_depth: int, num: int, den: int) -> DataFrame:
     """a, b of similar sets in different components that share ``least_depth`` values or more in a tree: in each region, one
     pair for components that become one.
 
-    ``sets`` has node, doc_id, sig and component. Regions are found by numbers alone; the sets themselves, as 32-bit hashes,
-    follow only to regions with several components. There a set outside the largest component is compared with all others
-    at once, in one gather over the region's hashes, and no pairs are listed.
+    ``sets`` has node, doc_id, sig and component. Regions are found by numbers alone; the sets themselves follow only to
+    regions with several components. There a set outside the largest component is compared with all others at once, in one
+    gather over the region's hashes, and no pairs are listed. Links are exact: only similar sets make components one.
     """
     rows = tree_rows(sets, TREES, "component").withColumn("region", F.xxhash64("tree", F.expr(f"substring(key, 1, {2 * least_depth})")))
     mixed = rows.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("region")
     found = staged(rows.select("region", "node").join(mixed, "region"), "regions")
     shingles = _sets_for(docs, sets, found.select("node").distinct(), words)
     rows = found.join(sets.select("node", "component"), "node").join(shingles, "node").select("region", "node", "component", "shingles")
-    rows = rows.mapInArrow(_halved, "region long, node long, component long, shingles binary").repartition("region").sortWithinPartitions("region", "node")
+    rows = rows.repartition("region").sortWithinPartitions("region", "node")
 
     def links(node: np.ndarray, group: np.ndarray, held: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         """Of one region, at whatever size."""
@@ -142,22 +142,20 @@ def linked_components(docs: DataFrame, sets: DataFrame, words: int, least_depth:
             mark[own] = True
             shared = np.add.reduceat(mark[flat], starts, dtype=np.int64)
             mark[own] = False
-            like = shared / (sizes + sizes[i] - shared)
-            like[group == group[i]] = 0
-            for j in np.argsort(-like, kind="stable"):
-                if like[j] < threshold - 0.002:
-                    break
-                if group[j] != group[i]:
-                    yield min(node[i], node[j]), max(node[i], node[j])
-                    x, y = (group[i], group[j]) if group[j] == largest else (group[j], group[i])
-                    group[group == x] = y
+            similar = np.flatnonzero((den * shared >= num * (sizes + sizes[i] - shared)) & (group != group[i]))
+            others, first = np.unique(group[similar], return_index=True)
+            for j in similar[first]:
+                yield min(node[i], node[j]), max(node[i], node[j])
+            if len(others):
+                into = largest if largest in others else group[i]
+                group[np.isin(group, others) | (group == group[i])] = into
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
-            one = [np.frombuffer(x, np.uint32) for x in t["shingles"].to_pylist()]
+            one = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
             found = list(links(t["node"].to_numpy(), t["component"].to_numpy(), one))
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -176,13 +174,6 @@ def linked_components(docs: DataFrame, sets: DataFrame, words: int, least_depth:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Full sets, in the last column, as their upper 32 bits."""
-    for batch in batches:
-        short = [(np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(short, pa.binary())], batch.schema.names)
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs with den * (size of intersection) >= num * (size of union). ``sets``: node, shingles (binary)."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -228,8 +219,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     links = staged(confirmed(first, _sets_for(docs, sets, _nodes(first), words), num, den), "links")
     joined = components(links)
     labelled = staged(sets.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
-    second = staged(linked_components(docs, labelled, words, least_depth, num / den), "pairs")
-    more = staged(confirmed(second, _sets_for(docs, sets, _nodes(second), words), num, den), "links")
+    more = staged(linked_components(docs, labelled, words, least_depth, num, den), "links")
     joined = components(links.unionByName(more))
     labels = sets.select("node", "doc_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))

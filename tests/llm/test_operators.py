@@ -272,10 +272,22 @@ def word_set(*spans):
 def test_large_regions_keep_their_depth(spark):
     found = [(word_set((0, 50)), 1), (word_set((0, 49), (50, 51)), 0)] + [(f"x{i} y{i}", 0) for i in range(8300)]
     docs, sets, nodes = one_region(spark, found)
-    got = [(r["a"], r["b"]) for r in near_dup.linked_components(docs, sets, 1, 5, 0.8).collect()]
+    got = [(r["a"], r["b"]) for r in near_dup.linked_components(docs, sets, 1, 5, 80, 100).collect()]
     assert got == [tuple(sorted(nodes[:2]))]
 
 
+def test_pairs_just_under_the_threshold_hide_no_links(spark):
+    """In components 0 and 1, the first sets are at 399 / 499, the second at 410 / 500; the first are looked at first."""
+    for k in range(0, 10**6, 10**4):
+        under = [(word_set((k, k + 449)), 0), (word_set((k, k + 399), (k + 450, k + 500)), 1)]
+        over = [(word_set((k + 1000, k + 1450)), 0), (word_set((k + 1000, k + 1410), (k + 1450, k + 1500)), 1)]
+        docs, sets, nodes = one_region(spark, under + over)
+        if nodes[1] < nodes[3]:
+            break
+    got = [(r["a"], r["b"]) for r in near_dup.linked_components(docs, sets, 1, 5, 80, 100).collect()]
+    assert got == [tuple(sorted(nodes[2:]))]
+
+
 def test_decontamination(spark, awkward, empty):
     r = random.Random(13)
     vocabulary = [f"w{i}" for i in range(300)]
