@@ -30,6 +30,8 @@ from quillspark.llm.shingles import WordHashes, shingle_set
 TREES, DEPTH, LEAST_DEPTH = 28, 8, 5
 #: Trees whose neighbours are the candidates of the first round.
 FIRST_TREES = 3
+#: Shingles of a cell's members and of its probes, and what a set counts for besides its shingles.
+CELL, SET_COST = 1 << 19, 256
 #: Sets to be looked up in the documents up to which their list is broadcast (16 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -110,45 +112,62 @@ def neighbours(rows: DataFrame, least_depth: int) -> DataFrame:
     return found.where("b is not null").select("a", "b").unionByName(ends.mapInArrow(run, schema).where("b is not null").select("a", "b")).distinct()
 
 
+def dealt(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """The cells that compare the sets of each region: cell, node, component, member, probe and main.
+
+    ``found`` has region and node. ``main`` is the component with the most in the region. Members, which are all sets, are
+    dealt over chunks; probes, the sets outside ``main``, over blocks. A cell holds one chunk and one block, CELL of each,
+    so each probe meets all members and no task holds a region.
+    """
+    rows = found.join(sets.select("node", "component", (F.col("n_shingles") + SET_COST).alias("held")), "node")
+    sums = rows.groupBy("region", "component").agg(F.sum("held").alias("held"))
+    regions = sums.groupBy("region").agg(F.max(F.struct("held", "component")).alias("most"), F.sum("held").alias("all"))
+    regions = regions.select("region", F.col("most.component").alias("main"), F.ceil(F.col("all") / CELL).alias("chunks"), F.ceil((F.col("all") - F.col("most.held")) / CELL).alias("blocks"))
+    rows = rows.join(regions, "region").withColumn("chunk", F.expr("pmod(xxhash64(node, 1), chunks)")).withColumn("block", F.expr("pmod(xxhash64(node, 2), blocks)"))
+    # a probe in its own chunk and block is one row
+    as_member = F.expr("transform(sequence(0L, blocks - 1), b -> struct(chunk as chunk, b as block, true as member, component != main and b = block as probe))")
+    as_probe = F.expr("transform(filter(sequence(0L, chunks - 1), c -> component != main and c != chunk), c -> struct(c as chunk, block as block, false as member, true as probe))")
+    rows = rows.select("region", "node", "component", "main", F.explode(F.concat(as_member, as_probe)).alias("at"))
+    return rows.select(F.xxhash64("region", "at.chunk", "at.block").alias("cell"), "node", "component", "at.member", "at.probe", "main")
+
+
 def linked_components(docs: DataFrame, sets: DataFrame, words: int, least_depth: int, num: int, den: int) -> DataFrame:
-    """a, b of similar sets in different components that share ``least_depth`` values or more in a tree: in each region, one
-    pair for components that become one.
+    """a, b of similar sets in different components that share ``least_depth`` values or more in a tree: in each cell of a
+    region, one pair for components that become one.
 
-    ``sets`` has node, doc_id, sig and component. Regions are found by numbers alone; the sets themselves follow only to
-    regions with several components. There a set outside the largest component is compared with all others at once, in one
-    gather over the region's hashes, and no pairs are listed. Links are exact: only similar sets make components one.
+    ``sets`` has node, doc_id, sig, n_shingles and component. Regions are found by numbers alone; the sets themselves follow
+    only to regions with several components. There a set outside the largest component is compared with all others, those of
+    a cell at once, in one gather over their hashes, and no pairs are listed. Links are exact: only similar sets make
+    components one.
     """
     rows = tree_rows(sets, TREES, "component").withColumn("region", F.xxhash64("tree", F.expr(f"substring(key, 1, {2 * least_depth})")))
     mixed = rows.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("region")
     found = staged(rows.select("region", "node").join(mixed, "region"), "regions")
     shingles = _sets_for(docs, sets, found.select("node").distinct(), words)
-    rows = found.join(sets.select("node", "component"), "node").join(shingles, "node").select("region", "node", "component", "shingles")
-    rows = rows.repartition("region").sortWithinPartitions("region", "node")
-
-    def links(node: np.ndarray, group: np.ndarray, held: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        """Of one region, at whatever size."""
-        names, group, counts = np.unique(group, return_inverse=True, return_counts=True)
-        if len(names) == 1:
-            return
+    rows = dealt(found, sets).join(shingles, "node").select("cell", "node", "component", "member", "probe", "main", "shingles")
+    rows = rows.repartition("cell").sortWithinPartitions("cell", F.desc("member"), "node")
+
+    def links(node: np.ndarray, group: np.ndarray, member: np.ndarray, probe: np.ndarray, main: int, held: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        """Of one cell, whose members come first."""
         sizes = np.array([len(h) for h in held])
-        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        ends = np.cumsum(sizes)
+        n = int(member.sum())
         known, flat = np.unique(np.concatenate(held), return_inverse=True)
         mark = np.zeros(len(known), bool)
-        largest = counts.argmax()
-        for i in range(len(node)):
-            if group[i] == largest:
+        for i in np.flatnonzero(probe):
+            # what is linked to the main component meets the others where they are the probes
+            if group[i] == main or not n:
                 continue
-            own = flat[starts[i] : starts[i] + sizes[i]]
+            own = flat[ends[i] - sizes[i] : ends[i]]
             mark[own] = True
-            shared = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            shared = np.add.reduceat(mark[flat[: ends[n - 1]]], ends[:n] - sizes[:n], dtype=np.int64)
             mark[own] = False
-            similar = np.flatnonzero((den * shared >= num * (sizes + sizes[i] - shared)) & (group != group[i]))
+            similar = np.flatnonzero((den * shared >= num * (sizes[:n] + sizes[i] - shared)) & (group[:n] != group[i]))
             others, first = np.unique(group[similar], return_index=True)
             for j in similar[first]:
                 yield min(node[i], node[j]), max(node[i], node[j])
             if len(others):
-                into = largest if largest in others else group[i]
-                group[np.isin(group, others) | (group == group[i])] = into
+                group[np.isin(group, others) | (group == group[i])] = main if main in others else group[i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -156,14 +175,14 @@ def linked_components(docs: DataFrame, sets: DataFrame, words: int, least_depth:
         def flush() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
             one = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
-            found = list(links(t["node"].to_numpy(), t["component"].to_numpy(), one))
+            found = list(links(t["node"].to_numpy(), t["component"].to_numpy().copy(), t["member"].to_numpy(), t["probe"].to_numpy(), t["main"][0].as_py(), one))
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            region = batch.column(0).to_numpy()
-            cuts = np.r_[0, np.flatnonzero(region[1:] != region[:-1]) + 1, len(region)]
+            cell = batch.column(0).to_numpy()
+            cuts = np.r_[0, np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell)]
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if held and held[0].column(0)[0].as_py() != region[i]:
+                if held and held[0].column(0)[0].as_py() != cell[i]:
                     yield flush()
                     held = []
                 if j > i:
@@ -214,7 +233,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, least_depth: int = LEAST_DEPTH) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and kept (it is the row's own)."""
     found = staged(features(docs, words), "features")
-    sets = staged(found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "sets")
+    sets = staged(found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "sets")
     first = staged(neighbours(tree_rows(sets, FIRST_TREES), least_depth), "pairs")
     links = staged(confirmed(first, _sets_for(docs, sets, _nodes(first), words), num, den), "links")
     joined = components(links)

@@ -276,6 +276,20 @@ def test_large_regions_keep_their_depth(spark):
     assert got == [tuple(sorted(nodes[:2]))]
 
 
+def test_no_task_holds_a_large_region(spark, monkeypatch):
+    """A region of 600 sets in one component, 40 in others, each similar to one of the 600, and a pair outside: cut into cells
+    of both kinds, all links are found."""
+    monkeypatch.setattr(near_dup, "CELL", 10_000)
+    text = lambda i, j: word_set((100 * i, 100 * i + 20)) + f" w{100 * i + j}"
+    found = [(text(i, 30), 0) for i in range(600)] + [(text(i, 40), i + 1) for i in range(40)] + [(text(1000, 30), 1000), (text(1000, 40), 1001)]
+    docs, sets, nodes = one_region(spark, found)
+    region = sets.select(F.lit(1).cast("long").alias("region"), "node")
+    cells = near_dup.dealt(region, sets).groupBy("cell").count().collect()
+    assert len(cells) > 20 and max(r["count"] for r in cells) < 200
+    got = {(r["a"], r["b"]) for r in near_dup.linked_components(docs, sets, 1, 5, 80, 100).collect()}
+    assert got == {tuple(sorted((nodes[i], nodes[600 + i]))) for i in range(40)} | {tuple(sorted(nodes[640:]))}
+
+
 def test_pairs_just_under_the_threshold_hide_no_links(spark):
     """In components 0 and 1, the first sets are at 399 / 499, the second at 410 / 500; the first are looked at first."""
     for k in range(0, 10**6, 10**4):
