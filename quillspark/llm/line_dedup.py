@@ -136,9 +136,12 @@ def later_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     wanted = long_lines.select("h", "o").join(candidates, "h")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
             found = [text.split("\n")[i] for text, i in zip(batch.column(0).to_pylist(), batch.column(2).field("line").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.string())], ["h", "o", "line"])
+            words = [_words(line) for line in found]
+            own, _ = line_keys(known.of([x for line in words for x in line]), np.cumsum([len(line) for line in words], dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.string())], ["h", "o", "line"]).filter(pa.array(own == batch.column(1).to_numpy()))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -158,7 +161,7 @@ def later_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     order = wanted.schema["o"].dataType.simpleString()
     by_doc = wanted.select(F.col("o.doc_id").alias("doc_id"), F.col("o.t").alias("t"), "h", "o").groupBy("doc_id", "t").agg(F.collect_list(F.struct("h", "o")).alias("lines"))
     texts = docs.select("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("t"), "text")
-    # of rows that share an id the one that has the line at that place counts: the hash is compared below
+    # of rows that share an id the one that has the line at that place counts: pick() compares the hash
     fetched = texts.join(by_doc, texts["doc_id"].eqNullSafe(by_doc["doc_id"]) & texts["t"].eqNullSafe(by_doc["t"])).select("text", F.explode("lines").alias("x")).select("text", "x.h", "x.o")
     fetched = fetched.where(F.size(F.split("text", "\n")) > F.col("o.line")).mapInArrow(pick, f"h long, o {order}, line string")
     lines = staged(fetched, "lines")

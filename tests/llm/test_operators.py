@@ -338,3 +338,22 @@ def test_decontamination(spark, awkward, empty):
     assert decontaminate.decontaminated(frame(spark, found), bench).count() == 60 - len({i for i, _ in expected})
     assert decontaminate.contaminated(awkward, bench).count() == 0 and decontaminate.contaminated(empty, bench).count() == 0
     assert decontaminate.decontaminated(awkward, bench).count() == awkward.count()
+
+
+def test_decontamination_of_shared_ids(spark):
+    """Texts that share an id, or have none, are looked at one by one: clean ones don't hide a passage."""
+    item = " ".join(f"i{k}" for k in range(30))
+    near = " ".join([*(f"i{k}" for k in range(29)), "changed"])
+    clean = [" ".join(f"z{n}x{k}" for k in range(40)) for n in range(20)]
+    docs = spark.createDataFrame([(i, t) for i in (None, 1) for t in [near, *clean]] + [(2, near), (2, near)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert sorted((r["doc_id"] or 0, r["item_id"], r["start"]) for r in got) == [(0, 0, 0), (1, 0, 0), (2, 0, 0)]
+    assert [r["similarity"] for r in got] == pytest.approx([25 / 27] * 3)
+
+
+def test_lines_of_shared_ids(spark):
+    """A line isn't taken for the line that another text of its id has at its place; both are kept alike."""
+    docs = spark.createDataFrame([(1, "a b c d e g"), (2, "p q r x y z"), (7, "a b c d e f"), (7, "p q r s t u")], "doc_id long, text string")
+    got = {(r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {(1, "a b c d e g"), (2, "p q r x y z"), (7, "a b c d e f"), (7, "p q r s t u")}
