@@ -28,9 +28,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id."""
-    kept = near_dup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One document of each group of near-duplicates stays, the one with the smallest id. Rows are known by id and text, so
+    documents that share an id, or have none, go only for their own texts."""
+    return near_dup.without_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

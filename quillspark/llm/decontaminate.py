@@ -131,6 +131,6 @@ def contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """``docs`` without the documents that have a window similar to an item. Rows with a null id stay only if none is."""
-    bad = contaminated(docs, items, **how).select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad")), "left_anti")
+    """``docs`` without the rows whose own text has a window similar to an item."""
+    bad = contaminated_texts(docs, items, **how).select(F.col("doc_id").alias("bad"), F.col("text_hash").alias("bad_hash")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad")) & (F.xxhash64(docs["text"]) == F.col("bad_hash")), "left_anti")

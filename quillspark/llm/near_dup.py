@@ -9,8 +9,8 @@ of 64-bit hashes, so they are exact; a pair at the threshold of 0.8 is missed by
 no other path joins it.
 
 Defined results: texts that are null, empty or blank have no shingles and are linked with nothing; texts may be of any
-length; repeated rows are in one component; a text that only rows with a null id have is linked with
-equal texts only, and its component_id is null; an empty table gives an empty table; only id and text are read.
+length; repeated rows are in one component; texts that share an id, or have none, are looked at one by one; the component_id
+is null if only rows with a null id are in the component; an empty table gives an empty table; only id and text are read.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ TREES, DEPTH, LEAST_DEPTH = 28, 8, 5
 FIRST_TREES = 3
 #: Shingles of a cell's members and of its probes, and what a set counts for besides its shingles.
 CELL, SET_COST = 1 << 19, 256
-#: Sets to be looked up in the documents up to which their list is broadcast (16 bytes each); beyond, the join shuffles.
+#: Sets to be looked up in the documents up to which their list is broadcast (24 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 
 _FACTORS = np.random.default_rng(20).integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -47,7 +47,7 @@ def signature(shingles: np.ndarray) -> bytes:
 
 
 def features(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, node (a hash of the set) and sig; node is null for an empty set."""
+    """doc_id, text_hash, n_shingles, node (a hash of the set) and sig; node is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -58,10 +58,10 @@ def features(docs: DataFrame, words: int) -> DataFrame:
                 counts.append(len(s))
                 nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
                 signatures.append(signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signatures, pa.binary())], ["doc_id", "text_hash", "n_shingles", "node", "sig"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, sig binary")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, node long, sig binary")
 
 
 def tree_rows(sets: DataFrame, trees: int, *more: str) -> DataFrame:
@@ -135,7 +135,7 @@ def linked_components(docs: DataFrame, sets: DataFrame, words: int, least_depth:
     """a, b of similar sets in different components that share ``least_depth`` values or more in a tree: in each cell of a
     region, one pair for components that become one.
 
-    ``sets`` has node, doc_id, sig, n_shingles and component. Regions are found by numbers alone; the sets themselves follow
+    ``sets`` has node, doc_id, text_hash, sig, n_shingles and component. Regions are found by numbers alone; the sets themselves follow
     only to regions with several components. There a set outside the largest component is compared with all others, those of
     a cell at once, in one gather over their hashes, and no pairs are listed. Links are exact: only similar sets make
     components one.
@@ -214,42 +214,62 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node, shingles of the wanted sets. ``wanted`` has node and doc_id, a row that has the set."""
+    """node, shingles of the wanted sets. ``wanted`` has node, and doc_id and text_hash of a row that has the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
             found = [shingle_set(t, words, known).tobytes() for t in batch.column(1).to_pylist()]
-            # of rows that share an id, the one with the set that was asked for
+            # of texts that share a hash, the one with the set that was asked for
             own = [xxhash.xxh3_64_intdigest(s) - (1 << 63) == n for s, n in zip(found, batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "shingles"]).filter(pa.array(own, pa.bool_()))
 
-    wanted = staged(wanted.select("node", "doc_id"), "wanted")
+    wanted = staged(wanted.select("node", F.col("doc_id").alias("i"), F.col("text_hash").alias("h")), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
+    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("h"))).select("node", "text")
     return rows.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, least_depth: int = LEAST_DEPTH) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and kept (it is the row's own)."""
+def _labelled(docs: DataFrame, words: int, num: int, den: int, least_depth: int) -> tuple[DataFrame, DataFrame]:
+    """The features of all rows, and node, doc_id (the smallest with the set) and component of each set."""
     found = staged(features(docs, words), "features")
-    sets = staged(found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "sets")
+    sets = staged(found.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("o"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")).select("node", "o.doc_id", "o.text_hash", "sig", "n_shingles"), "sets")
     first = staged(neighbours(tree_rows(sets, FIRST_TREES), least_depth), "pairs")
     links = staged(confirmed(first, _sets_for(docs, sets, _nodes(first), words), num, den), "links")
     joined = components(links)
     labelled = staged(sets.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
     more = staged(linked_components(docs, labelled, words, least_depth, num, den), "links")
     joined = components(links.unionByName(more))
-    labels = sets.select("node", "doc_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return found, sets.select("node", "doc_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, least_depth: int = LEAST_DEPTH) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and kept (it is the row's own)."""
+    found, labels = _labelled(docs, words, num, den, least_depth)
     smallest = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     labels = staged(labels.join(smallest, "component").select("node", "component_id"), "labels")
     out = found.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def without_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, least_depth: int = LEAST_DEPTH) -> DataFrame:
+    """``docs`` with one row of each component: of those with the smallest id (null is the largest) one text, and of rows
+    with the same id and text the least by their other columns. Rows are told apart by id and text, so none goes for another
+    text of its id. Texts without words are duplicates only of rows with the same id and text."""
+    found, labels = _labelled(docs, words, num, den, least_depth)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("o")
+    chosen = staged(labels.groupBy("component").agg(first).select(F.col("o.node").alias("n"), F.col("o.doc_id").alias("i")), "chosen")
+    texts = found.where("node is not null").groupBy("node", "doc_id").agg(F.min("text_hash").alias("text_hash"))
+    texts = texts.join(chosen, (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("i")), "left_semi").select("doc_id", "text_hash")
+    kept = texts.unionByName(found.where("node is null").select("doc_id", "text_hash").distinct())
+    kept = staged(kept.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")), "kept")
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("i")) & (F.xxhash64(docs["text"]) == F.col("h")), "left_semi")
+    return rows.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+
+
 def _nodes(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
 def _sets_for(docs: DataFrame, sets: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    return staged(sets_of(docs, sets.select("node", "doc_id").join(nodes, "node", "left_semi"), words), "shingles")
+    return staged(sets_of(docs, sets.select("node", "doc_id", "text_hash").join(nodes, "node", "left_semi"), words), "shingles")

@@ -7,6 +7,7 @@ import random
 import struct
 import zlib
 
+import corpus_pipeline
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -262,7 +263,8 @@ def one_region(spark, found):
         s = near_dup.shingle_set(t, 1, near_dup.WordHashes())
         sig = struct.pack(">5H", *range(5)) + r.randbytes(2 * (near_dup.TREES * near_dup.DEPTH - 5))
         rows.append((near_dup.xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), i, bytearray(sig), len(s), component))
-    return docs, spark.createDataFrame(rows, "node long, doc_id long, sig binary, n_shingles long, component long"), [x[0] for x in rows]
+    sets = spark.createDataFrame(rows, "node long, doc_id long, sig binary, n_shingles long, component long")
+    return docs, sets.join(docs.select("doc_id", F.xxhash64("text").alias("text_hash")), "doc_id"), [x[0] for x in rows]
 
 
 def word_set(*spans):
@@ -357,3 +359,18 @@ def test_lines_of_shared_ids(spark):
     docs = spark.createDataFrame([(1, "a b c d e g"), (2, "p q r x y z"), (7, "a b c d e f"), (7, "p q r s t u")], "doc_id long, text string")
     got = {(r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(docs).collect()}
     assert got == {(1, "a b c d e g"), (2, "p q r x y z"), (7, "a b c d e f"), (7, "p q r s t u")}
+
+
+def test_pipeline_stages_keep_rows_of_shared_ids(spark, tmp_path):
+    """Documents that share an id, or have none, go only if their own text is a duplicate or contaminated."""
+    item = " ".join(f"i{k}" for k in range(30))
+    one, two, three, four = (" ".join(f"{x}{k}" for k in range(20)) for x in "abcd")
+    found = [(None, one), (None, two), (None, two), (None, item), (3, three), (3, four), (3, item + " end"), (4, three), (5, one + " more"), (6, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in found], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = lambda df: sorted(((r["doc_id"] or 0, r["text"] or "") for r in df.collect()))
+    left = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    assert rows(left) == sorted([(0, two), (3, three), (3, four), (3, item + " end"), (5, one + " more"), (6, ""), (0, "")])
+    clean = [(i or 0, t or "") for i, t in found if item not in (t or "")]
+    assert rows(corpus_pipeline.decontamination(spark, docs, str(tmp_path))) == sorted(clean)
