@@ -103,7 +103,8 @@ def as_text(fingerprint: Column) -> Column:
 
 
 def with_edited(docs: DataFrame) -> DataFrame:
-    """doc_id, text, n_chars, edited and next_id; rows stay partitioned by doc_id.
+    """k (a hash of the id, or of the text if the id is null), doc_id, text, n_chars, edited and next_id; rows stay
+    partitioned by k.
 
     The edited text has its last quarter (in code points, rounded down) replaced by the first as many of the next document,
     or all of it. Only those beginnings are shuffled a second time. Of documents that share the next id, the first text in
@@ -111,13 +112,23 @@ def with_edited(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartition(parts, "doc_id")
+    body = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    rows = body.select(own.alias("k"), "doc_id", "text").repartition(parts, "k")
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    follows = next_keys(docs, "doc_id").select(F.col("k").alias("doc_id"), F.col("next").alias("next_id"))
-    lengths = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
-    wanted = lengths.join(follows, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), F.floor(F.col("n") / 4).cast("int").alias("need"))
-    pieces = rows.groupBy("doc_id").agg(F.min("text").alias("text")).join(wanted, "doc_id").select(F.col("for_id").alias("doc_id"), F.expr("left(text, need)").alias("piece"))
-    out = rows.join(follows, "doc_id", "left").join(pieces, "doc_id", "left")
+    follows = next_keys(docs, "doc_id").select(F.xxhash64("k").alias("k"), F.col("k").alias("doc_id"), F.col("next").alias("next_id"))
+    lengths = docs.where("doc_id is not null").select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
+    wanted = lengths.join(follows, "doc_id").select(F.xxhash64("next_id").alias("k"), F.col("k").alias("for_k"), F.floor(F.col("n") / 4).cast("int").alias("need"))
+    pieces = rows.where("doc_id is not null").groupBy("k").agg(F.min("text").alias("text")).join(wanted, "k").select(F.col("for_k").alias("k"), F.expr("left(text, need)").alias("piece"))
+    # what follows a null id: one row, of no more characters than a null id's text needs
+    need = body.where("doc_id is null").agg(F.floor(F.max(F.length("text")) / 4).cast("int").alias("need"))
+    least = docs.agg(F.min("doc_id").alias("least"))
+    head = body.join(F.broadcast(least), F.col("doc_id") == F.col("least")).agg(F.min("text").alias("text"))
+    first = least.crossJoin(F.broadcast(need)).crossJoin(F.broadcast(head)).select("least", F.expr("left(text, need)").alias("head"))
+    out = rows.join(follows.select("k", "next_id"), "k", "left").join(pieces, "k", "left").crossJoin(F.broadcast(first))
+    # an id's hash is never looked up for the hash of a null id's text
+    null = F.col("doc_id").isNull()
+    out = out.withColumn("next_id", F.when(null, F.col("least")).otherwise(F.col("next_id"))).withColumn("piece", F.when(null, F.col("head")).otherwise(F.col("piece")))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 4) as int))"), F.expr("left(coalesce(piece, ''), cast(floor(n_chars / 4) as int))"))
-    return out.select("doc_id", "text", "n_chars", F.when(quarter > 0, edited).otherwise(F.col("text")).alias("edited"), "next_id")
+    return out.select("k", "doc_id", "text", "n_chars", F.when(quarter > 0, edited).otherwise(F.col("text")).alias("edited"), "next_id")

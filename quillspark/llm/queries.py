@@ -57,13 +57,15 @@ def op6_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each row; repeated rows are weighed once. Rows are known by k, which no null makes null, and the hash of the text."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     rows = fingerprint.with_edited(docs).withColumn("text_hash", F.xxhash64("text"))
     same = (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")
-    found = staged(fingerprint.fingerprint_pairs(rows, ["doc_id", "text_hash"], "text", "edited", same), "fingerprints")
-    rows = rows.select("doc_id", "text_hash", "n_chars", "next_id", F.sha2("edited", 256).alias("edited_sha256")).join(found, ["doc_id", "text_hash"])
-    first = found.groupBy("doc_id").agg(F.min_by("fingerprint", "text_hash").alias("next_fingerprint")).withColumnRenamed("doc_id", "next_id")
-    rows = rows.join(first, "next_id", "left")
+    keys = ["k", "text_hash"]
+    found = staged(fingerprint.fingerprint_pairs(rows.dropDuplicates(keys), keys, "text", "edited", same), "fingerprints")
+    rows = rows.select(*keys, "doc_id", "n_chars", "next_id", F.sha2("edited", 256).alias("edited_sha256")).join(found, keys)
+    first = found.groupBy("k").agg(F.min_by("fingerprint", "text_hash").alias("next_fingerprint")).withColumnRenamed("k", "next_k")
+    rows = rows.join(first, F.when(F.col("next_id").isNotNull(), F.xxhash64("next_id")) == F.col("next_k"), "left")
     return rows.select(
         "doc_id",
         "n_chars",

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillspark.llm import bpe, components, decontaminate, fingerprint, lang_id, line_dedup, near_dup, repeats, sharding, token_files, warc
+from quillspark.llm import bpe, components, decontaminate, fingerprint, lang_id, line_dedup, near_dup, queries, repeats, sharding, token_files, warc
 from quillspark.llm.cluster import filesystem
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -374,3 +374,17 @@ def test_pipeline_stages_keep_rows_of_shared_ids(spark, tmp_path):
     assert rows(left) == sorted([(0, two), (3, three), (3, four), (3, item + " end"), (5, one + " more"), (6, ""), (0, "")])
     clean = [(i or 0, t or "") for i, t in found if item not in (t or "")]
     assert rows(corpus_pipeline.decontamination(spark, docs, str(tmp_path))) == sorted(clean)
+
+
+def test_fingerprint_query_on_null_ids_and_repeated_rows(spark, tmp_path):
+    """Each row has a result, equal texts have equal fingerprints, and null ids are followed by the smallest id."""
+    one, two, three = (" ".join(f"{x}{k % 7}" for k in range(n)) for x, n in (("a", 40), ("b", 30), ("c", 50)))
+    found = [(1, one), (2, two), (2, two), (3, two), (None, two), (None, two), (None, three), (2, three)]
+    spark.createDataFrame(found, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op7_fingerprints(spark, str(tmp_path)).collect()
+    edited = lambda t, follows: hashlib.sha256((t[: len(t) - len(t) // 4] + follows[: len(t) // 4]).encode()).hexdigest()
+    follows = {1: two, 2: two, 3: one, None: one}
+    assert sorted((r["doc_id"] or 0, r["edited_sha256"]) for r in rows) == sorted((i or 0, edited(t, follows[i])) for i, t in found)
+    by_size = {len(t): {r["fingerprint"] for r in rows if r["n_chars"] == len(t)} for _, t in found}
+    assert all(len(x) == 1 for x in by_size.values()) and len(set.union(*by_size.values())) == 3
+    assert all(r["near_next"] is not None for r in rows) and {r["near_edited"] for r in rows if r["doc_id"] == 3} <= {r["near_edited"] for r in rows if r["doc_id"] is None}
