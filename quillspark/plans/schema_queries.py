@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions import text
 from quillspark.operators import schema_diff
 from quillspark.plans.registry import query, table
 
@@ -83,3 +84,12 @@ def alter_plan(spark, folder):
 @query(OLD + "select action, count(*) as n_columns from (select case when n.column_name is null then 'removed' when o.column_name is null then 'added' else 'changed' end as action from old o full join new n on o.table_name = n.table_name and o.column_name = n.column_name where o.column_name is null or n.column_name is null or o.type <> n.type) group by action")
 def schema_diff_summary(spark, folder):
     return schema_diff.column_diff(*old_and_new(spark, folder)).groupBy("action").agg(F.count("*").alias("n_columns"))
+
+
+@query(OLD + """, pairs as (select o.table_name as a, n.table_name as b, count(*) as n from old o join new n on o.column_name = n.column_name group by 1, 2),
+x as (select table_name as a, count(distinct column_name) as n from old group by 1), y as (select table_name as b, count(distinct column_name) as n from new group by 1)
+select x.a, y.b, cast(round(coalesce(p.n, 0) / cast(x.n + y.n - coalesce(p.n, 0) as double), 6) as double) as score from x cross join y left join pairs p on p.a = x.a and p.b = y.b""")
+def jaccard_column_sets(spark, folder):
+    """Of all pairs of an old and a new table."""
+    x, y = (rows.groupBy(F.col("table_name").alias(k)).agg(F.collect_set("column_name").alias(f"{k}_names")) for rows, k in zip(old_and_new(spark, folder), "ab"))
+    return x.crossJoin(y).select("a", "b", F.round(text.jaccard(F.col("a_names"), F.col("b_names")), 6).alias("score"))

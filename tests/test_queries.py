@@ -38,3 +38,8 @@ def test_query(spark, duck, name):
         have = [d[0] for d in found.description]
         assert sorted(have) == names
         assert rows == sorted((tuple(plain(r[have.index(c)]) for c in names) for r in found.fetchall()), key=repr)
+
+
+def test_column_sets_of_all_pairs_of_tables(spark):
+    got = {(r["a"], r["b"]): r["score"] for r in QUERIES["jaccard_column_sets"](spark, FOLDER).collect()}
+    assert len(got) == 36 and got["customer", "customer"] == 1 and got["customer", "orders"] == 0 and 0 < got["part", "part"] < 1
