@@ -6,15 +6,17 @@ positions at once, and only the neighbours of merged positions get new entries i
 
 Defined results: a null text encodes as the empty text; an empty text gives no ids; texts may be of any length; repeated
 rows are encoded alike; an empty table gives an empty table; all other columns pass through, and a column that clashes
-with the output column's name is replaced.
+with an output column's name is replaced.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 #: The pre-token pattern of byte-level BPE vocabularies of this kind.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of text that are worked on at once, and pre-tokens that a worker remembers.
-BLOCK_CHARS, REMEMBERED = 32_000_000, 1_000_000
+BLOCK_CHARS, REMEMBERED = 12_000_000, 250_000
 
 
 def byte_letters() -> list[str]:
@@ -41,6 +43,14 @@ def distinct(a: np.ndarray) -> np.ndarray:
     return a[np.r_[True, a[1:] != a[:-1]]] if len(a) else a
 
 
+class Numbers(dict):
+    """Numbers what is looked up, in the order of first appearance."""
+
+    def __missing__(self, word) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class PairIndexBPE:
     """A vocabulary file of the tokenizers library: byte-level BPE without normalizer, prefix space or byte fallback."""
 
@@ -74,7 +84,8 @@ class PairIndexBPE:
         self.keys = keys[self.by_key]
         self.pattern = regex.compile(PRE_TOKEN)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.known: dict[str, bytes] = {}
+        #: The number of each remembered pre-token (an added token is a tuple), and the ids of each number.
+        self.number, self.packed = Numbers(), []
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 for a pair that no merge has."""
@@ -90,9 +101,9 @@ class PairIndexBPE:
             return [b""] * len(words)
         sym = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         ends = np.cumsum(sizes)
-        nxt = np.arange(1, n + 1, dtype=np.int64)
+        nxt = np.arange(1, n + 1, dtype=np.int32)
         nxt[ends[sizes > 0] - 1] = -1
-        prv = np.arange(-1, n - 1, dtype=np.int64)
+        prv = np.arange(-1, n - 1, dtype=np.int32)
         prv[(ends - sizes)[sizes > 0]] = -1
         live = np.ones(n, bool)
         index: dict[int, list[np.ndarray]] = {}
@@ -111,7 +122,7 @@ class PairIndexBPE:
                     heapq.heappush(heap, r)
                 index[r].append(part)
 
-        enter(np.flatnonzero(nxt >= 0))
+        enter(np.flatnonzero(nxt >= 0).astype(np.int32))
         while heap:
             r = heapq.heappop(heap)
             parts = index.pop(r)
@@ -136,23 +147,22 @@ class PairIndexBPE:
         out = sym[live].tobytes()
         return [out[i:j] for i, j in zip(kept[:-1].tolist(), kept[1:].tolist())]
 
+    def pre_tokens(self, text: str) -> list:
+        if not (self.special and any(s in text for s in self.added)):
+            return self.pattern.findall(text)
+        return [w for i, p in enumerate(self.special.split(text)) for w in ([(p,)] if i % 2 else self.pattern.findall(p))]
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids (int32, as bytes) of each text. Strings of added tokens become those tokens, as in the library."""
-        split = []
-        for text in texts:
-            if self.special and any(s in text for s in self.added):
-                parts = self.special.split(text)
-                split.append([w for i, p in enumerate(parts) for w in ([(p,)] if i % 2 else self.pattern.findall(p))])
-            else:
-                split.append(self.pattern.findall(text))
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = set().union(*split).difference(self.known)
-        fresh = [w for w in new if isinstance(w, str)]
-        self.known |= zip(fresh, self.merge([w.encode("utf-8", "surrogatepass") for w in fresh]))
-        self.known |= {w: np.int32(self.added[w[0]]).tobytes() for w in new if not isinstance(w, str)}
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        if len(self.number) > REMEMBERED:
+            self.number.clear()
+            self.packed.clear()
+        number, packed = self.number, self.packed
+        numbered = [array("L", map(number.__getitem__, self.pre_tokens(text))) for text in texts]
+        new = list(islice(number, len(packed), None))
+        merged = self.merge([b"" if isinstance(w, tuple) else w.encode("utf-8", "surrogatepass") for w in new])
+        packed += [np.int32(self.added[w[0]]).tobytes() if isinstance(w, tuple) else ids for w, ids in zip(new, merged)]
+        return [b"".join(map(packed.__getitem__, words)) for words in numbered]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of some ids; bytes that are no UTF-8 become U+FFFD."""
@@ -166,15 +176,27 @@ def loaded(path: str) -> PairIndexBPE:
     return PairIndexBPE(path)
 
 
-def _blocks(texts: list[str | None]) -> Iterator[list[str]]:
+def _blocks(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in runs of about BLOCK_CHARS characters; what isn't worked on stays in Arrow's memory."""
     part, size = [], 0
     for text in texts:
-        part.append(text or "")
+        part.append(text.as_py() or "")
         size += len(part[-1])
         if size >= BLOCK_CHARS:
             yield part
             part, size = [], 0
-    yield part
+    if part:
+        yield part
+
+
+def _encoded(codec: PairIndexBPE, texts: pa.Array) -> Iterator[list[bytes]]:
+    for part in _blocks(texts):
+        yield codec.encode_batch(part)
+
+
+def _lists(found: list[bytes]) -> pa.ListArray:
+    offsets = np.r_[0, np.cumsum([len(x) // 4 for x in found])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
 
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -185,11 +207,11 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = loaded(vocabulary)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            found = [x for part in _blocks(column) for x in codec.encode_batch(part)]
-            offsets = np.r_[0, np.cumsum([len(x) // 4 for x in found])].astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(found), np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), values)], [*batch.schema.names, ids])
+            at = 0
+            for found in _encoded(codec, batch.column(batch.schema.get_field_index(text))):
+                part = batch.slice(at, len(found))
+                at += len(found)
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(found)], [*batch.schema.names, ids])
 
     return kept.mapInArrow(run, schema)
 
@@ -209,3 +231,23 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, text])
 
     return kept.mapInArrow(run, schema)
+
+
+def encode_decode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` by one worker, which holds one vocabulary: ``df`` with ``ids`` and the text decoded from them.
+    ``decoded`` may be ``text`` itself, which it then replaces."""
+    kept = df.drop(*{ids, decoded} - {text})
+    names = [c for c in kept.columns if c != decoded]
+    schema = kept.select(*names, F.lit(None).cast("array<int>").alias(ids), F.lit(None).cast("string").alias(decoded)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = loaded(vocabulary)
+        for batch in batches:
+            at, passed = 0, batch.select(names)
+            for found in _encoded(codec, batch.column(batch.schema.get_field_index(text))):
+                part = passed.slice(at, len(found))
+                at += len(found)
+                texts = pa.array([codec.decode(np.frombuffer(x, np.int32)) for x in found], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(found), texts], [*names, ids, decoded])
+
+    return kept.mapInArrow(run, schema)

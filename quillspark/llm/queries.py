@@ -21,7 +21,7 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    rows = bpe.decode(bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), path).drop("text"), path)
+    rows = bpe.encode_decode(table(spark, folder, "documents").select("doc_id", "text"), path)
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
