@@ -1,11 +1,13 @@
 """Operator 9: a deterministic sharded WARC writer, and its reader.
 
-Pages are range-sorted by id. Shard bounds are the exact ids at every ``rows_per_shard``-th rank, so the same pages give
-the same files whatever the cluster looks like. Within a shard, files roll when their compressed size passes a limit.
-Headers, record ids and digests are made anew. Each file is written under a hidden name and renamed; the manifest, written
-after all tasks have ended, is what makes files part of an archive: the reader opens what it lists, nothing else.
+Pages are range-sorted by id, those of one id or of none by a hash of their html. Shards begin at keys drawn by their hashes,
+so they depend on the pages alone and the same pages give the same files, whatever the cluster looks like. Within a shard
+files roll when their compressed size passes a limit. Headers, record ids and digests are made anew. Each file is written
+under a hidden name and renamed; the manifest, written after all tasks have ended, is what makes files part of an archive: the
+reader opens what it lists, nothing else.
 
-Pages with equal payloads (SHA-1) are stored once, in the record with the smallest id; the others are revisit records.
+Pages with equal payloads (SHA-1) are stored once, in the record with the smallest id; the others are revisit records. Who
+refers to whom is found on ids and digests; the html is shuffled once, to its shard, where it meets the references.
 
 Defined results: a null html is an empty payload, a null url an empty target; null ids sort first and are never the
 record that others refer to; of repeated rows with the smallest id each is a response; other columns are not written; an
@@ -22,29 +24,65 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from quillspark.llm.cluster import filesystem, fresh_dir
-from quillspark.llm.order import ranks
+from quillspark.llm.cluster import discard, filesystem, fresh_dir, staged
 
 MANIFEST = "shard long, file int, path string, records long, bytes long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-#: Copies of each repeated digest's row, so that a page with very many copies is joined in as many tasks.
-SALTS = 16
+#: Bytes of html in a shard: LEAST, more where that makes over MANY shards, MOST at most. Shards beyond ALL don't exist, so the
+#: keys that reach the driver, DRAWN a shard, are at most a few hundred thousand.
+LEAST, MOST, MANY, ALL, DRAWN = 8 << 20, 1 << 30, 4096, 1 << 17, 8
 #: The date of all records: files must not depend on the clock.
 DATE = "1970-01-01T00:00:00Z"
 
 
-def with_first(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """page_id, url, html, digest (hex SHA-1) and first: the smallest page_id of an equal payload, null if it is alone."""
-    body = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("html")).withColumn("digest", F.sha1("html"))
-    again = rows.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    again = again.where("n > 1").select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.hash("page_id"), F.lit(SALTS)))
-    return salted.join(again, ["digest", "salt"], "left").drop("salt")
+def keyed(pages: DataFrame) -> DataFrame:
+    """page_id, h (hash of the html), url and html."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    return rows.select("page_id", F.xxhash64("html").alias("h"), "url", "html")
+
+
+def references(digests: DataFrame, least_bytes: int) -> DataFrame:
+    """page_id, h, digest and first: the smallest page_id of an equal payload, for pages that aren't that page themselves.
+
+    ``digests`` has page_id, h, digest and bytes. Only these are joined; Spark splits a digest with very many pages.
+    """
+    large = digests.where(F.col("bytes") >= least_bytes)
+    firsts = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    found = digests.join(firsts.select("digest", "first"), "digest").where("not page_id <=> first")
+    return found.select("page_id", "h", "digest", "first").distinct()
+
+
+def shard_bounds(digests: DataFrame, shard_bytes: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys at which shards begin: hashes of those without an id, then ids and hashes of the others, in order."""
+    n, total = digests.agg(F.count("*"), F.sum("bytes")).first()
+    size = shard_bytes or max(LEAST, min(MOST, (total or 0) // MANY))
+    shards = min(ALL, -(-(total or 0) // size))
+    picked = []
+    if shards > 1:
+        share = int(min(1.0, DRAWN * shards / n) * (1 << 30))
+        picked = digests.where(F.pmod(F.xxhash64("page_id", "h", F.lit(9)), F.lit(1 << 30)) < share).select("page_id", "h").distinct().collect()
+    picked = sorted((r["page_id"] is not None, r["page_id"] or 0, r["h"]) for r in picked)
+    bounds = sorted({picked[i * len(picked) // shards] for i in range(1, shards)}) if picked else []
+    rest = [x for x in bounds if x[0]]
+    return tuple(np.array(x, np.int64) for x in ([h for known, _, h in bounds if not known], [i for _, i, _ in rest], [h for _, _, h in rest]))
+
+
+def shards_of(ids: pd.Series, hashes: np.ndarray, bounds: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The shard of each key: how many bounds aren't above it."""
+    null_h, bound_ids, bound_h = bounds
+    known = ids.notna().to_numpy()
+    out = np.searchsorted(null_h, hashes, "right")
+    i = ids[known].to_numpy().astype(np.int64)
+    low, high = np.searchsorted(bound_ids, i, "left"), np.searchsorted(bound_ids, i, "right")
+    for k in np.flatnonzero(low < high):
+        low[k] += np.searchsorted(bound_h[low[k] : high[k]], hashes[known][k], "right")
+    out[known] = low + len(null_h)
+    return out
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -87,54 +125,63 @@ def packed(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def write_warc(pages: DataFrame, folder: str | None = None, rows_per_shard: int = 1000, roll_bytes: int = 64 << 20, least_bytes: int = 0) -> DataFrame:
-    """Writes the archive and returns its manifest, a row a file; only those rows pass through the driver."""
+def write_warc(pages: DataFrame, folder: str | None = None, shard_bytes: int | None = None, roll_bytes: int = 64 << 20, least_bytes: int = 0) -> DataFrame:
+    """Writes the archive and returns its manifest, a row a file; only those rows and shard bounds pass through the driver."""
     spark = pages.sparkSession
     folder = folder or fresh_dir(spark, "warc")
-    bounds = np.array([r[0] for r in ranks(pages, "page_id").where(f"rank > 0 and rank % {rows_per_shard} = 0").select("k").orderBy("k").collect()], np.int64)
+    rows = keyed(pages)
+    digests = staged(rows.select("page_id", "h", F.unhex(F.sha1("html")).alias("digest"), F.octet_length("html").cast("long").alias("bytes")), "digests")
+    bounds = shard_bounds(digests, shard_bytes)
 
-    @F.pandas_udf("long")
-    def shard_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        out = np.zeros(len(ids), np.int64)
-        out[known] = np.searchsorted(bounds, ids[known].to_numpy().astype(np.int64), "right")
-        return pd.Series(out)
+    @F.pandas_udf("int")
+    def shard(ids: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(shards_of(ids, h.to_numpy(), bounds))
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(folder)
         attempt = TaskContext.get().taskAttemptId()
-        shard, file, out, hidden, name, records, size = -1, 0, None, "", "", 0, 0
+        current, file, out, hidden, name, records, size = -1, 0, None, "", "", 0, 0
+        key, firsts = None, {}
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             out.close()
             fs.move(hidden, f"{base}/{name}")
-            return pd.DataFrame([(shard, file, f"{folder}/{name}", records, size)], columns=["shard", "file", "path", "records", "bytes"])
+            return pa.RecordBatch.from_pylist([dict(zip(names, (current, file, f"{folder}/{name}", records, size)))], schema=kinds)
 
         for batch in batches:
-            for s, page, url, html, first in zip(batch["shard"], batch["page"], batch["url"], batch["html"], batch["first"]):
-                if out is not None and (s != shard or size >= roll_bytes):
-                    yield close()
-                    out, file = None, file + 1
-                if s != shard:
-                    shard, file = s, 0
-                if out is None:
-                    fs.create_dir(base, recursive=True)
-                    name, records, size = f"shard-{shard:08d}-{file:05d}.warc.gz", 0, 0
-                    hidden = f"{base}/_{name}-{attempt}"
-                    out = fs.open_output_stream(hidden, compression=None)
-                page = None if page is None else int(page)
-                first = None if first is None or int(first) == page else int(first)
-                data = packed(record(page, url, html.encode("utf-8", "surrogatepass"), first))
-                out.write(data)
-                records, size = records + 1, size + len(data)
+            for at in range(0, batch.num_rows, 200):
+                for s, page, h, digest, first, url, html in zip(*(c.to_pylist() for c in batch.slice(at, 200).columns)):
+                    if (page, h) != key:
+                        key, firsts = (page, h), {}
+                    if digest is not None:  # a reference; it comes before the pages it is for
+                        firsts[digest] = first
+                        continue
+                    if out is not None and (s != current or size >= roll_bytes):
+                        yield close()
+                        out, file = None, file + 1
+                    if s != current:
+                        current, file = s, 0
+                    if out is None:
+                        fs.create_dir(base, recursive=True)
+                        name, records, size = f"shard-{current:08d}-{file:05d}.warc.gz", 0, 0
+                        hidden = f"{base}/_{name}-{attempt}"
+                        out = fs.open_output_stream(hidden, compression=None)
+                    payload = html.encode("utf-8", "surrogatepass")
+                    data = packed(record(page, url, payload, firsts.get(hashlib.sha1(payload).digest()) if firsts else None))
+                    out.write(data)
+                    records, size = records + 1, size + len(data)
         if out is not None:
             yield close()
 
+    names = MANIFEST.replace(",", "").split()[::2]
+    kinds = pa.schema([("shard", pa.int64()), ("file", pa.int32()), ("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
+    refs = references(digests, least_bytes).select("page_id", "h", "digest", "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
+    both = rows.select("page_id", "h", F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("first"), "url", "html").unionByName(refs)
     # ids travel as text: pandas would turn a long column with nulls into doubles
-    rows = with_first(pages, least_bytes).withColumn("shard", shard_of("page_id"))
-    rows = rows.repartitionByRange("shard").sortWithinPartitions("shard", "page_id", "digest", "url")
-    rows = rows.select("shard", F.col("page_id").cast("string").alias("page"), "url", "html", F.col("first").cast("string").alias("first"))
-    found = sorted(map(tuple, rows.mapInPandas(write, MANIFEST).collect()))
+    both = both.select((shard(F.col("page_id").cast("string"), "h") if sum(map(len, bounds)) else F.lit(0)).alias("shard"), *both.columns)
+    both = both.repartition("shard").sortWithinPartitions("shard", "page_id", "h", F.col("digest").desc_nulls_last(), "url", "html")
+    found = sorted(map(tuple, both.mapInArrow(write, MANIFEST).collect()))
+    discard(digests)
     manifest = f"{folder}/_manifest"
     spark.createDataFrame(found, MANIFEST).coalesce(1).write.parquet(manifest)
     return spark.read.schema(MANIFEST).parquet(manifest)

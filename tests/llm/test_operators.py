@@ -198,7 +198,7 @@ def test_warc(spark, empty):
     r = random.Random(9)
     pages = [(i, f"http://h/{i}", r.choice(["<p>same</p>", "", None, f"<i>é{i}</i>" * r.randint(1, 50)])) for i in range(60)]
     rows = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).repartition(5)
-    manifests = [warc.write_warc(rows.repartition(n), rows_per_shard=13, roll_bytes=600) for n in (2, 5)]
+    manifests = [warc.write_warc(rows.repartition(n), shard_bytes=4000, roll_bytes=600) for n in (2, 5)]
     first = {}
     for i, _, html in pages:
         first.setdefault(html or "", i)
