@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, decontaminate, fingerprint, lang_id, line_dedup, near_dup, repeats, sharding, token_files, warc
-from quillspark.llm.cluster import staged
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,23 +56,17 @@ def op6_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    """Of each row; repeated rows are weighed once. Rows are known by k, which no null makes null, and the hash of the text."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    rows = fingerprint.with_edited(docs).withColumn("text_hash", F.xxhash64("text"))
-    same = (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")
-    keys = ["k", "text_hash"]
-    found = staged(fingerprint.fingerprint_pairs(rows.dropDuplicates(keys), keys, "text", "edited", same), "fingerprints")
-    rows = rows.select(*keys, "doc_id", "n_chars", "next_id", F.sha2("edited", 256).alias("edited_sha256")).join(found, keys)
-    first = found.groupBy("k").agg(F.min_by("fingerprint", "text_hash").alias("next_fingerprint")).withColumnRenamed("k", "next_k")
-    rows = rows.join(first, F.when(F.col("next_id").isNotNull(), F.xxhash64("next_id")) == F.col("next_k"), "left")
+    """Of each row; near_next is null only if no row has an id."""
+    rows = fingerprint.compared(table(spark, folder, "documents").select("doc_id", "text"))
+    own, edited = F.col("fingerprint"), F.col("edited_fingerprint")
     return rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        fingerprint.as_text(F.col("fingerprint")).alias("fingerprint"),
-        fingerprint.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
-        fingerprint.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        fingerprint.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        fingerprint.as_text(own).alias("fingerprint"),
+        fingerprint.as_text(edited).alias("edited_fingerprint"),
+        fingerprint.likeness(own, edited).alias("near_edited"),
+        fingerprint.likeness(own, F.col("next_fingerprint")).alias("near_next"),
     )
 
 
