@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,12 +37,17 @@ def token_normalize(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.translate(c, "　", " "), r"\s+", " ")))
 
 
-def screaming_name(c: Column) -> Column:
-    return F.upper(F.regexp_replace(F.regexp_replace(F.trim(c), "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""))
+def constant_name(c: Column) -> Column:
+    """Upper case, other characters as single underscores; a leading digit gets one before it, nothing is UNKNOWN."""
+    x = F.regexp_replace(F.regexp_replace(F.upper(F.trim(c)), "[^A-Z0-9]+", "_"), "^_+|_+$", "")
+    return F.when(x.rlike("^[0-9]"), F.concat(F.lit("_"), x)).when(x == "", F.lit("UNKNOWN")).otherwise(x)
 
 
-def pascal_name(c: Column) -> Column:
-    return F.array_join(F.transform(F.split(F.trim(F.regexp_replace(c, "[^A-Za-z0-9]+", " ")), " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 255)))), "")
+def class_name(c: Column) -> Column:
+    """Words between blanks, underscores, hyphens and dots, each with a large first letter and otherwise as it is."""
+    words = F.filter(F.split(F.trim(c), "[ _.-]+"), lambda w: w != "")
+    x = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 2147483647))), "")
+    return F.when(x.rlike("^[0-9]"), F.concat(F.lit("_"), x)).when(x == "", F.lit("UnknownEnum")).otherwise(x)
 
 
 def short_hash(c: Column) -> Column:
@@ -55,38 +62,66 @@ def clamp_name(c: Column, most: int) -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - 7), F.lit("_"), short_hash(c))).otherwise(c)
 
 
-def sql_literal(c: Column, backslashes: bool = False) -> Column:
-    """A value as an SQL literal: null as NULL, quotes doubled, and backslashes too where the dialect asks for it."""
-    x = c.cast("string")
+def plain_number(c: Column) -> Column:
+    """A double as text the way scripts print numbers: 5 for 5.0, no exponent from 1e-6 up to 1e21."""
+    fixed = F.regexp_replace(c.try_cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
+    return F.when((F.abs(c) < 1e21) & ((F.abs(c) >= 1e-6) | (c == 0)), F.coalesce(fixed, c.cast("string"))).otherwise(c.cast("string"))
+
+
+def sql_literal(c: Column, kind: str = "string", backslashes: bool = False) -> Column:
+    """A value as an SQL literal, by its Spark type: null and numbers that aren't finite as NULL, numbers and booleans as they
+    are, all else as text with quotes doubled, and backslashes too where the dialect takes them for escapes."""
+    if kind == "boolean":
+        return F.coalesce(F.upper(c.cast("string")), F.lit("NULL"))
+    if kind in ("double", "float"):
+        return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), F.lit("NULL")).otherwise(plain_number(c.cast("double")))
+    if kind in ("tinyint", "smallint", "int", "bigint") or kind.startswith("decimal"):
+        return F.coalesce(c.cast("string"), F.lit("NULL"))
+    x = F.replace(c.cast("string"), F.lit("'"), F.lit("''"))
     if backslashes:
         x = F.replace(x, F.lit("\\"), F.lit("\\\\"))
-    return F.when(c.isNull(), F.lit("NULL")).otherwise(F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("''")), F.lit("'")))
+    return F.when(c.isNull(), F.lit("NULL")).otherwise(F.concat(F.lit("'"), x, F.lit("'")))
+
+
+def literals(df: DataFrame, columns: list[str], backslashes: bool = False) -> dict[str, Column]:
+    """The literal of each column, by the column's type."""
+    kinds = dict(df.dtypes)
+    return {c: sql_literal(F.col(c), kinds[c], backslashes) for c in columns}
 
 
-def csv_cell(c: Column, also: str = "") -> Column:
-    """A CSV cell: empty for null, quoted where it has a comma, a quote or a line feed."""
+def csv_cell(c: Column, delimiter: str = ",", also: str = "") -> Column:
+    """A CSV cell: empty for null, quoted where it has the delimiter, a quote, a line feed or a character of ``also``."""
     x = F.coalesce(c.cast("string"), F.lit(""))
-    return F.when(x.rlike(f'[,"\n{also}]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
+    quoted = F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(reduce(or_, (x.contains(m) for m in [delimiter, '"', "\n", *also])), quoted).otherwise(x)
+
+
+def csv_line(df: DataFrame, columns: list[str], delimiter: str = ",") -> Column:
+    """A row as a line for clients: carriage returns are quoted too, booleans are true and false, 5.0 is 5."""
+    kinds = dict(df.dtypes)
+    cell = lambda c: plain_number(F.col(c).cast("double")) if kinds[c] in ("double", "float") else F.col(c)
+    return F.concat_ws(delimiter, *(csv_cell(cell(c), delimiter, "\r") for c in columns))
 
 
 def markdown_cell(c: Column) -> Column:
     return F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
 
 
-#: Kinds of cells and of observed values with their patterns, in the order in which they are tried.
+#: Kinds of CSV cells, and kinds of observed texts, with their patterns in the order in which they are tried.
 CELL_KINDS = [
-    ("integer", r"^[+-]?[0-9]+$"),
-    ("decimal", r"^[+-]?[0-9]*\.[0-9]+$"),
+    ("integer", r"^-?[0-9]+$"),
+    ("decimal", r"^-?[0-9]+\.[0-9]+$"),
     ("boolean", r"^(?i)(true|false)$"),
-    ("datetime", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2})?.*)?$"),
+    ("datetime", r"^(?i)[0-9]{4}-[0-9]{2}-[0-9]{2}([ t][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(z|[+-][0-9]{2}:?[0-9]{2})?)?$"),
 ]
 VALUE_KINDS = [
-    ("uuid", r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"),
-    ("email", r"^[^\s@]+@[^\s@]+\.[^\s@]+$"),
-    ("timestamp", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}.*)?$"),
-    ("json", r"^\s*[\[{]"),
-    ("integer", r"^-?[0-9]+$"),
-    ("decimal", r"^-?[0-9]+\.[0-9]+$"),
+    ("uuid-like", r"^(?i)[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"),
+    ("email-like", r"^[^\s@]+@[^\s@]+\.[^\s@]+$"),
+    ("timestamp-like", r"^(?i)[0-9]{4}-[0-9]{2}-[0-9]{2}([ t][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(z|[+-][0-9]{2}:[0-9]{2})?)?$"),
+    ("json-like", r"^(?s)[\[{].*[\]}]$"),
+    ("integer-like", r"^-?[0-9]+$"),
+    ("number-like", r"^-?[0-9]+\.[0-9]+$"),
+    ("long-text", r"^(?s).{49,}$"),
 ]
 
 
@@ -97,17 +132,43 @@ def kind_of(c: Column, kinds: list[tuple[str, str]], blank: str, other: str = "t
     return reduce(lambda w, k: w.when(x.rlike(k[1]), F.lit(k[0])), kinds, start).otherwise(F.lit(other))
 
 
+def observed_kind(c: Column, kind: str = "string") -> Column:
+    """The kind of an observed value, by the Spark type of its column; texts by their patterns."""
+    if kind == "boolean":
+        found = F.lit("boolean")
+    elif kind in ("double", "float") or kind.startswith("decimal"):
+        found = F.when(c == F.floor(c), "integer").otherwise("number")
+    elif kind in ("tinyint", "smallint", "int", "bigint"):
+        found = F.lit("integer")
+    else:
+        found = kind_of(c, VALUE_KINDS, "empty-text")
+    return F.when(c.isNull(), "null").otherwise(found)
+
+
+def one_line(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
 def sql_pattern(c: Column) -> Column:
-    """A statement with literals as ?, white space collapsed, lower case."""
-    x = F.regexp_replace(c, "'[^']*'", "?")
-    x = F.regexp_replace(x, r"\b[0-9]+(\.[0-9]+)?\b", "?")
-    x = F.regexp_replace(x, r"\s+", " ")
-    x = F.regexp_replace(x, r"\(\s*\?(\s*,\s*\?)*\s*\)", "(?)")
-    return F.lower(F.trim(F.regexp_replace(x, ";+$", "")))
+    """A statement on one line with its literals, and what stands in quotes of any kind, as question marks."""
+    x = one_line(c)
+    for literal in (r"'([^']|'')*'", r'"([^"]|"")*"', r"`[^`]*`", r"\b[0-9]+(?:\.[0-9]+)?\b", r"(?i)\btrue\b|\bfalse\b|null\b"):
+        x = F.regexp_replace(x, literal, "?")
+    return F.trim(x)
+
 
+def statement_kind(c: Column) -> Column:
+    """select, insert, update, delete or unknown, by the first word after blanks and comments."""
+    x = F.lower(F.regexp_replace(c, r"^(\s|--[^\n]*\n?|/\*(?s:.*?)\*/)+", ""))
+    found = F.when(x.startswith("select ") | x.startswith("with "), "select")
+    return reduce(lambda w, k: w.when(x.startswith(f"{k} "), k), ("insert", "update", "delete"), found).otherwise("unknown")
 
-def shortened(c: Column, most: int) -> Column:
-    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)
+
+def shortened(c: Column, most: int = 88) -> Column:
+    """On one line; longer ones are cut so that the dots still fit."""
+    x = one_line(c)
+    cut = F.concat(F.rtrim(F.substring(x, 1, max(0, most - 3))), F.lit("..."))
+    return F.when(F.coalesce(x, F.lit("")) == "", F.lit("(empty SQL)")).when(F.length(x) <= most, x).otherwise(cut)
 
 
 def comment_meaning(c: Column) -> Column:
@@ -116,8 +177,36 @@ def comment_meaning(c: Column) -> Column:
     return F.array_join(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 
+#: What parts the words of a name in searches.
+SEPARATORS = r"[\s_\-./\\]+"
+
+
 def search_key(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), r"[\s_\-./\\]+", "")
+    return F.regexp_replace(F.lower(c), SEPARATORS, "")
+
+
+def search_tokens(c: Column) -> Column:
+    return F.filter(F.split(F.lower(c), SEPARATORS), lambda w: w != "")
+
+
+def allowed_edits(query: str) -> int:
+    """Edits that a query of so many characters may be off by."""
+    return next((edits for most, edits in ((4, 1), (7, 3), (10, 4)) if len(query) <= most), 5)
+
+
+def fuzzy_match(c: Column, query: str) -> Column:
+    """If a name has the query in it, as a part, as a subsequence (from three characters on), or within the allowed edits of one
+    of its words or of its beginning. Case and separators have no meaning; full-width forms are taken as they are."""
+    q = re.sub(SEPARATORS, "", query.lower())
+    if not q:
+        return F.lit(True)
+    name, tokens = search_key(c), search_tokens(c)
+    within = ".*".join(map(re.escape, q)) if len(q) >= 3 else None
+    near = lambda x: F.levenshtein(x, F.lit(q)) <= allowed_edits(q)
+    hits = [name.contains(q), F.exists(tokens, lambda t: t.contains(q) | near(t)), near(F.substring(name, 1, len(q)))]
+    if within:
+        hits += [name.rlike(within), F.exists(tokens, lambda t: t.rlike(within))]
+    return (F.coalesce(name, F.lit("")) != "") & reduce(or_, hits)
 
 
 def bigrams(c: Column) -> Column:
@@ -126,17 +215,22 @@ def bigrams(c: Column) -> Column:
     return F.when(n <= 1, F.filter(F.array(c), lambda x: x != "")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(c, i, 2)))
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def counted(found: Column) -> Column:
     """Elements told apart by occurrence, so that set functions count like those of multisets."""
-    s = F.array_sort(found)
-    return F.transform(s, lambda x, i: F.concat_ws("\u0001", x, (i - F.array_position(s, x)).cast("string")))
+    return let(F.array_sort(found), lambda s: F.transform(s, lambda x, i: F.concat_ws("\u0001", x, (i - F.array_position(s, x)).cast("string"))))
 
 
 def dice(a: Column, b: Column) -> Column:
     """Similarity by bigrams counted with their multiplicity; 1 for equal texts, 0 if one of them is empty."""
-    a, b = normalize_name(F.coalesce(a, F.lit(""))), normalize_name(F.coalesce(b, F.lit("")))
-    x, y = counted(bigrams(a)), counted(bigrams(b))
-    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
+    names = F.struct(normalize_name(F.coalesce(a, F.lit(""))).alias("a"), normalize_name(F.coalesce(b, F.lit(""))).alias("b"))
+    grams = lambda t: F.struct(counted(bigrams(t["a"])).alias("x"), counted(bigrams(t["b"])).alias("y"))
+    shared = lambda g: 2.0 * F.size(F.array_intersect(g["x"], g["y"])) / (F.size(g["x"]) + F.size(g["y"]))
+    return let(names, lambda t: F.when(t["a"] == t["b"], 1.0).when((t["a"] == "") | (t["b"] == ""), 0.0).otherwise(let(grams(t), shared)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -1,8 +1,8 @@
 """Row comparison of two versions of a table on stable keys.
 
 Null keys match null keys. A compare column that only one side has counts as changed in every matched row. Where a key is
-repeated on a side, the row with the greatest ordinal wins. One full outer join on null-safe keys does the work; Spark plans
-it as a sort-merge join, and adaptive execution splits skewed partitions.
+repeated on a side, the row with the greatest ordinal wins. One full outer join on null-safe keys does the work, a sort-merge
+join. Adaptive execution doesn't split skewed partitions of a full outer join; with one row a key none is skewed.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from functools import reduce
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ACTIONS = {"source_only": "insert", "target_only": "delete", "value_changed": "update", "unchanged": "none"}
@@ -37,9 +36,11 @@ def stable_key(primary: list[str], unique: list[list[str]], business: list[str])
 
 
 def keep_last(df: DataFrame, keys: list[str], ordinal: list[Column]) -> DataFrame:
-    """One row a key: the one that comes last in the ordinal."""
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*[o.desc() for o in ordinal]))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """One row a key: the one that comes last in the ordinal. An aggregate, so each task sends one row a key and a key that very
+    many rows have is no burden."""
+    rest = [c for c in df.columns if c not in keys]
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*ordinal)).alias("_row")) if rest else df.select(*keys).distinct()
+    return last.select(*(F.col(f"_row.{c}").alias(c) if c in rest else F.col(c) for c in df.columns))
 
 
 def suggested_action(status: Column) -> Column:
@@ -74,6 +75,13 @@ def classify(source: DataFrame, target: DataFrame, keys: list[str], compare: lis
     )
 
 
+def statuses(source: DataFrame, target: DataFrame, keys: list[str], compare: list[str] | None = None) -> DataFrame:
+    """keys and status alone: only keys and compared columns are read and shuffled."""
+    compare = compare_columns(compare, source.columns, target.columns, keys)
+    kept = lambda df: df.select(*keys, *(c for c in compare if c in df.columns and c not in keys))
+    return classify(kept(source), kept(target), keys, compare).select(*keys, "status")
+
+
 def status_counts(classified: DataFrame) -> DataFrame:
     return classified.groupBy("status").agg(F.count("*").alias("n_rows"))
 
@@ -88,7 +96,7 @@ def field_deltas(classified: DataFrame, keys: list[str], columns: list[str]) ->
 def detail_page(classified: DataFrame, keys: list[str], limit: int = 100, offset: int = 0, include_unchanged: bool = False) -> DataFrame:
     """A page of rows in the order of their keys as JSON text, one row more than ``limit`` to tell if there is another page."""
     rows = classified if include_unchanged else classified.where("status != 'unchanged'")
-    return rows.withColumn("row_key", F.to_json(F.struct(*sorted(keys)))).orderBy("row_key").offset(offset).limit(limit + 1)
+    return rows.withColumn("row_key", F.to_json(F.struct(*sorted(keys)), {"ignoreNullFields": "false"})).orderBy("row_key").offset(offset).limit(limit + 1)
 
 
 def sample_rows(classified: DataFrame, keys: list[str], k: int = 20) -> DataFrame:
@@ -99,15 +107,16 @@ def sample_rows(classified: DataFrame, keys: list[str], k: int = 20) -> DataFram
 
 
 def row_hash(df: DataFrame) -> Column:
-    """SHA-256 of a row: its columns in name order as name=value, null as null."""
-    return F.sha2(F.concat_ws("|", *(F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in sorted(df.columns))), 256)
+    """SHA-256 of a row as JSON, its columns in name order; null isn't the text null."""
+    return F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
 
 
 def snapshot_hash(df: DataFrame) -> DataFrame:
-    """n_rows and the sums of two 32-bit parts of the row hashes: equal for equal bags of rows, in whatever order.
+    """n_rows and hash: the sums of the eight 32-bit parts of the row hashes, as text; equal for equal bags of rows, in any order.
 
-    Sums are taken in parts, so unlike a digest of sorted rows this needs no single task that sees all rows.
+    Sums of parts need no single task that sees all rows, unlike a digest of sorted rows.
     """
     h = row_hash(df)
-    part = lambda i: F.conv(F.substring(h, i, 8), 16, 10).cast("decimal(20,0)")
-    return df.select(part(1).alias("a"), part(9).alias("b")).agg(F.count("*").alias("n_rows"), F.sum("a").cast("decimal(38,0)").alias("hash_a"), F.sum("b").cast("decimal(38,0)").alias("hash_b"))
+    parts = df.select(*(F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("decimal(20,0)").alias(f"p{i}") for i in range(8)))
+    sums = parts.agg(F.count("*").alias("n_rows"), *(F.sum(f"p{i}").cast("decimal(38,0)").cast("string").alias(f"p{i}") for i in range(8)))
+    return sums.select("n_rows", F.concat_ws("-", *(F.coalesce(f"p{i}", F.lit("0")) for i in range(8))).alias("hash"))

@@ -17,31 +17,27 @@ def any_cell_contains(columns: list[str], needle: str) -> Column:
     return reduce(or_, (F.coalesce(F.lower(F.col(c).cast("string")), F.lit("")).contains(needle.lower()) for c in columns))
 
 
-def _long(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns))))
-
-
 def value_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column_name, n_rows, n_null, max_length and kinds (sorted, comma-separated) in one aggregate."""
-    kind = text.kind_of(F.col("value"), text.VALUE_KINDS, "empty")
-    return _long(df, columns).groupBy("column_name").agg(
+    """column_name, n_rows, n_null, max_length and kinds (sorted, comma-separated; without null) of all rows in one aggregate."""
+    types = dict(df.dtypes)
+    each = F.array(*(F.struct(F.lit(c).alias("column_name"), text.observed_kind(F.col(c), types[c]).alias("kind"), F.length(F.trim(F.col(c).cast("string"))).alias("n")) for c in columns))
+    return df.select(F.inline(each)).groupBy("column_name").agg(
         F.count("*").alias("n_rows"),
-        F.count_if(F.col("value").isNull()).alias("n_null"),
-        F.max(F.length(F.trim("value"))).alias("max_length"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("value").isNotNull(), kind))), ",").alias("kinds"),
+        F.count_if(F.col("kind") == "null").alias("n_null"),
+        F.max("n").alias("max_length"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("kind") != "null", F.col("kind")))), ",").alias("kinds"),
     )
 
 
 def column_kinds(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The kind that all non-blank cells of a column have (integers count as decimals, else text), and the type for it."""
+    """column_name, kind and max_length (trimmed): the kind that all non-blank cells of a text column have, decimal for integers and
+    decimals, else text."""
+    each = F.array(*(F.struct(F.lit(c).alias("column_name"), F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias("value")) for c in columns))
     kind = text.kind_of(F.col("value"), text.CELL_KINDS, "blank")
-    rows = _long(df, columns).groupBy("column_name").agg(F.collect_set(kind).alias("k"), F.max(F.length("value")).alias("max_length"))
+    rows = df.select(F.inline(each)).groupBy("column_name").agg(F.collect_set(kind).alias("k"), F.max(F.length("value")).alias("max_length"))
     k = F.array_remove("k", "blank")
     found = F.when(F.size(k) == 1, F.get(k, 0)).when((F.size(k) == 2) & F.array_contains(k, "integer") & F.array_contains(k, "decimal"), "decimal").otherwise("text")
-    width = F.least(F.lit(255), F.ceil(F.col("max_length") * 1.2))
-    kinds = rows.select("column_name", found.alias("kind"), "max_length")
-    type_ = F.when(F.col("kind") == "integer", "bigint").when(F.col("kind") == "decimal", "decimal(18,6)").when(F.col("kind") == "boolean", "boolean").when(F.col("kind") == "datetime", "timestamp")
-    return kinds.withColumn("sql_type", type_.when(F.col("max_length") > 255, "text").otherwise(F.concat(F.lit("varchar("), width.cast("string"), F.lit(")"))))
+    return rows.select("column_name", found.alias("kind"), "max_length")
 
 
 def insert_batches(rows: DataFrame, group: str, place: str, order: str, columns: dict[str, bool], size: int) -> DataFrame:
@@ -69,13 +65,3 @@ def pair_in_turn(old: DataFrame, new: DataFrame, old_key: str, new_key: str, old
     a = old.withColumn("_i", F.row_number().over(W.partitionBy(old_key).orderBy(old_order)))
     b = new.withColumn("_j", F.row_number().over(W.partitionBy(new_key).orderBy(new_order)))
     return a.join(b, (F.col(old_key) == F.col(new_key)) & (F.col("_i") == F.col("_j"))).drop("_i", "_j")
-
-
-#: Fields of a column whose change breaks users, and those that change nothing but descriptions.
-BREAKING, METADATA = ["type", "size", "not_null", "primary_key", "name"], ["comment", "logical_name"]
-
-
-def impact(changed: Column) -> Column:
-    """breaking, non_breaking or metadata, from the names of changed fields."""
-    lits = lambda xs: F.array(*map(F.lit, xs))
-    return F.when(F.arrays_overlap(changed, lits(BREAKING)), "breaking").when(F.size(F.array_except(changed, lits(METADATA))) == 0, "metadata").otherwise("non_breaking")

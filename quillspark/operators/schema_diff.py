@@ -1,13 +1,10 @@
-"""Comparison of schemas held as frames of (table_name, column_name, type, nullable, is_pk), and matching by similarity."""
+"""Comparison of live schemas held as frames of (table_name, column_name, type, nullable, is_pk), by exact names."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.functions import text
-
 COLUMN_SCHEMA = "table_name string, column_name string, position int, type string, nullable boolean, is_pk boolean"
 
 
@@ -40,30 +37,6 @@ def signatures(columns: DataFrame) -> DataFrame:
     return columns.groupBy("table_name").agg(F.array_join(F.array_sort(F.collect_list("column_name")), ",").alias("c")).select(F.concat_ws("|", "table_name", "c").alias("signature"))
 
 
-def column_scores(old: DataFrame, new: DataFrame) -> DataFrame:
-    """old, new and the weighted score of each pair of columns of one table: 0.7 name, 0.2 type, 0.1 constraints."""
-    a, b = (df.select("table_name", *(F.col(c).alias(f"{side}_{c}") for c in ("column_name", "type", "nullable", "is_pk"))) for df, side in ((old, "old"), (new, "new")))
-    same = lambda c: F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}")).cast("double")
-    score = 0.7 * text.dice(F.col("old_column_name"), F.col("new_column_name")) + 0.2 * same("type") + 0.05 * same("nullable") + 0.05 * same("is_pk")
-    return a.join(b, "table_name").select("table_name", F.col("old_column_name").alias("old"), F.col("new_column_name").alias("new"), F.round(score, 6).alias("score"))
-
-
-def greedy_pairs(scores: DataFrame, least: float) -> DataFrame:
-    """One-to-one pairs within each table, best score first, ties by names. A table's pairs are a group of bounded size."""
-    import pandas as pd
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        used_old, used_new, out = set(), set(), []
-        for r in group.sort_values(["score", "old", "new"], ascending=[False, True, True]).itertuples(index=False):
-            if r.old not in used_old and r.new not in used_new:
-                used_old.add(r.old)
-                used_new.add(r.new)
-                out.append(r)
-        return pd.DataFrame(out, columns=group.columns)
-
-    return scores.where(F.col("score") >= least).groupBy("table_name").applyInPandas(pick, scores.schema)
-
-
 def assemble_indexes(parts: DataFrame) -> DataFrame:
     """Rows of (table_name, index_name, seq, column_name) as one row an index with its columns in order."""
     x = F.array_sort(F.collect_list(F.struct("seq", "column_name")))
@@ -77,16 +50,6 @@ def join_conditions(fks: DataFrame) -> DataFrame:
     return fks.groupBy("constraint_name").agg(x.alias("x")).select("constraint_name", F.array_join(F.col("x.c"), " AND ").alias("condition"))
 
 
-def resolve_names(names: DataFrame, scope: str, name: str, order: str, reserved: list[str], most: int = 64) -> DataFrame:
-    """Physical names made valid: normalised, reserved words prefixed, long ones cut, and repeats in a scope numbered."""
-    x = text.physical_name(F.col(name))
-    x = F.when(x.isin(reserved), F.concat(F.lit("t_"), x)).otherwise(x)
-    made = names.withColumn("base", text.clamp_name(x, most))
-    i = F.row_number().over(W.partitionBy(scope, "base").orderBy(order))
-    made = made.withColumn("i", i)
-    return made.withColumn("resolved", F.when(F.col("i") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("i").cast("string")))).drop("i", "base")
-
-
 def ddl(columns: DataFrame, quote: str = "`") -> DataFrame:
     """table_name and a CREATE TABLE statement for each table."""
     q = lambda c: F.concat(F.lit(quote), c, F.lit(quote))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import apply, diff
-from quillspark.plans.registry import query, table
+from quillspark.plans.registry import query, table, values_sql
 
 KEYS, COMPARE = ["o_orderkey"], ["o_orderstatus", "o_orderpriority"]
 
@@ -37,7 +37,7 @@ def compared(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(VERSIONS + "select status, count(*) as n_rows from cmp group by status")
 def diff_status_counts(spark, folder):
-    return diff.status_counts(compared(spark, folder))
+    return diff.status_counts(diff.statuses(*versions(spark, folder), KEYS, COMPARE))
 
 
 @query(VERSIONS + """select o_orderkey, 'o_orderstatus' as column_name, s_status as source_value, t_status as target_value, s_status is distinct from t_status as changed from cmp where status in ('value_changed', 'unchanged')
@@ -59,7 +59,7 @@ def diff_sample_rows(spark, folder):
 
 @query(VERSIONS + "select coalesce(status, 'all') as status, count(*) as n_rows from cmp group by rollup(status)")
 def diff_totals(spark, folder):
-    return compared(spark, folder).rollup("status").agg(F.count("*").alias("n_rows")).withColumn("status", F.coalesce("status", F.lit("all")))
+    return diff.statuses(*versions(spark, folder), KEYS, COMPARE).rollup("status").agg(F.count("*").alias("n_rows")).withColumn("status", F.coalesce("status", F.lit("all")))
 
 
 @query(VERSIONS + "select column_name, sum(case when changed then 1 else 0 end) as n_changed from (select 'o_orderstatus' as column_name, s_status is distinct from t_status as changed from cmp where status = 'value_changed' union all select 'o_orderpriority', s_priority is distinct from t_priority from cmp where status = 'value_changed') group by column_name")
@@ -68,15 +68,22 @@ def diff_changed_columns(spark, folder):
     return rows.groupBy("column_name").agg(F.sum(F.col("changed").cast("long")).alias("n_changed"))
 
 
-@query("select count(*) as n_rows, min(h) as least_hash, max(h) as greatest_hash from (select sha256('n_name=' || coalesce(n_name, 'null') || '|n_nationkey=' || coalesce(cast(n_nationkey as varchar), 'null') || '|n_regionkey=' || coalesce(cast(n_regionkey as varchar), 'null')) as h from nation)")
+HASHED = [("a", None, 1), ("null", "x|b=y", None), (None, "null", 2), ('quote"', "é", 3)]
+JSON_SQL = """'{"a":' || coalesce('"' || replace(a, '"', chr(92) || '"') || '"', 'null') || ',"b":' || coalesce('"' || replace(b, '"', chr(92) || '"') || '"', 'null') || ',"n":' || coalesce(cast(n as varchar), 'null') || '}'"""
+
+
+@query(f"select n, sha256({JSON_SQL}) as h from {values_sql(HASHED, 'b, a, n')}")
 def snapshot_row_hashes(spark, folder):
-    rows = table(spark, folder, "nation")
-    return rows.select(diff.row_hash(rows).alias("h")).agg(F.count("*").alias("n_rows"), F.min("h").alias("least_hash"), F.max("h").alias("greatest_hash"))
+    rows = spark.createDataFrame(HASHED, "b string, a string, n int")
+    return rows.select("n", diff.row_hash(rows).alias("h"))
+
+
+PART = "cast(sum(cast(('0x' || substr(h, {0}, 8)) as bigint)) as varchar)"
 
 
-@query()
+@query(f"""select count(*) as n_rows, concat_ws('-', {', '.join(PART.format(8 * i + 1) for i in range(8))}) as hash from (select sha256('{{"c_acctbal":' || case when abs(c_acctbal) < 1e7 then cast(c_acctbal as varchar) end || ',"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}}') as h from customer)""")
 def snapshot_hash(spark, folder):
-    return diff.snapshot_hash(table(spark, folder, "orders"))
+    return diff.snapshot_hash(table(spark, folder, "customer"))
 
 
 @query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_shipdate desc, l_partkey desc, l_suppkey desc, l_extendedprice desc) as r from lineitem) where r = 1""")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillspark.functions import text
-from quillspark.operators import paging, profile
+from quillspark.functions import cells, text
+from quillspark.operators import paging, profile, visibility
 from quillspark.plans.registry import query, table
 
 C = F.col
@@ -55,10 +55,9 @@ def text_filter_any_cell(spark, folder):
     return rows.where(profile.any_cell_contains(["event_id", "event_type", "user_id"], "7")).select("event_id")
 
 
-@query("select event_type, 'integer' as kind, count(*) as n from events where value is not null group by event_type")
+@query("select event_type, case when value is null then 'null' when value = floor(value) then 'integer' else 'number' end as kind, count(*) as n from events group by all")
 def observed_kinds(spark, folder):
-    rows = table(spark, folder, "events").where("value is not null")
-    return rows.groupBy("event_type", text.kind_of(C("user_id"), text.VALUE_KINDS, "empty").alias("kind")).agg(F.count("*").alias("n"))
+    return table(spark, folder, "events").groupBy("event_type", text.observed_kind(C("value"), "double").alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("""select 'c_name' as column_name, count(*) as n_rows, sum(case when c_name is null then 1 else 0 end) as n_null, max(length(trim(c_name))) as max_length, 'text' as kinds from customer
@@ -68,14 +67,15 @@ def value_profile(spark, folder):
     return profile.value_profile(table(spark, folder, "customer"), ["c_name", "c_custkey", "c_mktsegment"])
 
 
-@query("""select 'c_custkey' as column_name, 'integer' as kind, max(length(cast(c_custkey as varchar))) as max_length, 'bigint' as sql_type from customer
+@query("""select 'c_custkey' as column_name, 'integer' as kind, max(length(cast(c_custkey as varchar))) as max_length, 'int' as sql_type from customer
 union all select 'c_name', 'text', max(length(c_name)), 'varchar(' || cast(least(255, cast(ceil(1.2 * max(length(c_name))) as bigint)) as varchar) || ')' from customer
 union all select 'c_mktsegment', 'text', max(length(c_mktsegment)), 'varchar(' || cast(least(255, cast(ceil(1.2 * max(length(c_mktsegment))) as bigint)) as varchar) || ')' from customer""")
 def csv_kind_inference(spark, folder):
-    return profile.column_kinds(table(spark, folder, "customer"), ["c_custkey", "c_name", "c_mktsegment"])
+    rows = profile.column_kinds(table(spark, folder, "customer"), ["c_custkey", "c_name", "c_mktsegment"])
+    return rows.withColumn("sql_type", cells.type_of_kind(C("kind"), C("max_length")))
 
 
-@query("""select 'select * from ' || lower(event_type) || ' where user_id = ?' as pattern, count(*) as n, max(ts) as last_seen from events group by event_type""")
+@query("""select 'SELECT * FROM ' || event_type || ' WHERE user_id = ?' as pattern, count(*) as n, max(ts) as last_seen from events group by event_type""")
 def pattern_frequency(spark, folder):
     rows = table(spark, folder, "events").select(F.concat(F.lit("SELECT  * FROM "), "event_type", F.lit(" WHERE user_id = "), "user_id").alias("q"), "ts")
     return rows.groupBy(text.sql_pattern(C("q")).alias("pattern")).agg(F.count("*").alias("n"), F.max("ts").alias("last_seen"))
@@ -111,8 +111,8 @@ def row_window_trim(spark, folder):
 
 @query("select s_suppkey, c_custkey from (select s_suppkey, c_custkey, row_number() over (partition by s_suppkey order by c_custkey) r from supplier join customer on s_nationkey = c_nationkey) where r = 1")
 def exact_pairing_first(spark, folder):
-    rows = table(spark, folder, "supplier").join(table(spark, folder, "customer"), C("s_nationkey") == C("c_nationkey"))
-    return rows.groupBy("s_suppkey").agg(F.min("c_custkey").alias("c_custkey"))
+    first = table(spark, folder, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("c_custkey"))
+    return table(spark, folder, "supplier").join(first, C("s_nationkey") == C("c_nationkey")).select("s_suppkey", "c_custkey")
 
 
 @query("select s_suppkey, c_custkey from (select s_suppkey, s_nationkey, row_number() over (partition by s_nationkey order by s_suppkey) i from supplier) a join (select c_custkey, c_nationkey, row_number() over (partition by c_nationkey order by c_custkey) j from customer) b on s_nationkey = c_nationkey and i = j")
@@ -158,9 +158,9 @@ def jaccard_sets(spark, folder):
     return pairs.withColumn("score", F.round(text.jaccard(C("x"), C("y")), 6)).where("score > 0").select("a", "b", "score")
 
 
-@query("select doc_id, length(text) > 40 as cut, case when length(text) > 40 then substr(text, 1, 40) || '...' else text end as summary from documents")
+@query(r"""select doc_id, case when one = '' or one is null then '(empty SQL)' when length(one) <= 40 then one else rtrim(substr(one, 1, 37)) || '...' end as summary from (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as one from documents)""")
 def shorten_text(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", (F.length("text") > 40).alias("cut"), text.shortened(C("text"), 40).alias("summary"))
+    return table(spark, folder, "documents").select("doc_id", text.shortened(C("text"), 40).alias("summary"))
 
 
 @query("select doc_id, sha256(text) as digest from documents")
@@ -176,8 +176,8 @@ def import_dedupe(spark, folder):
 
 @query("select p_partkey, case when p_size <= 10 then 'breaking' when p_size <= 30 then 'non_breaking' else 'metadata' end as impact from part")
 def impact_classes(spark, folder):
-    fields = F.when(C("p_size") <= 10, F.array(F.lit("type"))).when(C("p_size") <= 30, F.array(F.lit("default"))).otherwise(F.array(F.lit("comment")))
-    return table(spark, folder, "part").select("p_partkey", profile.impact(fields).alias("impact"))
+    fields = F.when(C("p_size") <= 10, F.array(F.lit("dataType"))).when(C("p_size") <= 30, F.array(F.lit("logicalName"))).otherwise(F.array(F.lit("comment")))
+    return table(spark, folder, "part").select("p_partkey", visibility.column_impact(F.lit("modified"), fields).alias("impact"))
 
 
 @query("select p_brand, sum(case when p_size <= 10 then 1 else 0 end) as n_breaking, sum(case when p_size > 10 and p_size <= 30 then 1 else 0 end) as n_non_breaking, sum(case when p_size > 30 then 1 else 0 end) as n_metadata from part group by p_brand")
@@ -185,6 +185,10 @@ def impact_groups(spark, folder):
     return impact_classes(spark, folder).join(table(spark, folder, "part").select("p_partkey", "p_brand"), "p_partkey").groupBy("p_brand").agg(*(F.count_if(C("impact") == k).alias(f"n_{k}") for k in ("breaking", "non_breaking", "metadata")))
 
 
-@query()
+FNV = "list_reduce(list_prepend(cast(2166136261 as bigint), list_transform(range(1, length(p_name) + 1), lambda i: cast(ascii(substr(p_name, i, 1)) as bigint))), lambda h, b: (xor(h, b) * 16777619) % 4294967296)"
+PHYSICAL = r"regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(p_name, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[^A-Za-z0-9]+', '_', 'g')), '_+', '_', 'g'), '^_|_$', '', 'g')"
+
+
+@query(f"""select p_partkey, substr(lpad(lower(to_hex({FNV})), 8, '0'), 1, 6) as hash, case when length({PHYSICAL}) > 12 then substr({PHYSICAL}, 1, 5) || '_' || substr(lpad(lower(to_hex({FNV.replace('p_name', '(' + PHYSICAL + ')')})), 8, '0'), 1, 6) else {PHYSICAL} end as name from part""")
 def short_hashes(spark, folder):
     return table(spark, folder, "part").select("p_partkey", text.short_hash(C("p_name")).alias("hash"), text.clamp_name(text.physical_name(C("p_name")), 12).alias("name"))

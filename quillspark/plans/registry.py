@@ -43,4 +43,20 @@ def delegated(name: str, tables: str, sql: str, duck: str | None = None) -> None
     QUERIES[name], SQL[name] = run, duck or sql
 
 
-from quillspark.plans import diff_queries, function_queries, relational_queries, schema_queries, workbench_queries  # noqa: E402, F401
+def values_sql(rows: list[tuple], names: str, alias: str = "t") -> str:
+    """Rows as a table of an SQL statement."""
+    def literal(v) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, bool):
+            return str(v).lower()
+        if isinstance(v, (list, tuple)):
+            return "[" + ", ".join(map(literal, v)) + "]"
+        if isinstance(v, float):
+            return f"{v!r}::double"
+        return repr(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+
+    return f"(values {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) as {alias}({names})"
+
+
+from quillspark.plans import cell_queries, ddl_queries, diff_queries, function_queries, grid_queries, library_queries, matching_queries, relational_queries, schema_queries, view_queries, workbench_queries  # noqa: E402, F401

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
-from quillspark.operators import schema_diff
+from quillspark.operators import matching, names, schema_diff
 from quillspark.plans.registry import query, table
 
 TABLES = ["customer", "nation", "orders", "part", "region", "supplier"]
@@ -44,12 +44,15 @@ def table_signatures(spark, folder):
     return schema_diff.signatures(old_and_new(spark, folder)[0])
 
 
-@query()
+@query(OLD + """, o as (select table_name, column_name as x from old where (table_name, column_name) not in (select table_name, column_name from new)), n as (select table_name, column_name as y from new where (table_name, column_name) not in (select table_name, column_name from old))
+select o.table_name, x as old, y as new from o join n on o.table_name = n.table_name""")
 def column_matches(spark, folder):
-    """Columns left over after exact matching, paired by similarity, best first."""
-    old, new = old_and_new(spark, folder)
-    keys = ["table_name", "column_name"]
-    return schema_diff.greedy_pairs(schema_diff.column_scores(old.join(new, keys, "left_anti"), new.join(old, keys, "left_anti")), 0.5)
+    """Columns left over after exact matching, paired by similarity, best first: here one pair, of the renamed column."""
+    old, new = (rows.select(F.lit("s").alias("sheet"), "table_name", F.struct(F.col("position").alias("id"), F.lit("").alias("logical"), F.col("column_name").alias("physical"), F.col("type").alias("data_type"), F.lit(None).cast("string").alias("size"), (~F.col("nullable")).alias("not_null"), "is_pk", F.lit(False).alias("auto_increment"), F.lit(None).cast("string").alias("comment")).alias("x")) for rows in old_and_new(spark, folder))
+    scope = ["sheet", "table_name"]
+    pairs = matching.matched(old, new, scope, matching.column_score).where("phase = 'fuzzy'")
+    named = lambda df, side: df.select(*scope, F.col("x.id").alias(f"{side}_id"), F.col("x.physical").alias(side))
+    return pairs.join(named(old, "old"), [*scope, "old_id"]).join(named(new, "new"), [*scope, "new_id"]).select("table_name", "old", "new")
 
 
 @query(OLD + "select table_name, 'pk_' || table_name as index_name, string_agg(column_name, ',' order by position) as columns from old where is_pk group by table_name union all select table_name, 'all_' || table_name, string_agg(column_name, ',' order by position) from old group by table_name")
@@ -67,7 +70,8 @@ def fk_join_condition(spark, folder):
 
 @query("select p_partkey, case when i = 1 then base else base || '_' || cast(i as varchar) end as resolved from (select p_partkey, base, row_number() over (partition by p_type, base order by p_partkey) as i from (select p_partkey, p_type, regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(p_brand, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '[^A-Za-z0-9]+', '_', 'g')), '_+', '_', 'g'), '^_|_$', '', 'g') as base from part))")
 def name_fix_plan(spark, folder):
-    return schema_diff.resolve_names(table(spark, folder, "part").select("p_partkey", "p_brand", "p_type"), "p_type", "p_brand", "p_partkey", ["order", "group", "select"]).select("p_partkey", "resolved")
+    rows = names.name_plan(table(spark, folder, "part").select("p_partkey", "p_brand", "p_type"), ["p_type"], "p_partkey", ["p_brand"], "'unnamed'")
+    return rows.select("p_partkey", F.col("after").alias("resolved"))
 
 
 @query(OLD + "select table_name, 'CREATE TABLE `' || table_name || '` (' || chr(10) || string_agg('  `' || column_name || '` ' || upper(type), ',' || chr(10) order by position) || ',' || chr(10) || '  PRIMARY KEY (`' || max(case when is_pk then column_name end) || '`)' || chr(10) || ')' as ddl from old group by table_name")
@@ -75,7 +79,9 @@ def create_table_ddl(spark, folder):
     return schema_diff.ddl(old_and_new(spark, folder)[0])
 
 
-@query()
+@query(OLD + """select coalesce(o.table_name, n.table_name) as table_name, coalesce(o.column_name, n.column_name) as column_name, case when n.column_name is null then 2 else 1 end as step,
+'ALTER TABLE `' || coalesce(o.table_name, n.table_name) || '` ' || case when n.column_name is null then 'DROP COLUMN `' || o.column_name || '`' when o.column_name is null then 'ADD COLUMN `' || n.column_name || '` ' || upper(n.type) else 'MODIFY COLUMN `' || n.column_name || '` ' || upper(n.type) end as statement
+from old o full join new n on o.table_name = n.table_name and o.column_name = n.column_name where o.column_name is null or n.column_name is null or o.type <> n.type""")
 def alter_plan(spark, folder):
     old, new = old_and_new(spark, folder)
     return schema_diff.alter_statements(schema_diff.column_diff(old, new), new)

@@ -73,7 +73,7 @@ def profile_merge(spark, folder):
 
 @query("select p_partkey, upper(regexp_replace(p_type, '[^A-Za-z0-9]+', '_', 'g')) as enum_name, regexp_replace(lower(trim(p_type)), '\\s+', ' ', 'g') as token, regexp_matches(p_name, '^[a-z][a-z0-9]*(_[a-z0-9]+)*$') as valid from part")
 def enum_names(spark, folder):
-    return table(spark, folder, "part").select("p_partkey", text.screaming_name(F.col("p_type")).alias("enum_name"), text.token_normalize(F.col("p_type")).alias("token"), text.is_valid_name(F.col("p_name")).alias("valid"))
+    return table(spark, folder, "part").select("p_partkey", text.constant_name(F.col("p_type")).alias("enum_name"), text.token_normalize(F.col("p_type")).alias("token"), text.is_valid_name(F.col("p_name")).alias("valid"))
 
 
 @query("select c_mktsegment, count(*) as n_rows, sum(case when c_acctbal < 0 then 1 else 0 end) as n_error, sum(case when c_acctbal >= 0 and c_acctbal < 100 then 1 else 0 end) as n_warning from customer group by c_mktsegment")

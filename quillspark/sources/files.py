@@ -2,29 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from urllib.parse import parse_qsl, unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.plans import sqltext
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own where spark.checkpoint.dir is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+from quillspark.shared import fresh_dir
 
 
 def write_bytes(spark: SparkSession, name: str, data: bytes) -> str:
     """Writes one small file to a new folder within the shared one, and gives that folder."""
     from pyarrow import fs
 
-    folder = f"{shared_dir(spark)}/file-{uuid.uuid4().hex}"
+    folder = fresh_dir(spark, "file")
     system, path = fs.FileSystem.from_uri(folder if "://" in folder else "file:///" + folder.removeprefix("file:").lstrip("/"))
     system.create_dir(path, recursive=True)
     with system.open_output_stream(f"{path}/{name}", compression=None) as out:
@@ -49,7 +39,7 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, delimite
 
 
 def csv_round_trip(df: DataFrame) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/csv-{uuid.uuid4().hex}"
+    path = fresh_dir(df.sparkSession, "csv")
     write_csv(df, path)
     return read_csv(df.sparkSession, path, schema=", ".join(f"{n} {t}" for n, t in df.dtypes))
 

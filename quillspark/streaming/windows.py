@@ -24,10 +24,17 @@ def sessions(rows: DataFrame, key: str, time: str, order: str, gap_seconds: int)
 
 
 def upsert_counts(spark, stream: DataFrame, key: str, name: str):
-    """A running count of a stream's keys as a memory table in update mode."""
+    """A running count of a stream's keys as a memory table. A memory sink keeps what it is sent, so it takes complete mode, which
+    sends all keys each time: for stores that take upserts use update mode, as ``upsert_to`` does."""
     return stream.groupBy(key).agg(F.count("*").alias("n")).writeStream.outputMode("complete").format("memory").queryName(name).start()
 
 
+def upsert_to(stream: DataFrame, key: str, write, checkpoint: str):
+    """A running count of a stream's keys; each batch's changed keys (key, n) go to ``write``, a function of a frame and a batch number."""
+    counts = stream.groupBy(key).agg(F.count("*").alias("n"))
+    return counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).start()
+
+
 def unexpired(rows: DataFrame, expires: str, now: str) -> DataFrame:
     """Stored rows whose lifetime is not over."""
     return rows.where(F.col(expires) > F.lit(now).cast("timestamp"))

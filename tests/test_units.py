@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
-from quillspark.operators import apply, diff, paging, schema_diff
+from quillspark.operators import apply, diff, matching, paging
 from quillspark.plans import sqltext
 from quillspark.sources import files
 from quillspark.streaming import windows
@@ -70,16 +70,16 @@ def one(spark, value, f, kind="string"):
         (text.physical_name, "2nd-value", "t_2nd_value"),
         (text.physical_name, "日本", "unnamed"),
         (text.sql_literal, "O'Brien\\", "'O''Brien\\'"),
-        (lambda c: text.sql_literal(c, True), "a\\b", "'a\\\\b'"),
+        (lambda c: text.sql_literal(c, backslashes=True), "a\\b", "'a\\\\b'"),
         (text.sql_literal, None, "NULL"),
         (text.csv_cell, 'say "hi", x', '"say ""hi"", x"'),
-        (text.sql_pattern, "SELECT *  FROM t WHERE a = 'x' AND b IN (1, 2);", "select * from t where a = ? and b in (?)"),
+        (text.sql_pattern, "SELECT *  FROM t WHERE a = 'x' AND b IN (1, 2);", "SELECT * FROM t WHERE a = ? AND b IN (?, ?);"),
         (text.comment_meaning, " a \r\n\r\n b", "a\nb"),
-        (text.pascal_name, "order item_id", "OrderItemId"),
-        (text.screaming_name, "order item-id", "ORDER_ITEM_ID"),
+        (text.class_name, "order item_id", "OrderItemId"),
+        (text.constant_name, "order item-id", "ORDER_ITEM_ID"),
         (lambda c: text.kind_of(c, text.CELL_KINDS, "blank"), "2024-01-02 10:00", "datetime"),
         (lambda c: text.kind_of(c, text.CELL_KINDS, "blank"), "2.5", "decimal"),
-        (lambda c: text.kind_of(c, text.VALUE_KINDS, "blank"), "a@b.co", "email"),
+        (lambda c: text.kind_of(c, text.VALUE_KINDS, "blank"), "a@b.co", "email-like"),
     ],
 )
 def test_text(spark, f, given, expected):
@@ -103,8 +103,8 @@ def test_dice_counts_repeats(spark):
 
 
 def test_greedy_pairs_are_one_to_one(spark):
-    scores = spark.createDataFrame([("t", "a", "x", 0.9), ("t", "a", "y", 0.8), ("t", "b", "x", 0.85), ("t", "b", "y", 0.3)], "table_name string, old string, new string, score double")
-    assert {(r["old"], r["new"]) for r in schema_diff.greedy_pairs(scores, 0.2).collect()} == {("a", "x"), ("b", "y")}
+    scores = spark.createDataFrame([("t", 1, 1, 0.9), ("t", 1, 2, 0.8), ("t", 2, 1, 0.85), ("t", 2, 2, 0.3)], "scope string, old_id int, new_id int, score double")
+    assert {(r["old_id"], r["new_id"]) for r in matching.greedy(scores, ["scope"]).collect()} == {(1, 1), (2, 2)}
 
 
 def test_statements():
