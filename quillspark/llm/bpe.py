@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.cluster import map_arrow
+
 #: The pre-token pattern of byte-level BPE vocabularies of this kind.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of text that are worked on at once, and pre-tokens that a worker remembers.
@@ -213,7 +215,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
                 at += len(found)
                 yield pa.RecordBatch.from_arrays([*part.columns, _lists(found)], [*batch.schema.names, ids])
 
-    return kept.mapInArrow(run, schema)
+    return map_arrow(kept, run, schema)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -230,7 +232,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
             out = [codec.decode(values[i:j]) if v else "" for i, j, v in zip(starts[:-1].tolist(), starts[1:].tolist(), ok)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, text])
 
-    return kept.mapInArrow(run, schema)
+    return map_arrow(kept, run, schema)
 
 
 def encode_decode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -250,4 +252,4 @@ def encode_decode(df: DataFrame, vocabulary: str, text: str = "text", ids: str =
                 texts = pa.array([codec.decode(np.frombuffer(x, np.int32)) for x in found], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, _lists(found), texts], [*names, ids, decoded])
 
-    return kept.mapInArrow(run, schema)
+    return map_arrow(kept, run, schema)

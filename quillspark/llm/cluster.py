@@ -2,24 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
+from quillspark.shared import fresh_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["discard", "filesystem", "fresh_dir", "map_arrow", "staged", "texts_of"]
 
 
 #: Lets Spark delete a query's shuffle files when the query ends.
@@ -49,6 +39,24 @@ def discard(*tables: DataFrame) -> None:
             fs.delete_dir(path)
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` whose workers give back what Arrow holds for reuse once a task is done: idle workers wait for a minute, and
+    their memory counts with that of the executor's later stages."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(lean, schema)
+
+
+def texts_of(column: pa.Array) -> Iterator[str | None]:
+    """The texts of a column one by one: of a batch only one is a string of Python's at a time."""
+    return (x.as_py() for x in column)
+
+
 def filesystem(uri: str):
     """(file system, path) by pyarrow for a shared URI, so tasks can write files that Spark has no writer for."""
     from pyarrow import fs

@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.cluster import map_arrow, texts_of
+
 UNKNOWN = "und"
 BUCKETS, SIZE, PER_LANGUAGE, KEEP = 1 << 16, 16, 400, 0.999
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -178,7 +180,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer.predict(t) for t in batch.column(names.index("text")).to_pylist()]
+            found = [scorer.predict(t) for t in texts_of(batch.column(names.index("text")))]
             langs, scores = [x[0] for x in found], [x[1] for x in found]
             out = [lang == UNKNOWN or s < shared.value.least for lang, s in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], [*names, "lang_pred", "score", "rejected"])
@@ -186,4 +188,4 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     schema = kept.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")).schema
     for f in schema:
         f.nullable = True
-    return kept.mapInArrow(run, schema)
+    return map_arrow(kept, run, schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.cluster import staged
+from quillspark.llm.cluster import map_arrow, staged, texts_of
 from quillspark.llm.shingles import WordHashes, mixed
 
 LEAST_WORDS = 5
@@ -123,7 +123,8 @@ def lines_of(docs: DataFrame, least_words: int) -> DataFrame:
 
     names = ["doc_id", "t", "line", "h", "n", "halves"]
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("t")).mapInArrow(run, f"doc_id {kind}, t long, line int, h long, n int, halves array<long>")
+    rows = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("t"))
+    rows = map_arrow(rows, run, f"doc_id {kind}, t long, line int, h long, n int, halves array<long>")
     return rows.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t", "line").alias("o"), "h", "n", "halves")
 
 
@@ -138,7 +139,7 @@ def later_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            found = [text.split("\n")[i] for text, i in zip(batch.column(0).to_pylist(), batch.column(2).field("line").to_pylist())]
+            found = [text.split("\n")[i] for text, i in zip(texts_of(batch.column(0)), batch.column(2).field("line").to_pylist())]
             words = [_words(line) for line in found]
             own, _ = line_keys(known.of([x for line in words for x in line]), np.cumsum([len(line) for line in words], dtype=np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.string())], ["h", "o", "line"]).filter(pa.array(own == batch.column(1).to_numpy()))
@@ -163,9 +164,9 @@ def later_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("t"), "text")
     # of rows that share an id the one that has the line at that place counts: pick() compares the hash
     fetched = texts.join(by_doc, texts["doc_id"].eqNullSafe(by_doc["doc_id"]) & texts["t"].eqNullSafe(by_doc["t"])).select("text", F.explode("lines").alias("x")).select("text", "x.h", "x.o")
-    fetched = fetched.where(F.size(F.split("text", "\n")) > F.col("o.line")).mapInArrow(pick, f"h long, o {order}, line string")
+    fetched = map_arrow(fetched.where(F.size(F.split("text", "\n")) > F.col("o.line")), pick, f"h long, o {order}, line string")
     lines = staged(fetched, "lines")
-    rows = staged(lines.mapInArrow(split, f"key long, place int, h long, o {order}"), "variants")
+    rows = staged(map_arrow(lines, split, f"key long, place int, h long, o {order}"), "variants")
 
     earliest = rows.where("place >= 0").groupBy("key", "place").agg(F.min(F.struct("o", "h")).alias("e"), F.count("*").alias("c")).where("c > 1").select("key", "place", F.col("e.h").alias("first"))
     changed = rows.where("place >= 0").join(earliest, ["key", "place"]).where("h != first").select("h", "first")
@@ -173,7 +174,7 @@ def later_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     inserted = rows.where("place >= 0").join(whole, "key").where("h != wh").select(F.when(F.col("o") > F.col("wo"), F.col("h")).otherwise(F.col("wh")).alias("h"), F.when(F.col("o") > F.col("wo"), F.col("wh")).otherwise(F.col("h")).alias("first"))
     pairs = changed.unionByName(inserted).distinct()
     pairs = pairs.join(lines.select("h", F.col("line").alias("x")), "h").join(lines.select(F.col("h").alias("first"), F.col("line").alias("y")), "first")
-    return pairs.select("h", "x", "y").mapInArrow(verify, "h long").distinct()
+    return map_arrow(pairs.select("h", "x", "y"), verify, "h long").distinct()
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -190,7 +191,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
         at = names.index("text")
         for batch in batches:
             texts, counts, removed = [], [], []
-            for text, keep in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
+            for text, keep in zip(texts_of(batch.column(at)), texts_of(batch.column(len(names)))):
                 lines, keep = text.split("\n") if text is not None else [], set(keep or ())
                 full = [x.strip(BLANK) != "" for x in lines]
                 texts.append(None if text is None else "\n".join([x for i, (x, f) in enumerate(zip(lines, full)) if not f or i in keep]))
@@ -202,4 +203,4 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
     t = F.when(docs["doc_id"].isNull(), F.xxhash64(docs["text"]))
     joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]) & t.eqNullSafe(kept["kept_t"]), "left").select(*[docs[c] for c in names], kept["kept"])
-    return joined.mapInArrow(rebuild, docs.select("*", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")).schema)
+    return map_arrow(joined, rebuild, docs.select("*", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")).schema)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.cluster import staged
+from quillspark.llm.cluster import map_arrow, staged, texts_of
 from quillspark.llm.components import components
 from quillspark.llm.shingles import WordHashes, shingle_set
 
@@ -53,7 +53,7 @@ def features(docs: DataFrame, words: int) -> DataFrame:
         known = WordHashes()
         for batch in batches:
             counts, nodes, signatures = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in texts_of(batch.column(1)):
                 s = shingle_set(text, words, known)
                 counts.append(len(s))
                 nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
@@ -61,7 +61,7 @@ def features(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signatures, pa.binary())], ["doc_id", "text_hash", "n_shingles", "node", "sig"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, node long, sig binary")
+    return map_arrow(docs.select("doc_id", "text", F.xxhash64("text")), run, f"doc_id {kind}, text_hash long, n_shingles long, node long, sig binary")
 
 
 def tree_rows(sets: DataFrame, trees: int, *more: str) -> DataFrame:
@@ -190,7 +190,7 @@ def linked_components(docs: DataFrame, sets: DataFrame, words: int, least_depth:
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(rows, run, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -210,7 +210,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 ok.append(shared > 0 and den * shared >= num * (len(x) + len(y) - shared))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return map_arrow(both, run, "a long, b long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -219,7 +219,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            found = [shingle_set(t, words, known).tobytes() for t in batch.column(1).to_pylist()]
+            found = [shingle_set(t, words, known).tobytes() for t in texts_of(batch.column(1))]
             # of texts that share a hash, the one with the set that was asked for
             own = [xxhash.xxh3_64_intdigest(s) - (1 << 63) == n for s, n in zip(found, batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "shingles"]).filter(pa.array(own, pa.bool_()))
@@ -227,7 +227,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     wanted = staged(wanted.select("node", F.col("doc_id").alias("i"), F.col("text_hash").alias("h")), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("h"))).select("node", "text")
-    return rows.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    return map_arrow(rows, run, "node long, shingles binary").dropDuplicates(["node"])
 
 
 def _labelled(docs: DataFrame, words: int, num: int, den: int, least_depth: int) -> tuple[DataFrame, DataFrame]:
