@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.shared import settled
+
 DEFAULT_LIMIT, EXPORT_CAP, RETAINED_ROWS = 1_000, 100_000, 5_000
 
 
@@ -41,10 +43,10 @@ def newest(df: DataFrame, order: list[str], keep: int = RETAINED_ROWS, protected
 
 
 def export_rows(df: DataFrame, order: list[str], cap: int = EXPORT_CAP) -> tuple[DataFrame, bool]:
-    """The rows of a full export and if they were cut at the cap."""
-    rows = df.orderBy(*order).limit(cap + 1)
+    """The rows of a full export, in order, and if they were cut at the cap. The rows are settled, so the query runs once."""
+    rows = settled(df.orderBy(*order).limit(cap + 1), "export")
     cut = rows.count() > cap
-    return rows.limit(cap), cut
+    return rows.orderBy(*order).limit(cap), cut
 
 
 def numbered_versions(df: DataFrame, name: str, order: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.operators import asof
 from quillspark.plans.registry import delegated, query, table
 
 delegated("join_inner", "orders customer nation", "select o_orderkey, c_name, n_name from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey")
@@ -45,13 +46,9 @@ def param_query(spark, folder):
 
 @query("select e.event_id, o.o_orderkey from (select event_id, ts, user_id from events) e left join (select event_id as eid, o_orderkey, row_number() over (partition by event_id order by o_orderdate desc, o_orderkey desc) as r from events join orders on o_custkey = user_id and o_orderdate <= ts) o on o.eid = e.event_id and o.r = 1")
 def asof_join(spark, folder):
-    """For each event the latest order of that customer up to its time: a window over the union, so no pair is listed."""
-    from pyspark.sql import Window as W
-
-    e = table(spark, folder, "events").select(F.col("user_id").alias("k"), F.col("ts").alias("t"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("o_orderkey"), "event_id")
-    o = table(spark, folder, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("t"), F.lit(0).alias("side"), "o_orderkey", F.lit(None).cast("long").alias("event_id"))
-    w = W.partitionBy("k").orderBy("t", "side", "o_orderkey").rowsBetween(W.unboundedPreceding, 0)
-    return e.unionByName(o).withColumn("o_orderkey", F.last("o_orderkey", ignorenulls=True).over(w)).where("side = 1").select("event_id", "o_orderkey")
+    """For each event the latest order of that customer up to its time."""
+    events, orders = table(spark, folder, "events"), table(spark, folder, "orders")
+    return asof.asof(events, orders, ("user_id", "ts"), ("o_custkey", "o_orderdate"), ["o_orderkey"]).select("event_id", "o_orderkey")
 
 
 @query("select p_partkey, n from (select l_partkey as p_partkey, count(*) as n from lineitem where l_quantity between 10 and 20 group by l_partkey) order by n desc, p_partkey limit 10")
