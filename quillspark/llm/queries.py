@@ -47,12 +47,14 @@ def op5_lang_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = lang_id.train(docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))))
     rows = lang_id.predict(docs.select("doc_id", "text"), model)
-    return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op6_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Besides the columns asked for: n_kept, the bytes that are left, and repeats, whether any went."""
     rows = repeats.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    kept, repeats_ = (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), (F.col("n_removed") > 0).alias("repeats")
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), kept, repeats_)
 
 
 def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,18 +1,24 @@
-"""Operator 6: removal of byte strings that occur more than once, by prefix doubling over content-chosen positions.
+"""Operator 6: removal of byte strings that occur more than once, by distributed prefix doubling.
 
-A byte goes if it lies in a string of ``length`` bytes that starts anywhere else too. A suffix array over all bytes would
-sort every position at each doubling; here only positions that content picks are ranked. The anchor of a string is the place
-in it whose run of ANCHOR bytes has the least hash (itself made by doubling), so equal strings have their anchors at the same
-offset. A string at offset o from its anchor is one of the anchor's strings; consecutive strings mostly share theirs.
+A byte goes if it lies in a string of ``length`` bytes that starts anywhere else too. Ranking every byte position at each
+doubling would write each of them several times (about 20 bytes each), so positions that can be judged in runs are judged
+first; the positions left are ranked.
 
-Ranks are taken by Spark over growing reach, for blocks of neighbouring offsets. The core of a block is what all its strings
-share, the span all that they cover. A block whose core occurs once is unique and dropped; one whose span occurs again is
-past the threshold as a whole, and its bytes go; others are cut into smaller blocks (STEPS) with longer cores, down to single
-strings, where core and span are the string. The first core is the anchor's run. The result is exact, up to 128-bit hashes.
+Pruning. The anchor of a string is the place in it whose run of ANCHOR bytes has the least hash (itself made by doubling), so
+equal strings have their anchors at the same offset; consecutive strings mostly share theirs. The core of a block of
+neighbouring strings is what all of them share, the span all that they cover. A block whose core occurs once is unique and
+dropped; one whose span occurs again is past the threshold as a whole, and its bytes go; others are cut into smaller blocks
+(STEPS). The first core is the anchor's run.
+
+Doubling. What is left are the strings where a repeat begins or ends, one or two a block. Their positions get the rank of the eighth
+of ``length`` that starts there. Then Spark sorts the pairs (rank at p, rank at p + k) for offsets k that double, and numbers
+the different pairs in that order: the ranks of strings of twice the length. Positions whose pair occurs once are unique and
+go no further; those that still share a rank at ``length`` bytes start repeated strings. The result is exact, up to 128-bit
+hashes of the first pieces, cores apart, which only say what goes on.
 
 Defined results: a null text is no bytes; texts shorter than ``length`` lose nothing; texts may be of any length; equal rows
-repeat each other; null ids are ids like any other; an empty table gives an empty table; other columns pass through. What
-is left of a text may not be valid UTF-8, so it is returned as binary.
+repeat each other; null ids are ids like any other; an empty table gives an empty table; columns named like the outputs are
+replaced, all others pass through. What is left of a text may not be valid UTF-8, so it is returned as binary.
 """
 
 from __future__ import annotations
@@ -26,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.cluster import discard, staged
+from quillspark.llm.order import ranks
 from quillspark.llm.shingles import mixed
 
 LENGTH, ANCHOR = 400, 32
-#: Offsets in a block, from round to round.
-STEPS = (96, 24, 6, 1)
+#: Strings in a block, from round to round.
+STEPS = (96, 24, 6, 2)
 #: Bytes of a text that are worked on at once; positions within have 24 bits, hashes the other 40.
 CHUNK = (1 << 24) - 1
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -81,8 +88,10 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _contexts(texts: DataFrame, active: DataFrame, length: int) -> DataFrame:
-    """The active anchors' bytes: context starts at ``first``, the first byte of the anchor's first string."""
-    lists = active.groupBy("t1", "t2").agg(F.collect_list(F.struct("anchor", "lo", "hi", "known")).alias("list"))
+    """The active anchors' bytes: context starts at ``first``, the first byte of the anchor's first string. Equal texts are one
+    row here before their anchors are joined to them."""
+    texts = texts.groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    lists = active.distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("anchor", "lo", "hi", "known")).alias("list"))
     names = ["t1", "t2", "anchor", "o1", "o2", "known", "first", "context"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,8 +104,7 @@ def _contexts(texts: DataFrame, active: DataFrame, length: int) -> DataFrame:
                 columns = [[batch.column(0)[i].as_py()] * n, [batch.column(1)[i].as_py()] * n, a, [x - y for x, y in zip(a, hi)], [x - y for x, y in zip(a, lo)]]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([x["known"] for x in found]), pa.array(lo, pa.int64()), pa.array([data[x : y + length] for x, y in zip(lo, hi)], pa.binary())], names)
 
-    rows = texts.join(lists, ["t1", "t2"]).select("t1", "t2", "text", "list").mapInArrow(run, "t1 long, t2 long, anchor long, o1 long, o2 long, known boolean, first long, context binary")
-    return rows.dropDuplicates(["t1", "t2", "anchor", "o1"])
+    return texts.join(lists, ["t1", "t2"]).select("t1", "t2", "text", "list").mapInArrow(run, "t1 long, t2 long, anchor long, o1 long, o2 long, known boolean, first long, context binary")
 
 
 def _blocks(rows: DataFrame, step: int, length: int) -> DataFrame:
@@ -126,6 +134,56 @@ def _blocks(rows: DataFrame, step: int, length: int) -> DataFrame:
     return rows.mapInArrow(run, "t1 long, t2 long, anchor long, of long, o1 long, o2 long, known boolean, core long, span binary")
 
 
+def offsets(length: int) -> tuple[int, tuple[int, int, int]]:
+    """The length of the first pieces, and the offsets at which pairs of ranks are taken: two of one length make twice that
+    length, but for the last, which overlap where ``length`` isn't eight pieces."""
+    piece = -(-length // 8)
+    return piece, (piece, 2 * piece, length - 4 * piece)
+
+
+def _pieces(contexts: DataFrame, length: int) -> DataFrame:
+    """t1, t2, p and a hash of the piece that starts at byte p, for all pieces of the strings in the contexts."""
+    piece, (_, _, last) = offsets(length)
+    starts = sorted({i * piece + j for i in range(4) for j in (0, last)})
+    names = ["t1", "t2", "p", "key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
+                at, places, keys = [], [], []
+                for k, (first, data) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
+                    for p in sorted({x + y for x in starts for y in range(len(data) - length + 1)}):
+                        at.append(k)
+                        places.append(first + p)
+                        keys.append(xxhash.xxh3_128_digest(data[p : p + piece]))
+                rows = pa.array(at, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(places, pa.int64()), pa.array(keys, pa.binary())], names)
+
+    return contexts.select("t1", "t2", "first", "context").mapInArrow(run, "t1 long, t2 long, p long, key binary").distinct()
+
+
+def _reranked(rows: DataFrame) -> DataFrame:
+    """t1, t2, p and rank: the place of ``key`` in the sorted order of the keys that occur more than once; other rows go."""
+    rows = staged(rows, "pairs")
+    numbered = staged(ranks(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key"), "ranks")
+    out = staged(rows.join(numbered, F.col("key") == F.col("k")).select("t1", "t2", "p", "rank"), "positions")
+    discard(rows, numbered)
+    return out
+
+
+def doubled(contexts: DataFrame, length: int) -> DataFrame:
+    """t1, t2 and p: the positions at which the contexts' strings start that start elsewhere too."""
+    found = _reranked(_pieces(contexts, length))
+    for k in offsets(length)[1]:
+        after = found.select("t1", "t2", (F.col("p") - k).alias("p"), F.col("rank").alias("next"))
+        pairs = found.join(after, ["t1", "t2", "p"]).select("t1", "t2", "p", F.struct("rank", "next").alias("key"))
+        longer = _reranked(pairs)
+        discard(found)
+        found = longer
+    return found
+
+
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """t1, t2 (hashes of a text) and the sorted spans (from, to) of its bytes that lie in repeated strings; spans may overlap."""
     texts = _hashed(docs).select("t1", "t2", "text")
@@ -135,7 +193,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # (tables of hashes are staged before they are joined: beside an aggregate Spark wouldn't split a core with very many rows)
     cores = staged(every.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"), "cores")
     rows = staged(every.join(cores, "core"), "anchors")
-    discard(every)
+    discard(every, cores)
     spans = rows.groupBy("span").agg(F.count("*").alias("c"), F.min(F.struct("t1", "t2", "anchor", "lo", "hi", "core")).alias("one"))
     spans = staged(spans, "spans")
     again = spans.where("c > 1")
@@ -150,24 +208,27 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         blocks = staged(_blocks(contexts, step, length), "blocks")
         cores = staged(blocks.groupBy("core").agg(F.count("*").alias("c"), F.min("known").alias("all_known")).where("c > 1 and not all_known").select("core"), "cores")
         kept = staged(blocks.join(cores, "core"), "blocks")
-        discard(blocks)
+        discard(blocks, cores)
         spans = staged(kept.groupBy("span").agg(F.count("*").alias("c")).where("c > 1").select("span", F.lit(True).alias("again")), "spans")
         judged = staged(kept.join(spans, "span", "left").select("t1", "t2", "anchor", "of", "o1", "o2", "known", "core", F.coalesce("again", F.lit(False)).alias("again")), "judged")
-        discard(kept)
-        parts.append(judged.where("again and not known").select("t1", "t2", (F.col("anchor") - F.col("o2")).alias("from"), (F.col("anchor") - F.col("o1") + length).alias("to")))
-        if step > 1:
-            # blocks go on where one of the same core is undecided; those that are decided are sources for it
-            undecided = staged(judged.where("not again and not known").select("core").distinct(), "cores")
-            blocks = judged.join(undecided, "core", "left_semi").select("t1", "t2", "anchor", F.col("of").alias("o1"), F.col("o1").alias("p"), F.col("o2").alias("q"), (F.col("known") | F.col("again")).alias("done"))
-            start = F.col("anchor") - F.col("q")
-            piece = F.expr(f"substring(context, cast(anchor - q - first + 1 as int), cast(q - p + {length} as int))")
-            smaller = staged(contexts.join(blocks, ["t1", "t2", "anchor", "o1"]).select("t1", "t2", "anchor", F.col("p").alias("o1"), F.col("q").alias("o2"), F.col("done").alias("known"), start.alias("first"), piece.alias("context")), "contexts")
-            discard(contexts)
-            contexts = smaller
+        discard(kept, spans)
+        parts.append(staged(judged.where("again and not known").select("t1", "t2", (F.col("anchor") - F.col("o2")).alias("from"), (F.col("anchor") - F.col("o1") + length).alias("to")), "spans"))
+        # blocks go on where one of the same core is undecided; those that are decided are sources for it
+        undecided = staged(judged.where("not again and not known").select("core").distinct(), "cores")
+        blocks = judged.join(undecided, "core", "left_semi").select("t1", "t2", "anchor", F.col("of").alias("o1"), F.col("o1").alias("p"), F.col("o2").alias("q"), (F.col("known") | F.col("again")).alias("done"))
+        start = F.col("anchor") - F.col("q")
+        piece = F.expr(f"substring(context, cast(anchor - q - first + 1 as int), cast(q - p + {length} as int))")
+        smaller = staged(contexts.join(blocks, ["t1", "t2", "anchor", "o1"]).select("t1", "t2", "anchor", F.col("p").alias("o1"), F.col("q").alias("o2"), F.col("done").alias("known"), start.alias("first"), piece.alias("context")), "contexts")
+        discard(contexts, judged, undecided)
+        contexts = smaller
+    last = doubled(contexts, length)
+    parts.append(last.select("t1", "t2", F.col("p").alias("from"), (F.col("p") + length).alias("to")))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    return found.groupBy("t1", "t2").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("spans"))
+    found = staged(found.groupBy("t1", "t2").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("spans")), "repeats")
+    discard(contexts, last, *parts[:-1])
+    return found
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -176,9 +237,10 @@ def _hashed(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary)."""
-    names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept", "t1", "t2")]
-    docs = docs.select(*names)
-    found = staged(repeated(docs, length), "repeats")
+    made = ["n_bytes", "n_removed", "n_spans", "kept"]
+    docs = docs.drop(*made)
+    names = docs.columns
+    found = repeated(docs, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +258,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 kept.append(data[at:])
                 for column, x in zip(out, (len(data), removed, runs, b"".join(kept))):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], [*names, *made])
 
-    schema = docs.select("*", *(F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")), F.lit(None).cast("binary").alias("kept")).schema
-    return _hashed(docs).join(found, ["t1", "t2"], "left").select(*names, "spans").mapInArrow(run, schema)
+    schema = docs.select("*", *(F.lit(0).cast("long").alias(c) for c in made[:3]), F.lit(None).cast("binary").alias("kept")).schema
+    # the row is one column while it is joined, so that none of its columns clashes with t1, t2 or spans
+    rows = _hashed(docs.select(F.struct(*names).alias("row"), "text")).select("row", "t1", "t2").join(found, ["t1", "t2"], "left")
+    return rows.select("row.*", F.col("spans").alias("_".join(["spans", *names]))).mapInArrow(run, schema)
