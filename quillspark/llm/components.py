@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.cluster import staged
+from quillspark.llm.cluster import discard, staged
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,12 +24,15 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and component (the least node that links reach) for every node that has a link to another.
 
-    Each step is written to the shared folder, so lineage stays short; only a count and a sum reach the driver.
+    Each step is written to the shared folder, so lineage stays short, and the step before deleted; only a count and a sum reach
+    the driver.
     """
     edges = staged(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct(), "edges")
     state = None
     while True:
-        edges = staged(_stars(_stars(edges, True), False), "edges")
+        longer = staged(_stars(_stars(edges, True), False), "edges")
+        discard(edges)
+        edges = longer
         found = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if found == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.cluster import staged
+from quillspark.llm.cluster import discard, staged
 
 WORDS, SIMILAR, RADIUS = 5, 0.8, 20
 #: Rows up to which benchmark tables (24 bytes a row) and lists of windows are broadcast; beyond, joins shuffle.
@@ -122,7 +122,9 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, words: int = WORDS, si
     both = both.withColumn("shared", F.size(F.array_intersect(numbered(F.col("found")), numbered(F.col("wanted")))))
     both = both.select("doc", "own", "item_id", "start", (F.col("shared") / (F.size("found") + F.size("wanted") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= similar)
     best = both.groupBy("doc", "own", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
-    return best.select(F.col("doc").alias("doc_id"), F.col("own").alias("text_hash"), "item_id", "best.similarity", (-F.col("best.back")).alias("start"))
+    out = staged(best.select(F.col("doc").alias("doc_id"), F.col("own").alias("text_hash"), "item_id", "best.similarity", (-F.col("best.back")).alias("start")), "contaminated")
+    discard(bench, hits, windows, found, prints)
+    return out
 
 
 def contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.cluster import map_arrow, staged, texts_of
+from quillspark.llm.cluster import discard, map_arrow, staged, texts_of
 from quillspark.llm.shingles import WordHashes, mixed
 
 LEAST_WORDS = 5
@@ -174,7 +174,9 @@ def later_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     inserted = rows.where("place >= 0").join(whole, "key").where("h != wh").select(F.when(F.col("o") > F.col("wo"), F.col("h")).otherwise(F.col("wh")).alias("h"), F.when(F.col("o") > F.col("wo"), F.col("wh")).otherwise(F.col("h")).alias("first"))
     pairs = changed.unionByName(inserted).distinct()
     pairs = pairs.join(lines.select("h", F.col("line").alias("x")), "h").join(lines.select(F.col("h").alias("first"), F.col("line").alias("y")), "first")
-    return map_arrow(pairs.select("h", "x", "y"), verify, "h long").distinct()
+    out = staged(map_arrow(pairs.select("h", "x", "y"), verify, "h long").distinct(), "later")
+    discard(lines, rows)
+    return out
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -182,7 +184,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     docs = docs.drop("n_lines", "n_removed")
     found = lines_of(docs, least_words)
     firsts = staged(found.groupBy("h").agg(F.min("o").alias("o"), F.first("n").alias("n"), F.first("halves").alias("halves")), "firsts")
-    later = staged(later_lines(docs, firsts), "later")
+    later = later_lines(docs, firsts)
     kept = firsts.select("h", "o").join(later, "h", "left_anti")
     kept = kept.groupBy(F.col("o.doc_id").alias("kept_id"), F.col("o.t").alias("kept_t")).agg(F.collect_list("o.line").alias("kept"))
     names = docs.columns

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.cluster import map_arrow, staged, texts_of
+from quillspark.llm.cluster import discard, map_arrow, staged, texts_of
 from quillspark.llm.components import components
 from quillspark.llm.shingles import WordHashes, shingle_set
 
@@ -109,7 +109,9 @@ def neighbours(rows: DataFrame, least_depth: int) -> DataFrame:
     schema = "a long, b long, tree int, key binary"
     found = staged(rows.select("tree", "key", "node").repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node").mapInArrow(run, schema), "neighbours")
     ends = found.where("b is null").select("tree", "key", F.col("a").alias("node")).coalesce(1).sortWithinPartitions("tree", "key", "node")
-    return found.where("b is not null").select("a", "b").unionByName(ends.mapInArrow(run, schema).where("b is not null").select("a", "b")).distinct()
+    pairs = staged(found.where("b is not null").select("a", "b").unionByName(ends.mapInArrow(run, schema).where("b is not null").select("a", "b")).distinct(), "pairs")
+    discard(found)
+    return pairs
 
 
 def dealt(found: DataFrame, sets: DataFrame) -> DataFrame:
@@ -190,7 +192,9 @@ def linked_components(docs: DataFrame, sets: DataFrame, words: int, least_depth:
         if held:
             yield flush()
 
-    return map_arrow(rows, run, "a long, b long").distinct()
+    out = staged(map_arrow(rows, run, "a long, b long").distinct(), "links")
+    discard(found, shingles)
+    return out
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -234,12 +238,16 @@ def _labelled(docs: DataFrame, words: int, num: int, den: int, least_depth: int)
     """The features of all rows, and node, doc_id (the smallest with the set) and component of each set."""
     found = staged(features(docs, words), "features")
     sets = staged(found.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("o"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")).select("node", "o.doc_id", "o.text_hash", "sig", "n_shingles"), "sets")
-    first = staged(neighbours(tree_rows(sets, FIRST_TREES), least_depth), "pairs")
-    links = staged(confirmed(first, _sets_for(docs, sets, _nodes(first), words), num, den), "links")
+    first = neighbours(tree_rows(sets, FIRST_TREES), least_depth)
+    shingles = _sets_for(docs, sets, _nodes(first), words)
+    links = staged(confirmed(first, shingles, num, den), "links")
+    discard(first, shingles)
     joined = components(links)
     labelled = staged(sets.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
-    more = staged(linked_components(docs, labelled, words, least_depth, num, den), "links")
+    discard(joined)
+    more = linked_components(docs, labelled, words, least_depth, num, den)
     joined = components(links.unionByName(more))
+    discard(labelled, links, more)
     return found, sets.select("node", "doc_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
