@@ -209,6 +209,17 @@ def fuzzy_match(c: Column, query: str) -> Column:
     return (F.coalesce(name, F.lit("")) != "") & reduce(or_, hits)
 
 
+def show_whitespace(c: Column) -> Column:
+    """Blanks, ideographic spaces and tabs as marks that can be seen."""
+    return F.translate(c, " \u3000\t", "\u00b7\u25a1\u21e5")
+
+
+def natural_key(c: Column) -> Column:
+    """A key whose order is that of people: numbers in a name by their value, letters whatever their case."""
+    runs = F.regexp_extract_all(c, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(F.regexp_replace(x, "^0+(?=.)", ""), 30, "0")).otherwise(F.lower(x))), "")
+
+
 def bigrams(c: Column) -> Column:
     """The pairs of neighbouring characters; the text itself if it has one character."""
     n = F.length(c)

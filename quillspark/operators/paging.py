@@ -42,6 +42,11 @@ def newest(df: DataFrame, order: list[str], keep: int = RETAINED_ROWS, protected
     return last.unionByName(held)
 
 
+def newest_jobs(jobs: DataFrame, at: str, tie: str, limit: int = 25) -> DataFrame:
+    """The latest jobs, between 1 and 100 of them."""
+    return jobs.orderBy(F.col(at).desc(), F.col(tie).desc()).limit(min(max(limit, 1), 100))
+
+
 def export_rows(df: DataFrame, order: list[str], cap: int = EXPORT_CAP) -> tuple[DataFrame, bool]:
     """The rows of a full export, in order, and if they were cut at the cap. The rows are settled, so the query runs once."""
     rows = settled(df.orderBy(*order).limit(cap + 1), "export")

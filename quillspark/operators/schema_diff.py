@@ -32,6 +32,15 @@ def table_diff(source: DataFrame, target: DataFrame) -> DataFrame:
     return s.join(t, "table_name", "full_outer").where("s is null or t is null").select("table_name", F.when(F.col("t").isNull(), "removed").otherwise("added").alias("action"))
 
 
+def sync_index(source: DataFrame, target: DataFrame) -> DataFrame:
+    """table_name, which sides have it, and what a comparison takes by default: keys (of either side) and compare_columns (the others
+    of either side), both as sorted text."""
+    sides = [df.select("table_name", "column_name", "is_pk", F.lit(i).alias("side")) for i, df in enumerate((source, target))]
+    each = sides[0].unionByName(sides[1]).groupBy("table_name", "column_name").agg(F.bool_or("is_pk").alias("key"), F.bool_or(F.col("side") == 0).alias("s"), F.bool_or(F.col("side") == 1).alias("t"))
+    listed = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")
+    return each.groupBy("table_name").agg(F.bool_or("s").alias("in_source"), F.bool_or("t").alias("in_target"), listed(F.when(F.col("key"), F.col("column_name"))).alias("keys"), listed(F.when(~F.col("key"), F.col("column_name"))).alias("compare_columns"))
+
+
 def signatures(columns: DataFrame) -> DataFrame:
     """One text a table: its name and its column names in order."""
     return columns.groupBy("table_name").agg(F.array_join(F.array_sort(F.collect_list("column_name")), ",").alias("c")).select(F.concat_ws("|", "table_name", "c").alias("signature"))

@@ -183,6 +183,17 @@ def dml_statements(spark, folder):
     )
 
 
+FILES = [(1, "file10.csv"), (2, "file2.csv"), (3, "File1.csv"), (4, "a 7"), (5, "a 07b"), (6, "a 70"), (7, "　x\ty z")]
+
+
+@query(f"""select id, row_number() over (order by case when id = 7 then 'z' else lower(regexp_replace(name, '[0-9].*$', '')) end, try_cast(regexp_extract(name, '[0-9]+') as int), lower(regexp_replace(name, '^[^0-9]*[0-9]+', ''))) as place, replace(replace(replace(name, ' ', '·'), '　', '□'), chr(9), '⇥') as shown from {values_sql(FILES, 'id, name')}""")
+def natural_order(spark, folder):
+    from pyspark.sql import Window as W
+
+    df = spark.createDataFrame(FILES, "id int, name string")
+    return df.select("id", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(text.natural_key(C("name")))).alias("place"), text.show_whitespace(C("name")).alias("shown"))
+
+
 ENUMS = [(1, "order status", "in-progress"), (2, "2nd.type", "3 days"), (3, "_", "***"), (4, "AlreadyPascal", "A__b")]
 
 

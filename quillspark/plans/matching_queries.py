@@ -140,6 +140,12 @@ def baseline_candidates(spark, folder):
     return matching.baseline_scores(files, "design_a_7.xlsx", now, own).withColumn("score", F.round("score", 6))
 
 
+@query(f"select distinct sheet from (select sheet from {OLD_SQL} union select sheet from {NEW_SQL})")
+def sheet_names(spark, folder):
+    old, new = versions(spark)
+    return old.select("sheet").union(new.select("sheet")).distinct().orderBy("sheet")
+
+
 @query("select 's1' as sheet, 's1' as baseline union all select 's3', 's2'")
 def sheet_baselines(spark, folder):
     old, new = versions(spark)

@@ -39,6 +39,13 @@ def schema_diff_tables(spark, folder):
     return schema_diff.table_diff(old, new.where("table_name <> 'region'"))
 
 
+@query(OLD + """, n as (select * from new where table_name <> 'region'), both_ as (select table_name, column_name, bool_or(is_pk) as k, bool_or(side = 0) as s, bool_or(side = 1) as t from (select table_name, column_name, is_pk, 0 as side from old where table_name <> 'nation' union all select table_name, column_name, is_pk, 1 from n) group by all)
+select table_name, bool_or(s) as in_source, bool_or(t) as in_target, coalesce(string_agg(column_name, ',' order by column_name) filter (where k), '') as keys, coalesce(string_agg(column_name, ',' order by column_name) filter (where not k), '') as compare_columns from both_ group by table_name""")
+def sync_index(spark, folder):
+    old, new = old_and_new(spark, folder)
+    return schema_diff.sync_index(old.where("table_name != 'nation'"), new.where("table_name != 'region'"))
+
+
 @query(OLD + "select table_name || '|' || string_agg(column_name, ',' order by column_name) as signature from old group by table_name")
 def table_signatures(spark, folder):
     return schema_diff.signatures(old_and_new(spark, folder)[0])

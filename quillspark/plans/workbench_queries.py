@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
-from quillspark.operators import schema_diff
+from quillspark.operators import paging, schema_diff
 from quillspark.plans import sqltext
 from quillspark.plans.registry import query, table, views
 from quillspark.sources import files, workbook
@@ -29,9 +29,9 @@ def user_sessions(spark, folder):
     return windows.sessions(table(spark, folder, "events"), "user_id", "ts", "event_id", 1800)
 
 
-@query("select event_id, user_id, event_type from events where event_type is not null and cast(event_id as varchar) <> ''")
+@query("select event_id, user_id, event_type from events where event_type is not null and event_id % 3 = 0 and user_id > 2")
 def filtered_scan(spark, folder):
-    return files.scan(table(spark, folder, "events"), "event_type is not null and event_id is not null").select("event_id", "user_id", "event_type")
+    return files.scan(table(spark, folder, "events"), "event_type is not null and event_id % 3 = 0 and user_id > 2").select("event_id", "user_id", "event_type")
 
 
 @query("select r_regionkey, r_name from region")
@@ -40,9 +40,9 @@ def csv_round_trip(spark, folder):
     return files.csv_round_trip(table(spark, folder, "region"))
 
 
-@query("select conv_id, turn, role from conversations where turn >= 0")
+@query("select conv_id, turn, role from conversations where turn >= 1 and role = 'user'")
 def conversation_rows(spark, folder):
-    return table(spark, folder, "conversations").where(F.col("turn") >= 0).select("conv_id", "turn", "role")
+    return table(spark, folder, "conversations").where("turn >= 1 and role = 'user'").select("conv_id", "turn", "role")
 
 
 @query("""select table_name, cast(ordinal_position as int) as position, column_name as physical_name, case data_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'VARCHAR' then 'string' when 'DOUBLE' then 'double' else 'timestamp_ntz' end as type,
@@ -62,6 +62,11 @@ def newest_jobs_by_state(spark, folder):
     return table(spark, folder, "orders").withColumn("r", F.row_number().over(by)).where("r <= 3").select("o_orderstatus", "o_orderkey", "o_totalprice")
 
 
+@query("select o_orderkey, o_orderdate from orders order by o_orderdate desc, o_orderkey desc limit 25")
+def newest_jobs(spark, folder):
+    return paging.newest_jobs(table(spark, folder, "orders"), "o_orderdate", "o_orderkey").select("o_orderkey", "o_orderdate")
+
+
 @query("select event_type, sum(n) as n, max(last_seen) as last_seen, string_agg(distinct kinds, ',' order by kinds) as kinds from (select event_type, user_id, count(*) as n, max(ts) as last_seen, case when value is null then 'null' when value < 0 then 'negative' else 'positive' end as kinds from events group by event_type, user_id, kinds) group by event_type")
 def profile_merge(spark, folder):
     """Profiles of single runs merged: sums of counts, unions of kinds, the last time seen."""
