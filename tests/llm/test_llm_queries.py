@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
-from conftest import AWKWARD
+from awkward_rows import AWKWARD
 from tokenizers import Tokenizer
 
 from quillspark.llm import lang_id, queries
