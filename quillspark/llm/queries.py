@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, decontaminate, fingerprint, lang_id, line_dedup, near_dup, repeats, sharding, token_files, warc
+from quillspark.llm import bpe, decontaminate, fingerprint, infilling, lang_id, lexical, line_dedup, near_dup, packing, repeats, sharding, token_files, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -87,5 +87,50 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, folder, "documents"), words=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_token_files, op4_sharding, op5_lang_id, op6_suffix_repeats, op7_fingerprints, op8_line_dedup, op9_warc, op10_near_duplicates)}
-SQL: dict[str, str] = {}
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    stream = packing.token_stream(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=0)
+    return packing.pieces(stream, 1024, with_ids=False)
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked(lexical.Index(table(spark, folder, "documents")), table(spark, folder, "benchmark"), 50)
+
+
+def op13_infilling(spark: SparkSession, folder: str) -> DataFrame:
+    rows = infilling.infilled(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infilling.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+_OPERATORS = [op1_decontaminate, op2_bpe, op3_token_files, op4_sharding, op5_lang_id, op6_suffix_repeats, op7_fingerprints, op8_line_dedup, op9_warc, op10_near_duplicates, op11_packing, op12_lexical_search, op13_infilling]
+QUERIES = {f.__name__: f for f in _OPERATORS}
+
+SQL: dict[str, str] = {
+    "op12_lexical_search": r"""
+        with split as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+        sizes as (select count(*) as docs, sum(len(terms))::hugeint as words from split where len(terms) > 0),
+        counts as (select doc_id, term, n, count(*) as tf from (select doc_id, len(terms) as n, unnest(terms) as term from split) group by all),
+        weights as (select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint as w from counts, sizes group by term, docs),
+        items as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+        scores as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + 50 * n * docs // words))))::bigint as score
+            from items join weights using (term) join counts using (term), sizes group by all)
+        select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+        from scores where score > 0 qualify rank <= 50""",
+    "op13_infilling": r"""
+        with lines as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u, sha256('7:' || coalesce(doc_id::varchar, '')) as d from documents),
+        drawn as (select *, len(u) as n, ('0x' || d[1:8])::bigint as h1, ('0x' || d[9:16])::bigint as h2, ('0x' || d[25:32])::bigint as h4 from lines),
+        cut as (select *, array_to_string(u[1:least(h1 % (n + 1), h2 % (n + 1))], '') as p,
+            array_to_string(u[1 + least(h1 % (n + 1), h2 % (n + 1)):greatest(h1 % (n + 1), h2 % (n + 1))], '') as m,
+            array_to_string(u[1 + greatest(h1 % (n + 1), h2 % (n + 1)):], '') as s,
+            case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from drawn)
+        select doc_id, n::bigint as n, form, case when form != 'plain' then length(p) end as prefix_chars, case when form != 'plain' then length(m) end as middle_chars,
+            sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+            sha256(text) as restored_sha256 from cut""",
+}

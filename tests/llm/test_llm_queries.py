@@ -142,7 +142,10 @@ def test_queries_on_odd_tables(spark, tmp_path_factory, name, kind):
     folder = str(tmp_path_factory.mktemp("odd"))
     tables(spark, folder, AWKWARD if kind == "awkward" else [])
     n = queries.QUERIES[name](spark, folder).count()
-    assert n == (0 if kind == "empty" or name.startswith("op1_") else len(AWKWARD))
+    if kind == "awkward" and name in ("op11_packing", "op12_lexical_search"):  # pieces of documents, documents with words of the item
+        assert n >= (len(AWKWARD) + 4 if name == "op11_packing" else 1)
+    else:
+        assert n == (0 if kind == "empty" or name.startswith("op1_") else len(AWKWARD))
 
 
 def test_pipeline_on_odd_tables(spark, tmp_path_factory):
