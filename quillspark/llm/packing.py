@@ -15,12 +15,9 @@ aren't read. Another layout of the input's files gives another order, and other
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,62 +25,46 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.bpe import Numbers, PairIndexBPE
+from quillspark.llm.bpe import PRE_TOKEN, PairIndexBPE
 from quillspark.llm.cluster import map_arrow, staged
 
 LENGTH = 1024
-#: Characters that are encoded at once, and stretches of text that a worker remembers.
-BLOCK_CHARS, REMEMBERED = 4_000_000, 400_000
-#: A space that no word follows, and one that a word follows.
-LOOSE, BEFORE_WORD = re.compile(r" (?:\s|\Z)"), re.compile(r" (?=\S)")
+#: Characters of texts whose ids are given out at once.
+BLOCK_CHARS = 4_000_000
 
 
-class WordBPE:
-    """Byte-level BPE asked once for each stretch that begins with the space before a word.
-
-    No pre-token spans the place before such a space, whatever stands before it, so the ids of a text are those of its
-    stretches. A first stretch without that space is known by a space in front; no other begins with white space.
-    """
+class WholeTextBPE:
+    """A byte-level vocabulary of the tokenizers library, applied by tiktoken, which takes the token with the lowest id first. That is
+    the same where ids ascend in the order of merges; other vocabularies are refused. Strings of added tokens become those tokens."""
 
     def __init__(self, path: str):
-        self.codec = PairIndexBPE(path)
-        if any(re.search(r"\s", a) for a in self.codec.added):
-            raise ValueError(f"{path} has an added token with white space")
+        from tiktoken import Encoding
+
+        self.pairs = spec = PairIndexBPE(path)
+        if (np.diff(spec.made) <= 0).any() or len(spec.made) and spec.made[0] <= spec.byte_ids.max():
+            raise ValueError(f"{path}: ids don't ascend in the order of merges")
+        own = set(spec.added.values())
+        ranks = {piece: i for i, piece in enumerate(spec.pieces) if piece and i not in own}
+        self.encoding = Encoding("vocabulary", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens=spec.added)
         #: 16 bits hold an id of a small vocabulary.
-        self.kind = "<u2" if len(self.codec.pieces) <= 1 << 16 else "<u4"
-        self.forget()
+        self.kind = "<u2" if len(spec.pieces) <= 1 << 16 else "<u4"
 
-    def forget(self) -> None:
-        self.number, self.ids, self.ends = Numbers(), bytearray(), array("q", [0])
+    def encode(self, text: str) -> np.ndarray:
+        try:
+            return self.encoding.encode_to_numpy(text, allowed_special="all").astype(self.kind)
+        except ValueError:  # a run of white space that is too long for its regular expressions
+            return np.frombuffer(self.pairs.encode_batch([text])[0], np.int32).astype(self.kind)
 
     def encode_batch(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by ``end``, and how many each has."""
-        if len(self.number) > REMEMBERED:
-            self.forget()
-        split = []
-        for text in texts:
-            words = BEFORE_WORD.split(text) if LOOSE.search(text) else text.split(" ")
-            words[0] = " " + words[0]
-            split.append(words)
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
-        before = len(self.ends) - 1
-        if len(self.number) > before:
-            new = list(islice(self.number, before, None))
-            found = self.codec.encode_batch([w[1:] if w[:1] == " " else " " + w for w in new])
-            self.ends.extend((np.cumsum([len(x) // 4 for x in found]) + self.ends[-1]).tolist())
-            self.ids += np.frombuffer(b"".join(found), np.int32).astype(self.kind).tobytes()
-        ends = np.frombuffer(self.ends, np.int64)
-        lengths = ends[numbers + 1] - ends[numbers]
-        counts = np.add.reduceat(lengths, np.r_[0, np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
-        stop = np.cumsum(lengths)
-        ids = np.frombuffer(self.ids, self.kind)[np.repeat(ends[numbers] - stop + lengths, lengths) + np.arange(len(stop) and stop[-1])]
-        return np.insert(ids, np.cumsum(counts), end), counts + 1
+        last = np.array([end], self.kind)
+        found = [x for text in texts for x in (self.encode(text), last)]
+        return np.concatenate(found), np.array([len(x) for x in found[::2]], np.int64) + 1
 
 
 @lru_cache(maxsize=2)
-def loaded(path: str) -> WordBPE:
-    return WordBPE(path)
+def loaded(path: str) -> WholeTextBPE:
+    return WholeTextBPE(path)
 
 
 def _blocks(texts: pa.Array) -> Iterator[list[str]]:

@@ -28,12 +28,13 @@ def library():
     return Tokenizer.from_file(BYTE)
 
 
-def test_stretches_encode_as_whole_texts(library):
-    r, codec = random.Random(3), packing.WordBPE(BYTE)
+def test_ids_are_those_of_the_library(library):
+    r, codec = random.Random(3), packing.WholeTextBPE(BYTE)
     made = ["".join(r.choice(["a", "b ", "  ", "\n", "\t", " the", "'s", "9", "é", " ", "　", "<|endoftext|>", ".", "\x1d"]) for _ in range(r.randint(0, 40))) for _ in range(3000)]
-    ids, counts = codec.encode_batch([*ODD, *made], 0)
+    long = ["a" * 30_000, " " * 1_500_000 + "x", "\n" * 20_000, "ab" * 20_000 + "!" * 20_000]
+    ids, counts = codec.encode_batch([*ODD, *made, *long], 0)
     at = 0
-    for text, n in zip([*ODD, *made], counts.tolist()):
+    for text, n in zip([*ODD, *made, *long], counts.tolist()):
         assert ids[at : at + n].tolist() == [*library.encode(text, add_special_tokens=False).ids, 0], text
         at += n
     assert at == len(ids)
