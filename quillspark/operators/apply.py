@@ -1,16 +1,22 @@
 """Planning and applying the changes that a comparison found, and edits of loaded rows.
 
-A plain table has no row-level changes: the next version of the table is computed in one job and written to a new folder.
+A plain table has no row-level changes: the next version of the table is computed in one job and committed as a whole.
 """
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators import diff
+from quillspark.shared import settled
+from quillspark.sources.versioned import Refused, Version, VersionedTable
+
 
 def matches(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(and_, (left[k].eqNullSafe(right[k]) for k in keys))
@@ -73,8 +79,80 @@ def blockers(expires_at: float, now: float, snapshot_then: str, snapshot_now: st
     return [(code, severity) for code, severity, holds in found if holds]
 
 
-def write_version(df: DataFrame, folder: str, version: int) -> str:
-    """Writes the next version beside the earlier ones; Spark's committer makes it appear as a whole."""
-    path = f"{folder}/version={version}"
-    df.write.mode("errorifexists").parquet(path)
-    return path
+class MissingSelection(ValueError):
+    """Selected rows that the comparison doesn't have."""
+
+
+def selected_rows(classified: DataFrame, selection: DataFrame | None, keys: list[str]) -> DataFrame:
+    """The compared rows of a selection (keys, and the action if it has one): those with another action stay unchanged. Without a
+    selection all. A selected key that the comparison doesn't have is an error."""
+    if selection is None:
+        return classified
+    selection = selection.distinct()
+    on = keys + ["action"] * ("action" in selection.columns)
+    gone = missing_selections(selection.select(*on), classified, on).limit(5).collect()
+    if gone:
+        raise MissingSelection("selected rows are not in the comparison: " + ", ".join(str(tuple(r[k] for k in keys)) for r in gone))
+    picked = selection.select(*on).withColumn("_picked", F.lit(True))
+    rows = classified.join(picked, matches(classified, picked, on), "left").select(*(classified[c] for c in classified.columns), "_picked")
+    taken = F.col("_picked").isNotNull()
+    # what isn't selected stays as the target has it
+    return rows.where(taken | (F.col("status") != "source_only")).withColumn("status", F.when(taken, F.col("status")).otherwise("unchanged")).withColumn("action", F.when(taken, F.col("action")).otherwise("none")).drop("_picked")
+
+
+@dataclass
+class Plan:
+    """What an apply is about to do to a table, and what stands against it."""
+
+    job_id: str
+    table_name: str
+    seen: Version
+    keys: list[str]
+    classified: DataFrame
+    update: list[str] | None
+    counts: dict[str, int]
+    blockers: list[tuple[str, str]]
+
+    @property
+    def executable(self) -> bool:
+        return sum(self.counts.values()) > 0 and all(severity != "error" for _, severity in self.blockers)
+
+
+def plan_apply(target: VersionedTable, source: DataFrame, keys: list[str], compare: list[str] | None = None, selection: DataFrame | None = None, update: list[str] | None = None, table_name: str = "table", readonly: bool = False, compared_hash: str | None = None, most_deletes: int = 10, expired: bool = False) -> Plan:
+    """Compares a source with the newest version of a table. ``compared_hash`` is the snapshot that an earlier comparison saw."""
+    seen = target.version()
+    classified = selected_rows(diff.classify(source, target.read(seen.number), keys, compare), selection, keys)
+    classified = settled(classified, "compared")
+    empty = reduce(or_, (F.col(k).isNull() for k in keys))
+    found = classified.where("status != 'unchanged'").groupBy("action").agg(F.count("*").alias("n"), F.count_if(empty).alias("empty")).collect()
+    counts = {a: 0 for a in ("insert", "update", "delete")} | {r["action"]: r["n"] for r in found}
+    then = compared_hash or seen.hash
+    against = blockers(0 if expired else 1, 0.5, then, seen.hash, readonly, counts["delete"], most_deletes, sum(r["empty"] for r in found))
+    return Plan(uuid.uuid4().hex, table_name, seen, keys, classified, update, counts, against)
+
+
+def execute_apply(target: VersionedTable, plan: Plan, confirm_deletes: bool = False) -> dict:
+    """Carries a plan out as one commit and writes its job row, which is returned: completed; blocked, if something stands against
+    the plan or many deletes aren't confirmed; refused, if another commit came since the plan. Failures are rows too, and raised.
+    All changes of a plan become visible at once or not at all."""
+    created = target._now()
+    against = [code for code, severity in plan.blockers if severity == "error" or not confirm_deletes]
+    row = {"job_id": plan.job_id, "table_name": plan.table_name, "base_version": plan.seen.number, "version": None, "inserts": 0, "updates": 0, "deletes": 0, "hash_before": plan.seen.hash, "hash_after": None, "blockers": against, "error": None, "created_at": created}
+    failure = None
+    if against or not sum(plan.counts.values()):
+        row |= {"status": "blocked", "error": None if against else "nothing to apply"}
+    else:
+        try:
+            before = target.read(plan.seen.number)
+            made = target.commit(apply_changes(before, plan.classified, plan.keys, plan.update), plan.seen, "apply", plan.job_id)
+            row |= {"status": "completed", "version": made.number, "hash_after": made.hash, "inserts": plan.counts["insert"], "updates": plan.counts["update"], "deletes": plan.counts["delete"]}
+        except Refused as e:
+            row |= {"status": "refused", "blockers": ["target_changed"], "error": str(e)}
+        except Exception as e:
+            row |= {"status": "failed", "error": str(e)[:500]}
+            failure = e
+    row["finished_at"] = target._now()
+    target.log_job(row)
+    if failure:
+        raise failure
+    return row

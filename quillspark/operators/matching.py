@@ -9,17 +9,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
+from quillspark.operators import similarity
 from quillspark.shared import settled
 
 DEFINITION = "sheet string, table_id int, table_logical string, table_physical string, position int, logical string, physical string, data_type string, size string, not_null boolean, is_pk boolean, auto_increment boolean, comment string"
 #: Least scores of a rename, of a sheet that stands for another, and how many candidates are looked at in full.
 RENAME, SHEET, SHORTLIST = 0.65, 0.2, 24
+#: Pairs within scopes that are all scored.
+PAIRS = 1_000_000
 #: Names of changed fields by column of a definition, in the order in which they are listed.
 FIELDS = {"logical": "logicalName", "physical": "physicalName", "data_type": "dataType", "size": "size", "not_null": "notNull", "is_pk": "isPk", "auto_increment": "autoIncrement", "comment": "comment"}
 FLAGS = ["not_null", "is_pk", "auto_increment"]
@@ -85,24 +87,20 @@ def paired(old: DataFrame, new: DataFrame, scope: list[str], key: Column) -> Dat
     return numbered(old, "old").join(numbered(new, "new"), [*scope, "key", "i"]).select(*scope, "old_id", "new_id")
 
 
-def greedy(scores: DataFrame, scope: list[str]) -> DataFrame:
-    """One-to-one pairs (scope, old_id, new_id, score), best score first, ties by the ids."""
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        old, new, out = set(), set(), []
-        for i, r in enumerate(ordered := list(group.sort_values(["score", "old_id", "new_id"], ascending=[False, True, True]).itertuples(index=False))):
-            if r.old_id not in old and r.new_id not in new:
-                old.add(r.old_id)
-                new.add(r.new_id)
-                out.append(ordered[i])
-        return pd.DataFrame(out, columns=group.columns)
+def parts_of(score) -> tuple[dict[str, Column], list[float], float]:
+    """The parts of a score that candidates are found by, their weights, and the weight of all other parts. A Jaccard similarity is
+    never above the Dice similarity of the same sets, so a bound on it holds for that too."""
+    named = {f: similarity.name_grams(F.col(f"x.{f}")) for f in ("physical", "logical")}
+    if score is column_score:
+        return named, [0.45, 0.20], 0.35
+    return named | {"names": F.when(F.size("x.names") == 0, F.array(F.lit(""))).otherwise(F.col("x.names"))}, [0.35, 0.25, 0.30], 0.10
 
-    return scores.groupBy(*scope).applyInPandas(pick, scores.schema)
 
-
-def matched(old: DataFrame, new: DataFrame, scope: list[str], score, least: float = RENAME) -> DataFrame:
+def matched(old: DataFrame, new: DataFrame, scope: list[str], score, least: float = RENAME, pairs: int = PAIRS) -> DataFrame:
     """scope, old_id, new_id, phase and score. Both sides have scope and x, a struct with id, physical, logical and what the
     score takes. Phases: physical (equal physical names), logical (equal logical names where both physical names are empty),
-    fuzzy (the best scores of what is left, from ``least`` on). Each phase is settled: the next ones use it several times."""
+    fuzzy (the best scores of what is left, from ``least`` on, one to one). Up to ``pairs`` of what is left are scored each with each
+    in its scope; beyond that, those that share rare bigrams or names. Each phase is settled: the next ones use it several times."""
     physical, logical = norm(F.col("x.physical")), norm(F.col("x.logical"))
 
     def rest(df: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
@@ -114,8 +112,17 @@ def matched(old: DataFrame, new: DataFrame, scope: list[str], score, least: floa
     second = settled(paired(old2, new2, scope, F.when(physical == "", logical).otherwise("")), "pairs")
     sides = lambda a, b: a.select(*scope, F.col("x").alias("o")).join(b.select(*scope, F.col("x").alias("n")), scope)
     ids = [F.col("o.id").alias("old_id"), F.col("n.id").alias("new_id")]
-    left = sides(rest(old2, second, "old"), rest(new2, second, "new")).select(*scope, *ids, score(F.col("o"), F.col("n")).alias("score"))
-    third = greedy(left.where(F.col("score") >= least), scope)
+    old3, new3 = settled(rest(old2, second, "old"), "rest"), settled(rest(new2, second, "new"), "rest")
+    near, weights, free = parts_of(score)
+    bound = similarity.pigeonhole(weights, free, least)
+    sizes = old3.groupBy(*scope).agg(F.count("*").alias("a")).join(new3.groupBy(*scope).agg(F.count("*").alias("b")), scope)
+    if bound > 0 and (sizes.agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0) > pairs:  # one of the parts must be alike for the sum to reach the least score
+        met = similarity.candidates(old3, new3, scope, near, bound)
+        met = met.join(old3.select(*scope, F.col("x.id").alias("old_id"), F.col("x").alias("o")), [*scope, "old_id"]).join(new3.select(*scope, F.col("x.id").alias("new_id"), F.col("x").alias("n")), [*scope, "new_id"])
+    else:
+        met = sides(old3, new3)
+    left = met.select(*scope, *ids, score(F.col("o"), F.col("n")).alias("score"))
+    third = similarity.one_to_one(left.where(F.col("score") >= least), scope)
     exact = first.withColumn("phase", F.lit("physical")).unionByName(second.withColumn("phase", F.lit("logical")))
     exact = exact.join(old.select(*scope, F.col("x.id").alias("old_id"), F.col("x").alias("o")), [*scope, "old_id"]).join(new.select(*scope, F.col("x.id").alias("new_id"), F.col("x").alias("n")), [*scope, "new_id"])
     exact = exact.select(*scope, "old_id", "new_id", "phase", score(F.col("o"), F.col("n")).alias("score"))
@@ -188,26 +195,73 @@ def baseline_scores(candidates: DataFrame, name: str, uploaded_ms: int, tables:
     return rows.select("id", weighted([(0.35, named), (0.25, F.col("near")), (0.4, text.jaccard(F.col("_own"), F.col("signatures")))]).alias("score"))
 
 
+def baseline(scores: DataFrame, place: str = "place") -> DataFrame:
+    """One row: the id of the highest score, of equal scores the one that comes first by ``place``."""
+    return scores.agg(F.max_by("id", F.struct("score", -F.col(place))).alias("id"), F.max("score").alias("score"))
+
+
 def sheet_mapping(new: DataFrame, old: DataFrame, least: float = SHEET) -> DataFrame:
-    """sheet and baseline: the old sheet of the same name, or else the one most alike in its tables and name, or else itself."""
+    """sheet and baseline: the old sheet of the same name, or else the one most alike in its tables and name, the first of equals, or
+    else itself. A sheet's place is ``place``, where a side has it, or the order of its name; rows whose table_id is null stand for
+    sheets without tables. Only sheets that lack their namesake are compared, with those that share a table or bigrams of the name."""
     def sets(df: DataFrame, side: str) -> DataFrame:
         table = F.coalesce(F.nullif(norm(F.col("physical")), F.lit("")), norm(F.col("logical")))
-        return tables_of(df).groupBy(F.col("sheet").alias(side)).agg(F.collect_set(F.nullif(table, F.lit(""))).alias(f"{side}_tables"))
-
-    score = weighted([(0.75, text.jaccard(F.col("sheet_tables"), F.col("old_tables"))), (0.25, text.dice(F.col("sheet"), F.col("old")))])
-    rows = sets(new, "sheet").crossJoin(F.broadcast(sets(old, "old"))).withColumn("score", F.when(F.col("sheet") == F.col("old"), 2.0).otherwise(score))
-    best = rows.groupBy("sheet").agg(F.max(F.struct("score", "old")).alias("best"))
-    return best.select("sheet", F.when(F.col("best.score") >= least, F.col("best.old")).otherwise(F.col("sheet")).alias("baseline"))
+        found = tables_of(df.where("table_id is not null")).groupBy("sheet").agg(F.collect_set(F.nullif(table, F.lit(""))).alias("tables"), F.lit(True).alias("full"))
+        places = df.groupBy("sheet").agg((F.min("place") if "place" in df.columns else F.lit(0)).alias("place"))
+        rows = places.join(found, "sheet", "left").withColumn("tables", F.coalesce("tables", F.array().cast("array<string>")))
+        return rows.select(F.struct(F.col("sheet").alias("id"), "place", "tables", F.coalesce("full", F.lit(False)).alias("full")).alias("x"))
+
+    own, known = settled(sets(new, "new"), "sheets"), settled(sets(old, "old"), "sheets")
+    same = own.select(F.col("x.id").alias("sheet")).join(known.select(F.col("x.id").alias("sheet")), "sheet")
+    lone = own.join(same, F.col("x.id") == F.col("sheet"), "left_anti")
+    asked = lone.where("x.full")
+    bound = similarity.pigeonhole([0.75, 0.25], 0.0, least)
+    parts = {"tables": F.when(F.size("x.tables") == 0, F.array(F.lit(""))).otherwise(F.col("x.tables")), "name": similarity.name_grams(F.col("x.id"))}
+    scoped = lambda df: df.select(F.lit(0).alias("scope"), "x")
+    met = similarity.candidates(scoped(asked), scoped(known), ["scope"], parts, bound)
+    met = met.join(asked.select(F.col("x.id").alias("old_id"), F.col("x").alias("n")), "old_id").join(known.select(F.col("x.id").alias("new_id"), F.col("x").alias("o")), "new_id")
+    score = weighted([(0.75, text.jaccard(F.col("n.tables"), F.col("o.tables"))), (0.25, text.dice(F.col("n.id"), F.col("o.id")))])
+    best = met.withColumn("score", score).where(F.col("score") >= least).groupBy(F.col("n.id").alias("sheet")).agg(F.max_by("o.id", F.struct("score", -F.col("o.place"))).alias("baseline"))
+    rest = lone.select(F.col("x.id").alias("sheet")).join(best, "sheet", "left").select("sheet", F.coalesce("baseline", "sheet").alias("baseline"))
+    return same.select("sheet", F.col("sheet").alias("baseline")).unionByName(rest)
 
 
 def hints(tables: DataFrame, columns: DataFrame) -> DataFrame:
     """The sorted keywords of what changes touch: tables, columns, and renames that wait for a decision."""
-    name = lambda o, n: F.coalesce(*(F.nullif(F.col(f"{side}.{f}"), F.lit("")) for f in ("physical", "logical") for side in (n, o)))
-    words = tables.select(F.concat(F.lit("table:"), name("o", "n")).alias("keyword")).unionByName(columns.select(F.concat(F.lit("column:"), name("o", "n")).alias("keyword")))
-    waiting = tables.select("action").unionByName(columns.select("action")).where("action = 'rename_suggest'").select(F.lit("rename:pending_confirmation").alias("keyword"))
+    words = tables.select(F.concat(F.lit("table:"), shown_name()).alias("keyword")).unionByName(columns.select(F.concat(F.lit("column:"), shown_name()).alias("keyword")))
+    waiting = pending(tables, columns).select(F.lit("rename:pending_confirmation").alias("keyword"))
     return words.unionByName(waiting).where("keyword is not null").distinct().orderBy("keyword")
 
 
+def shown_name() -> Column:
+    """The name of a change: the physical one of the new side, of the old side, then the logical ones."""
+    return F.coalesce(*(F.nullif(F.col(f"{side}.{f}"), F.lit("")) for f in ("physical", "logical") for side in ("n", "o")))
+
+
+def pending(tables: DataFrame, columns: DataFrame) -> DataFrame:
+    return tables.select("action").unionByName(columns.select("action")).where("action = 'rename_suggest'")
+
+
+def changed_names(tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """kind (table or column), sheet, table_name, action, name, confidence (of what is matched) and whether it waits for a decision."""
+    table = tables.select("sheet", F.coalesce("old_table", "new_table").alias("t"), shown_name().alias("table_name"), F.col("old_table"), F.col("new_table"))
+    own = tables.select(F.lit("table").alias("kind"), "sheet", shown_name().alias("table_name"), "action", shown_name().alias("name"), F.col("score").alias("confidence"))
+    on = [F.col("c.sheet") == F.col("t.sheet"), F.col("c.old_table") == F.col("t.old_table"), F.col("c.new_table") == F.col("t.new_table")]
+    inner = columns.alias("c").join(table.alias("t"), on).select(F.lit("column").alias("kind"), F.col("c.sheet"), "t.table_name", "c.action", F.coalesce(*(F.nullif(F.col(f"c.{s}.{f}"), F.lit("")) for f in ("physical", "logical") for s in ("n", "o"))).alias("name"), F.col("c.score").alias("confidence"))
+    return own.unionByName(inner).withColumn("requires_confirmation", F.col("action") == "rename_suggest")
+
+
+#: What is to be done next, with renames that wait for a decision and without.
+NEXT_ACTIONS = {True: ["Review rename suggestions and confirm accept/reject.", "Re-run ALTER preview after confirmations."], False: ["No rename confirmations pending.", "Proceed to ALTER preview/export."]}
+
+
+def next_actions(tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """place and action_text of what is to be done next."""
+    texts = lambda waits: F.array(*map(F.lit, NEXT_ACTIONS[waits]))
+    found = pending(tables, columns).agg((F.count("*") > 0).alias("waits"))
+    return found.select(F.posexplode(F.when(F.col("waits"), texts(True)).otherwise(texts(False))).alias("place", "action_text"))
+
+
 def summary(tables: DataFrame, columns: DataFrame) -> DataFrame:
     """One row: tables and columns added, removed and changed, and suggested renames. A suggested rename of a column counts as a
     changed column, one of a table doesn't count as a changed table."""

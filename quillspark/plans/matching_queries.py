@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import cells
-from quillspark.operators import matching, names, visibility
-from quillspark.plans.registry import query, values_sql
+from quillspark.operators import matching, names, similarity, visibility
+from quillspark.plans.registry import query, table, values_sql
 
 OLD = [
     ("s1", 1, "Orders", "orders", 1, "Order id", "order_id", "bigint", None, True, True, True, None),
@@ -220,3 +220,36 @@ def change_order(spark, folder):
 def added_column_fields(spark, folder):
     rows = flat_changes(spark).where("action = 'added'")
     return visibility.field_changes(rows, ["logical", "physical", "data_type", "size", "comment"]).select(F.col("n.id").alias("position"), "field", "new_value")
+
+
+NAMED = """(select p_brand, p_partkey as id, p_name || ' ' || p_type || ' ' || p_size as name from part)"""
+EDITED = """(select p_brand, p_partkey as id, case p_partkey % 4 when 0 then replace(p_name, ' ', '  ') || ' ' || p_type || ' ' || p_size when 1 then upper(p_name) || ' ' || p_type
+    when 2 then replace(p_name, 'i', 'ie') || ' ' || p_type || ' ' || (p_size + 1) else p_type || '_' || p_name end as name from part)"""
+
+
+def part_names(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Names of parts, and the same names edited."""
+    part = table(spark, folder, "part")
+    name, kind, size = F.col("p_name"), F.col("p_type"), F.col("p_size")
+    edits = F.when(F.col("p_partkey") % 4 == 0, F.concat_ws(" ", F.replace(name, F.lit(" "), F.lit("  ")), kind, size)).when(F.col("p_partkey") % 4 == 1, F.concat_ws(" ", F.upper(name), kind))
+    edits = edits.when(F.col("p_partkey") % 4 == 2, F.concat_ws(" ", F.replace(name, F.lit("i"), F.lit("ie")), kind, size + 1)).otherwise(F.concat_ws("_", kind, name))
+    return tuple(part.select("p_brand", F.col("p_partkey").alias("id"), x.alias("name")) for x in (F.concat_ws(" ", name, kind, size), edits))
+
+
+SIMILAR = f"select o.p_brand, o.id as old_id, n.id as new_id, cast(round({dice_sql('o.name', 'n.name')}, 6) as double) as similarity from {NAMED} o join {EDITED} n on o.p_brand = n.p_brand where {dice_sql('o.name', 'n.name')} >= 0.85"
+
+
+@query(SIMILAR)
+def similar_part_names(spark, folder):
+    """Names against edited names of a brand, by the rarest bigrams instead of all pairs."""
+    return similarity.similar_names(*part_names(spark, folder), ["p_brand"], 0.85).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"""with recursive pairs as ({SIMILAR}), cand as (select *, row_number() over (partition by p_brand order by similarity desc, old_id, new_id) as i from pairs),
+walk as (select distinct p_brand, cast(0 as bigint) as i, cast([] as bigint[]) as ua, cast([] as bigint[]) as ub, cast(null as bigint) as a, cast(null as bigint) as b, cast(null as double) as s from cand
+union all select c.p_brand, c.i, case when list_contains(ua, c.old_id) or list_contains(ub, c.new_id) then ua else list_append(ua, c.old_id) end, case when list_contains(ua, c.old_id) or list_contains(ub, c.new_id) then ub else list_append(ub, c.new_id) end, case when list_contains(ua, c.old_id) or list_contains(ub, c.new_id) then null else c.old_id end, c.new_id, c.similarity from walk w join cand c on c.p_brand = w.p_brand and c.i = w.i + 1)
+select p_brand, a as old_id, b as new_id, s as score from walk where a is not null""")
+def matched_part_names(spark, folder):
+    """The same names one to one, the most alike first."""
+    found = similarity.similar_names(*part_names(spark, folder), ["p_brand"], 0.85)
+    return similarity.one_to_one(found.withColumnRenamed("similarity", "score").withColumn("score", F.round("score", 6)), ["p_brand"])
