@@ -11,9 +11,9 @@ lines with the same variant and the same deleted place differ by a substitution,
 insertion. The earliest line of each group is aggregated and compared with the others; pairs within a group are never
 listed. The edit distance of what is found is verified on the words.
 
-Defined results: a null text has no lines, and stays null; rows that share an id count as one document, so lines of theirs
-at the same place are kept alike; lines of rows with a null id come after all others, ordered by text; an empty table gives
-an empty table; other columns pass through.
+Defined results: a null text has no lines, and stays null; rows that share an id, or have none, are documents of their own, ordered
+by a hash of the text, null ids after all others; rows that are equal in id and text are one document, and keep the same lines; an
+empty table gives an empty table; other columns pass through.
 """
 
 from __future__ import annotations
@@ -95,7 +95,7 @@ def _words(line: str) -> list[bytes]:
 
 
 def lines_of(docs: DataFrame, least_words: int) -> DataFrame:
-    """o (order: null id last, doc_id, text hash for null ids, line), h, n and halves (null for short lines) of each line."""
+    """o (order: null id last, doc_id, text hash, line), h, n and halves (null for short lines) of each line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -123,7 +123,7 @@ def lines_of(docs: DataFrame, least_words: int) -> DataFrame:
 
     names = ["doc_id", "t", "line", "h", "n", "halves"]
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("t"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
     rows = map_arrow(rows, run, f"doc_id {kind}, t long, line int, h long, n int, halves array<long>")
     return rows.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t", "line").alias("o"), "h", "n", "halves")
 
@@ -161,11 +161,11 @@ def later_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
     order = wanted.schema["o"].dataType.simpleString()
     by_doc = wanted.select(F.col("o.doc_id").alias("doc_id"), F.col("o.t").alias("t"), "h", "o").groupBy("doc_id", "t").agg(F.collect_list(F.struct("h", "o")).alias("lines"))
-    texts = docs.select("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("t"), "text")
-    # of rows that share an id the one that has the line at that place counts: pick() compares the hash
-    fetched = texts.join(by_doc, texts["doc_id"].eqNullSafe(by_doc["doc_id"]) & texts["t"].eqNullSafe(by_doc["t"])).select("text", F.explode("lines").alias("x")).select("text", "x.h", "x.o")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    # of texts that share an id and a hash the one that has the line at that place counts: pick() compares the line's hash
+    fetched = texts.join(by_doc, texts["doc_id"].eqNullSafe(by_doc["doc_id"]) & (texts["t"] == by_doc["t"])).select("text", F.explode("lines").alias("x")).select("text", "x.h", "x.o")
     fetched = map_arrow(fetched.where(F.size(F.split("text", "\n")) > F.col("o.line")), pick, f"h long, o {order}, line string")
-    lines = staged(fetched, "lines")
+    lines = staged(fetched.dropDuplicates(["h"]), "lines")  # equal rows have fetched a line more than once
     rows = staged(map_arrow(lines, split, f"key long, place int, h long, o {order}"), "variants")
 
     earliest = rows.where("place >= 0").groupBy("key", "place").agg(F.min(F.struct("o", "h")).alias("e"), F.count("*").alias("c")).where("c > 1").select("key", "place", F.col("e.h").alias("first"))
@@ -186,8 +186,9 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     firsts = staged(found.groupBy("h").agg(F.min("o").alias("o"), F.first("n").alias("n"), F.first("halves").alias("halves")), "firsts")
     later = later_lines(docs, firsts)
     kept = firsts.select("h", "o").join(later, "h", "left_anti")
-    kept = kept.groupBy(F.col("o.doc_id").alias("kept_id"), F.col("o.t").alias("kept_t")).agg(F.collect_list("o.line").alias("kept"))
     names = docs.columns
+    i, t, places = ("_" * max(map(len, names)) + x for x in ("id", "t", "kept"))  # longer than any column's name
+    kept = kept.groupBy(F.col("o.doc_id").alias(i), F.col("o.t").alias(t)).agg(F.collect_list("o.line").alias(places))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
@@ -203,6 +204,5 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_lines", "n_removed"])
 
-    t = F.when(docs["doc_id"].isNull(), F.xxhash64(docs["text"]))
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]) & t.eqNullSafe(kept["kept_t"]), "left").select(*[docs[c] for c in names], kept["kept"])
+    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(t)), "left").select(*names, places)
     return map_arrow(joined, rebuild, docs.select("*", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")).schema)

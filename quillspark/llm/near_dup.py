@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
 def without_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, least_depth: int = LEAST_DEPTH) -> DataFrame:
     """``docs`` with one row of each component: of those with the smallest id (null is the largest) one text, and of rows
-    with the same id and text the least by their other columns. Rows are told apart by id and text, so none goes for another
+    with the same id and text the least by their other columns (but for maps, which have no order). Rows are told apart by id and text, so none goes for another
     text of its id. Texts without words are duplicates only of rows with the same id and text."""
     found, labels = _labelled(docs, words, num, den, least_depth)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("o")
@@ -270,9 +270,11 @@ def without_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int
     texts = found.where("node is not null").groupBy("node", "doc_id").agg(F.min("text_hash").alias("text_hash"))
     texts = texts.join(chosen, (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("i")), "left_semi").select("doc_id", "text_hash")
     kept = texts.unionByName(found.where("node is null").select("doc_id", "text_hash").distinct())
-    kept = staged(kept.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")), "kept")
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("i")) & (F.xxhash64(docs["text"]) == F.col("h")), "left_semi")
-    return rows.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    i, h, row = ("_" * max(map(len, docs.columns)) + x for x in ("id", "hash", "row"))  # longer than any column's name
+    kept = staged(kept.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)), "kept")
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h)), "left_semi")
+    ordered = F.struct(*(c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))  # maps have no order
+    return rows.groupBy("doc_id", F.xxhash64("text").alias(h)).agg(F.min_by(F.struct(*docs.columns), ordered).alias(row)).select(f"{row}.*")
 
 
 def _nodes(pairs: DataFrame) -> DataFrame:

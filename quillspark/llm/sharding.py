@@ -1,10 +1,10 @@
 """Operator 4: sharding by fixed virtual slots.
 
-Every record belongs to one of a fixed number of virtual slots by the hash of its id. Bytes and rows are summed for each
+Every record belongs to one of a fixed number of virtual slots by the hash of its id and text. Bytes and rows are summed for each
 slot, and a slot-to-shard map, written under a version number, places slots on shards so that the bytes of shards come out
 near equal. Rebalancing edits the map: a new version moves as few slots as it can; records keep their slots.
 
-Defined results: a null text has no bytes and the crc32 of the empty text; null ids are spread by the text; empty texts
+Defined results: a null text has no bytes and the crc32 of the empty text; texts that share an id, or have none, are spread; empty texts
 and repeated rows are placed like any others, ties within a slot being ordered by id, checksum and size; an empty table
 gives an empty result. Only a map of ``slots`` rows, a number that does not grow with the data, reaches the driver.
 """
@@ -24,15 +24,14 @@ SLOTS = 8192
 RECORD_BYTES = 16
 
 
-def virtual_slot(doc_id: Column, checksum: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(doc_id, F.when(doc_id.isNull(), checksum)), F.lit(slots)).cast("int")
+def virtual_slot(doc_id: Column, text: Column, slots: int = SLOTS) -> Column:
+    return F.pmod(F.xxhash64(doc_id, text), F.lit(slots)).cast("int")
 
 
 def slotted(df: DataFrame, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32 and vslot of each record."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body).cast("long") + RECORD_BYTES).alias("size"), F.crc32(body).alias("text_crc32"))
-    return rows.withColumn("vslot", virtual_slot(F.col("doc_id"), F.col("text_crc32"), slots))
+    return df.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body).cast("long") + RECORD_BYTES).alias("size"), F.crc32(body).alias("text_crc32"), virtual_slot(F.col(doc_id), body, slots).alias("vslot"))
 
 
 def slot_sizes(rows: DataFrame) -> DataFrame:

@@ -354,11 +354,19 @@ def test_decontamination_of_shared_ids(spark):
     assert [r["similarity"] for r in got] == pytest.approx([25 / 27] * 3)
 
 
-def test_lines_of_shared_ids(spark):
-    """A line isn't taken for the line that another text of its id has at its place; both are kept alike."""
-    docs = spark.createDataFrame([(1, "a b c d e g"), (2, "p q r x y z"), (7, "a b c d e f"), (7, "p q r s t u")], "doc_id long, text string")
-    got = {(r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(docs).collect()}
-    assert got == {(1, "a b c d e g"), (2, "p q r x y z"), (7, "a b c d e f"), (7, "p q r s t u")}
+@pytest.mark.parametrize("i", [7, None])
+def test_lines_of_shared_ids(spark, i):
+    """Many texts of one id, or of none, lose the lines that they would lose with ids in the order of their hashes."""
+    r = random.Random(21)
+    pool = [[r.choice("abcdefgh") * r.randint(1, 3) for _ in range(r.randint(5, 9))] for _ in range(60)]
+    found = {"\n".join(" ".join(w if r.random() > 0.1 else "other" for w in r.choice(pool)) for _ in range(5)) for _ in range(150)}
+    docs = spark.createDataFrame([(i, t, "x") for t in [*found, *list(found)[:20]]], "doc_id long, text string, kept string").repartition(4)
+    order = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    own = spark.createDataFrame([(h, t) for t, h in order.items()], "doc_id long, text string")
+    expected = {order[t]: r["text"] for t, r in ((t, r) for r in line_dedup.dedup_lines(own).withColumn("h", F.col("doc_id")).collect() for t in order if order[t] == r["h"])}
+    lost = line_dedup.dedup_lines(docs.withColumn("n_lines", F.xxhash64("text")).withColumnRenamed("kept", "t").withColumn("before", F.col("text"))).collect()
+    assert len(lost) == len(found) + 20 and all(r["text"] == expected[order[r["before"]]] for r in lost)
+    assert sum(r["n_removed"] for r in lost) > 100
 
 
 def test_pipeline_stages_keep_rows_of_shared_ids(spark, tmp_path):
@@ -388,3 +396,28 @@ def test_fingerprint_query_on_null_ids_and_repeated_rows(spark, tmp_path):
     by_size = {len(t): {r["fingerprint"] for r in rows if r["n_chars"] == len(t)} for _, t in found}
     assert all(len(x) == 1 for x in by_size.values()) and len(set.union(*by_size.values())) == 3
     assert all(r["near_next"] is not None for r in rows) and {r["near_edited"] for r in rows if r["doc_id"] == 3} <= {r["near_edited"] for r in rows if r["doc_id"] is None}
+
+
+def test_stages_take_columns_of_any_name(spark, tmp_path):
+    """Each stage of the pipeline passes columns whose names steps use, and a map."""
+    clash = ["h", "i", "o", "t", "node", "kept", "kept_id", "lines", "line", "row", "found", "component", "key", "doc", "own", "similarity"]
+    r = random.Random(4)
+    text = lambda: " ".join(r.choice(["the", "of", "and", "for", "words", "text"]) + r.choice("abcdefghij") for _ in range(40))
+    rows = [(k, text(), ["en", "de"][k % 2], "s", 9, {"a": k}, *clash) for k in range(6)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, lang string, source string, n_chars long, more map<string, int>, " + ", ".join(f"{c} string" for c in clash))
+    spark.createDataFrame([(0, text())], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, docs, str(tmp_path))
+        if name == "tokens":
+            assert "ids" in out.columns
+        else:
+            assert out.columns == docs.columns
+        assert out.count() == (6 if name == "near_duplicates" else 7), name
+
+
+def test_sharding_spreads_texts_of_one_id(spark):
+    docs = spark.createDataFrame([(5, f"text {k} " * 5) for k in range(4000)], "doc_id long, text string")
+    loads = collections.Counter()
+    for r in sharding.shard(docs, 8).collect():
+        loads[r["shard"]] += r["size"]
+    assert max(loads.values()) < 1.02 * min(loads.values())
