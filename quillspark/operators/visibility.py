@@ -5,7 +5,6 @@ Changes of columns have table (a key), action, changed_fields, old_comment and n
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -118,25 +117,6 @@ def listed_tables(tables: DataFrame, search: str = "", sort: str = "source") ->
     return rows.orderBy(*{"name": [name, "place"], "column": [number, "place"]}.get(sort, ["place"]))
 
 
-def line_diff(texts: DataFrame, old: str = "old_text", new: str = "new_text", key: str = "id") -> DataFrame:
-    """key, place, type (added, removed or unchanged), old_line, new_line and content of each line of each pair of texts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, a, b in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                a, b, out = (a or "").splitlines(), (b or "").splitlines(), []
-                for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-                    if tag == "equal":
-                        out += [("unchanged", i + 1, j1 + i - i1 + 1, a[i]) for i in range(i1, i2)]
-                    else:
-                        out += [("removed", i + 1, None, a[i]) for i in range(i1, i2)] + [("added", None, j + 1, b[j]) for j in range(j1, j2)]
-                columns = list(zip(*out)) or [[]] * 4
-                kinds = [pa.string(), pa.int32(), pa.int32(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(out), batch.schema.field(0).type), pa.array(range(len(out)), pa.int32()), *(pa.array(c, t) for c, t in zip(columns, kinds))], [key, "place", "type", "old_line", "new_line", "content"])
-
-    kind = dict(texts.dtypes)[key]
-    return texts.select(key, old, new).mapInArrow(run, f"{key} {kind}, place int, type string, old_line int, new_line int, content string")
-
-
 def hunks(lines: DataFrame, key: str = "id", context: int = 3) -> DataFrame:
     """Lines with hunk (its number) and collapsed: lines further than ``context`` from any change are collapsed; a text without
     changes shows its first and last ones."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import visibility
+from quillspark.operators import linediff, visibility
 from quillspark.plans.diff_queries import COMPARE, VERSIONS, compared
 from quillspark.plans.registry import query, table, values_sql
 
@@ -51,7 +51,7 @@ def pairs(spark):
 
 @query("select unnest([1, 4]) as id, unnest([2, 2]) as added, unnest([2, 0]) as removed union all select unnest([2, 3]), 0, 0")
 def diff_line_stats(spark, folder):
-    return visibility.diff_stats(visibility.line_diff(pairs(spark)))
+    return visibility.diff_stats(linediff.line_diff(pairs(spark)))
 
 
 HUNKS = [(1, 0, True, 0, 1), (1, 1, False, 2, 8), (1, 2, True, 9, 10), (1, 3, False, 11, 20), (1, 4, True, 21, 31), (2, 0, False, 0, 2), (2, 1, True, 3, 26), (2, 2, False, 27, 29), (3, 0, False, 0, 1), (4, 0, False, 0, 1)]
@@ -59,11 +59,36 @@ HUNKS = [(1, 0, True, 0, 1), (1, 1, False, 2, 8), (1, 2, True, 9, 10), (1, 3, Fa
 
 @query(f"select id, cast(hunk as bigint) as hunk, collapsed, a as first_line, b as last_line from {values_sql(HUNKS, 'id, hunk, collapsed, a, b')}")
 def diff_hunks(spark, folder):
-    rows = visibility.hunks(visibility.line_diff(pairs(spark)))
+    rows = visibility.hunks(linediff.line_diff(pairs(spark)))
     return rows.groupBy("id", "hunk").agg(F.first("collapsed").alias("collapsed"), F.min("place").alias("first_line"), F.max("place").alias("last_line"))
 
 
-@query("""with d as (select doc_id as id, string_split(coalesce(text, ''), chr(10)) as l from documents where lang = 'en') select id, 0 as added, 0 as removed from d where len(l) > 0 and not (len(l) = 1 and l[1] = '')""")
-def unchanged_line_diffs(spark, folder):
-    docs = table(spark, folder, "documents").where("lang = 'en'")
-    return visibility.diff_stats(visibility.line_diff(docs.select(C("doc_id").alias("id"), C("text").alias("old_text"), C("text").alias("new_text"))))
+LINES = r"""(select doc_id as id, case when coalesce(text, '') = '' then [] else string_split(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n$', ''), chr(10)) end as x from documents)"""
+#: Lines of texts and of edited texts: some dropped, changed and doubled.
+EDITED = f"""(select id, x, flatten(list_transform(range(1, len(x) + 1), lambda i: case when i % 5 = 2 then [] when i % 7 = 3 then [x[i] || '!'] when i % 11 = 4 then [x[i], x[i]] else [x[i]] end)) as y from {LINES})"""
+#: The longest common subsequence, row by row.
+LCS = """list_reduce(list_prepend([0], list_transform(range(1, len(x) + 1), lambda i: [i])) , lambda row, i: list_reduce(list_prepend([0], list_transform(range(1, len(y) + 1), lambda j: [j])), lambda made, j:
+    list_append(made, case when x[i[1]] = y[j[1]] then (case when i[1] = 1 then 0 else row[j[1]] end) + 1 else greatest(case when i[1] = 1 then 0 else row[j[1] + 1] end, made[len(made)]) end)))"""
+
+
+@query(f"select id, len(y) - kept as added, len(x) - kept as removed from (select id, x, y, case when len(y) = 0 then 0 else {LCS}[len(y) + 1] end as kept from {EDITED})")
+def edited_line_diffs(spark, folder):
+    """Documents against edited texts: as many lines stay as a longest common subsequence has."""
+    edit = F.flatten(F.transform("x", lambda x, i: F.when((i + 1) % 5 == 2, F.array().cast("array<string>")).when((i + 1) % 7 == 3, F.array(F.concat(x, F.lit("!")))).when((i + 1) % 11 == 4, F.array(x, x)).otherwise(F.array(x))))
+    rows = table(spark, folder, "documents").select(C("doc_id").alias("id"), "text", linediff.lines_of(C("text")).alias("x")).withColumn("y", edit)
+    diffs = linediff.line_diff(rows.select("id", C("text").alias("old_text"), joined(C("y")).alias("new_text")))
+    return rows.select("id").join(visibility.diff_stats(diffs), "id", "left").fillna(0)
+
+
+def joined(lines):
+    """Lines as a text whose last line is ended."""
+    return F.when(F.size(lines) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+
+
+@query(f"select id, cast(count_if(c) as bigint) as changes, cast(count_if(shown) as bigint) as shown_lines from (select id, c, max(c::int) over (partition by id order by i rows between 3 preceding and 3 following) = 1 as shown from (select id, unnest(range(1, len(x) + 1)) as i, i % 13 = 6 as c from {LINES})) group by id having count_if(c) > 0")
+def changed_line_hunks(spark, folder):
+    """Of numbered lines with every thirteenth removed: changes, and the lines near them, which aren't collapsed."""
+    lines = F.transform(linediff.lines_of(C("text")), lambda x, i: F.concat_ws(":", i, x))
+    rows = table(spark, folder, "documents").select(C("doc_id").alias("id"), joined(lines).alias("old_text"), joined(F.flatten(F.transform(lines, lambda x, i: F.when((i + 1) % 13 == 6, F.array().cast("array<string>")).otherwise(F.array(x))))).alias("new_text"))
+    found = visibility.hunks(linediff.line_diff(rows)).groupBy("id").agg(F.count_if(C("type") != "unchanged").alias("changes"), F.count_if(~C("collapsed")).alias("shown_lines"))
+    return found.where("changes > 0")
