@@ -63,6 +63,12 @@ def diff_hunks(spark, folder):
     return rows.groupBy("id", "hunk").agg(F.first("collapsed").alias("collapsed"), F.min("place").alias("first_line"), F.max("place").alias("last_line"))
 
 
+@query("select doc_id as id, 0 as added, 0 as removed from documents where coalesce(text, '') <> ''")
+def unchanged_line_diffs(spark, folder):
+    docs = table(spark, folder, "documents")
+    return visibility.diff_stats(linediff.line_diff(docs.select(C("doc_id").alias("id"), C("text").alias("old_text"), C("text").alias("new_text"))))
+
+
 LINES = r"""(select doc_id as id, case when coalesce(text, '') = '' then [] else string_split(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n$', ''), chr(10)) end as x from documents)"""
 #: Lines of texts and of edited texts: some dropped, changed and doubled.
 EDITED = f"""(select id, x, flatten(list_transform(range(1, len(x) + 1), lambda i: case when i % 5 = 2 then [] when i % 7 = 3 then [x[i] || '!'] when i % 11 = 4 then [x[i], x[i]] else [x[i]] end)) as y from {LINES})"""

@@ -13,6 +13,8 @@ rows. A file whose quotes are odd within a record (not doubled, in an unquoted c
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -98,13 +100,10 @@ def read_csv_blocks(spark: SparkSession, path: str, schema: str | None = None, d
     found = found.withColumn("text", F.regexp_replace(F.when(F.col("number") == 1, F.regexp_replace("text", "^﻿", "")).otherwise(F.col("text")), "\r$", ""))
     options = {"sep": delimiter, "quote": '"', "escape": '"', "nullValue": "", "mode": "PERMISSIVE", "maxCharsPerColumn": "-1", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "lineSep": "\n"}
     if schema is None:
-        top = found.where("number = 1 and place = 0").orderBy("file").select("text").first()
-        if top is None:
-            return spark.createDataFrame([], "column_1 string")
-        # a header is one small record; Spark's parser splits it
-        wide = ", ".join(f"c{i} string" for i in range(top["text"].count(delimiter) + 1))
-        cells = [c for c in spark.createDataFrame([top], "text string").select(F.from_csv("text", wide, options).alias("x")).select("x.*").first() if c is not None]
-        schema = ", ".join(f"`{c.replace('`', '``')}` string" if header else f"column_{i + 1} string" for i, c in enumerate(cells))
+        # one record tells the number of cells, and their names
+        top = (found.where("number = 1 and place = 0") if header else found.where("text not in ('', '\"\"')")).orderBy("file", "number", "place").select("text").first()
+        cells = next(csv.reader(io.StringIO(top["text"], newline=""), delimiter=delimiter), []) if top else []
+        schema = ", ".join(f"`{c.replace('`', '``')}` string" if header else f"column_{i + 1} string" for i, c in enumerate(cells or [""])) if cells or not header else "column_1 string"
     if header:
         found = found.where("not (number = 1 and place = 0)")
     return found.where("text not in ('', '\"\"')").select(F.from_csv("text", schema, options).alias("row")).select("row.*")
