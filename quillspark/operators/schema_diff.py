@@ -16,14 +16,14 @@ def catalog_columns(spark: SparkSession, tables: dict[str, DataFrame], keys: dic
 
 
 def column_diff(source: DataFrame, target: DataFrame) -> DataFrame:
-    """table_name, column_name, action (removed: only in the source; added: only in the target; changed) and changed fields."""
+    """table_name, column_name, action (removed: only in the source; added: only in the target; changed) and changed fields, by name."""
     fields = ["type", "nullable", "is_pk"]
     s = source.select("table_name", "column_name", *(F.col(f).alias(f"s_{f}") for f in fields), F.lit(True).alias("in_s"))
     t = target.select("table_name", "column_name", *(F.col(f).alias(f"t_{f}") for f in fields), F.lit(True).alias("in_t"))
     joined = s.join(t, ["table_name", "column_name"], "full_outer")
     changed = F.concat_ws(",", *(F.when(~F.col(f"s_{f}").eqNullSafe(F.col(f"t_{f}")), F.lit(f)) for f in fields))
     action = F.when(F.col("in_t").isNull(), "removed").when(F.col("in_s").isNull(), "added").when(changed != "", "changed")
-    return joined.select("table_name", "column_name", action.alias("action"), F.when(action == "changed", changed).otherwise("").alias("changed_fields")).where("action is not null")
+    return joined.select("table_name", "column_name", action.alias("action"), F.when(action == "changed", changed).otherwise("").alias("changed_fields")).where("action is not null").orderBy("table_name", "column_name")
 
 
 def table_diff(source: DataFrame, target: DataFrame) -> DataFrame:

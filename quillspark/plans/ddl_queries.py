@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.operators import ddl, matching, statements
-from quillspark.plans.matching_queries import OLD_SQL, versions
+from quillspark.plans.matching_queries import OLD_SQL, fixed_versions, versions
 from quillspark.plans.registry import query, values_sql
 
 TYPE = "case when data_type in ('varchar', 'char') then data_type || '(' || coalesce(size, '255') || ') CHARACTER SET utf8mb4 COLLATE utf8mb4_bin' when data_type = 'decimal' then 'decimal(' || coalesce(size, '10,2') || ')' when data_type = 'boolean' then 'tinyint(1)' else data_type || coalesce('(' || size || ')', '') end"
@@ -16,7 +16,7 @@ FIRST = "auto_increment and is_pk and data_type in ('int', 'bigint')"
 || string_agg('  `' || physical || '` ' || {TYPE} || case when not_null then ' NOT NULL' else '' end || case when {FIRST} then ' AUTO_INCREMENT' else '' end || ' COMMENT ''' || logical || '''', ',' || chr(10) order by position)
 || coalesce(',' || chr(10) || '  PRIMARY KEY (' || string_agg('`' || physical || '`', ', ' order by position) filter (where is_pk) || ') USING BTREE', '') || chr(10) || ') ENGINE = InnoDB CHARACTER SET = utf8mb4 COLLATE = utf8mb4_bin COMMENT = ''' || table_logical || ''';' as ddl from {OLD_SQL} group by sheet, table_id, table_physical, table_logical""")
 def create_mysql(spark, folder):
-    return ddl.create_tables(versions(spark)[0], "mysql")
+    return ddl.create_tables(versions(spark, folder)[0], "mysql")
 
 
 ORACLE = "case data_type when 'varchar' then 'VARCHAR2(' || coalesce(size, '255') || ')' when 'bigint' then 'NUMBER' when 'int' then 'NUMBER' when 'decimal' then 'NUMBER(' || coalesce(size, '10,2') || ')' when 'text' then 'CLOB' when 'boolean' then 'NUMBER(1)' end"
@@ -26,7 +26,7 @@ ORACLE = "case data_type when 'varchar' then 'VARCHAR2(' || coalesce(size, '255'
 || coalesce(',' || chr(10) || '  CONSTRAINT pk_' || table_physical || ' PRIMARY KEY (' || string_agg(physical, ', ' order by position) filter (where is_pk) || ')', '') || chr(10) || ');' || chr(10) || chr(10) || 'COMMENT ON TABLE ' || table_physical || ' IS ''' || table_logical || ''';' || chr(10)
 || string_agg('COMMENT ON COLUMN ' || table_physical || '.' || physical || ' IS ''' || logical || ''';', chr(10) order by position) as ddl from {OLD_SQL} group by sheet, table_id, table_physical, table_logical""")
 def create_oracle(spark, folder):
-    return ddl.create_tables(versions(spark)[0], "oracle")
+    return ddl.create_tables(versions(spark, folder)[0], "oracle")
 
 
 COUNTED = [("s", 1, 1, "id", "int(11)", True, True), ("s", 1, 2, "second", "bigint", True, True), ("s", 1, 3, "text_key", "varchar(5)", True, True), ("s", 1, 4, "other", "int", False, True), ("s", 2, 1, "id", "INTEGER", True, True), ("s", 2, 2, "plain", "int", True, False), ("s", 3, 1, "none", None, True, True)]
@@ -53,7 +53,7 @@ def auto_increment_warnings(spark, folder):
 
 @query(f"select 'Crt_' || table_physical || '.sql' as path from {OLD_SQL} where table_physical <> '' group by sheet, table_physical union all select 'export_errors.txt'")
 def ddl_entries(spark, folder):
-    return ddl.entries(ddl.create_tables(versions(spark)[0])).select("path")
+    return ddl.entries(ddl.create_tables(versions(spark, folder)[0])).select("path")
 
 
 ALTERS = {
@@ -66,7 +66,7 @@ ALTERS["accept"][3] = "ALTER TABLE `orders` MODIFY COLUMN `Memo` longtext;"
 
 @query(f"select decision, statement from {values_sql([(d, s) for d, xs in ALTERS.items() for s in xs], 'decision, statement')}")
 def alter_column_statements(spark, folder):
-    _, columns = matching.schema_changes(*versions(spark))
+    _, columns = matching.schema_changes(*fixed_versions(spark))
     columns = columns.where("old_table = 1")
     decided = lambda d: columns.withColumn("decision", F.lit(d))
     table = F.lit("orders")
@@ -80,7 +80,7 @@ TABLE_ALTERS = [("accept", "RENAME TABLE `customers` TO `customer_master`;"), ("
 
 @query(f"select decision, statement from {values_sql(TABLE_ALTERS, 'decision, statement')}")
 def alter_table_statements(spark, folder):
-    old, new = versions(spark)
+    old, new = fixed_versions(spark)
     tables, _ = matching.schema_changes(old, new)
     made = lambda d, dialect, **how: ddl.alter_tables(tables.withColumn("decision", F.lit(d)), ddl.create_tables(new, dialect), dialect, **how).withColumn("decision", F.lit(d))
     rows = made("accept", "mysql", single_table=True).unionByName(made("pending", "oracle", unconfirmed=True, single_table=True))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.functions import cells
+from quillspark.functions import cells, text
 from quillspark.operators import matching, names, similarity, visibility
 from quillspark.plans.registry import query, table, values_sql
 
@@ -36,10 +37,38 @@ NEW = [
     ("s3", 1, "Stores", "stores", 1, "Store", "store_id", "int", None, True, True, False, None),
 ]
 NAMES_SQL = "sheet, table_id, table_logical, table_physical, position, logical, physical, data_type, size, not_null, is_pk, auto_increment, comment"
-OLD_SQL, NEW_SQL = values_sql(OLD, NAMES_SQL, "o"), values_sql(NEW, NAMES_SQL, "n")
-
-
-def versions(spark) -> tuple[DataFrame, DataFrame]:
+#: The parts of a brand and type as a table, a column a part.
+PART_OLD = """(select p_brand as sheet, cast(ascii(p_type) * 128 + ascii(substr(p_type, 2, 1)) as int) as table_id, p_brand || ' ' || p_type as table_logical, 'tab_' || replace(lower(p_brand), '#', '_') || '_' || lower(p_type) as table_physical,
+    cast(row_number() over (partition by p_brand, p_type order by p_partkey) as int) as position, 'Part ' || p_partkey as logical, 'c_' || p_partkey as physical, case p_partkey % 3 when 0 then 'varchar' when 1 then 'int' else 'decimal' end as data_type,
+    case p_partkey % 3 when 0 then cast(p_size as varchar) when 2 then '10,2' end as size, p_size % 2 = 0 as not_null, row_number() over (partition by p_brand, p_type order by p_partkey) = 1 as is_pk, false as auto_increment, case when p_partkey % 5 = 0 then p_name end as comment from part)"""
+#: The same, later: parts gone, sizes and flags changed, and comments in their white space.
+PART_NEW = f"""(select sheet, table_id, table_logical, table_physical, position, logical, physical, data_type, case when k % 10 = 1 then coalesce(size, '') || '9' else size end as size, case when k % 10 = 2 then not not_null else not_null end as not_null,
+    is_pk, auto_increment, case when k % 10 = 3 then coalesce(comment, '') || chr(10) || ' ' else comment end as comment from (select *, cast(substr(physical, 3) as int) as k from {PART_OLD}) where k % 10 <> 0)"""
+#: What differs of columns whose table is still there, with the tables that are gone.
+PART_CHANGES = f"""(select o.sheet, o.table_id, o.table_physical as tab, o.physical, o.position as place, case when n.sheet is null then 'removed' else 'modified' end as action,
+    case when n.sheet is null then [] when o.size is distinct from n.size then ['size'] when o.not_null <> n.not_null then ['notNull'] else ['comment'] end as f
+    from {PART_OLD} o left join {PART_NEW} n on o.sheet = n.sheet and o.table_id = n.table_id and o.position = n.position
+    where (o.sheet, o.table_id) in (select (sheet, table_id) from {PART_NEW}) and (n.sheet is null or o.size is distinct from n.size or o.not_null <> n.not_null or o.comment is distinct from n.comment))"""
+PART_GONE = f"(select distinct sheet, table_physical as tab from {PART_OLD} where (sheet, table_id) not in (select (sheet, table_id) from {PART_NEW}))"
+OLD_SQL, NEW_SQL = (f"(select * from {values_sql(rows, NAMES_SQL, 'x')} union all select * from {more}) as {alias}" for rows, more, alias in ((OLD, PART_OLD, "o"), (NEW, PART_NEW, "n")))
+
+
+def versions(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Two versions of definitions: of parts, and a few that reach each rule."""
+    part, k = table(spark, folder, "part"), F.col("p_partkey")
+    place = F.row_number().over(W.partitionBy("p_brand", "p_type").orderBy("p_partkey"))
+    old = part.select(
+        F.col("p_brand").alias("sheet"), (F.ascii("p_type") * 128 + F.ascii(F.substring("p_type", 2, 1))).alias("table_id"), F.concat_ws(" ", "p_brand", "p_type").alias("table_logical"),
+        F.concat(F.lit("tab_"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_")), F.lit("_"), F.lower("p_type")).alias("table_physical"), place.alias("position"), F.concat(F.lit("Part "), k).alias("logical"), F.concat(F.lit("c_"), k).alias("physical"),
+        F.when(k % 3 == 0, "varchar").when(k % 3 == 1, "int").otherwise("decimal").alias("data_type"), F.when(k % 3 == 0, F.col("p_size").cast("string")).when(k % 3 == 2, "10,2").alias("size"), (F.col("p_size") % 2 == 0).alias("not_null"), (place == 1).alias("is_pk"),
+        F.lit(False).alias("auto_increment"), F.when(k % 5 == 0, F.col("p_name")).alias("comment"), k.alias("k"),
+    )
+    k = F.col("k")
+    new = old.where(k % 10 != 0).withColumns({"size": F.when(k % 10 == 1, F.concat(F.coalesce("size", F.lit("")), F.lit("9"))).otherwise(F.col("size")), "not_null": F.col("not_null") != (k % 10 == 2), "comment": F.when(k % 10 == 3, F.concat(F.coalesce("comment", F.lit("")), F.lit("\n "))).otherwise(F.col("comment"))})
+    return tuple(a.unionByName(b.drop("k")) for a, b in zip(fixed_versions(spark), (old, new)))
+
+
+def fixed_versions(spark) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(OLD, matching.DEFINITION), spark.createDataFrame(NEW, matching.DEFINITION)
 
 
@@ -60,7 +89,7 @@ COLUMN_SCORE = f"cast(round(0.45 * {dice_sql('o.physical', 'n.physical')} + 0.2
 
 @query(f"select o.table_id, o.position as old_position, n.position as new_position, {COLUMN_SCORE} as score from {OLD_SQL} join {NEW_SQL} on o.sheet = n.sheet and o.table_id = n.table_id")
 def column_scores(spark, folder):
-    old, new = (df.select("sheet", "table_id", F.struct("position", *matching.FIELDS).alias(side)) for df, side in zip(versions(spark), "on"))
+    old, new = (df.select("sheet", "table_id", F.struct("position", *matching.FIELDS).alias(side)) for df, side in zip(versions(spark, folder), "on"))
     rows = old.join(new, ["sheet", "table_id"])
     return rows.select("table_id", F.col("o.position").alias("old_position"), F.col("n.position").alias("new_position"), F.round(matching.column_score(F.col("o"), F.col("n")), 6).alias("score"))
 
@@ -72,7 +101,7 @@ TABLE_SCORE = f"cast(round(0.35 * {dice_sql('o.physical', 'n.physical')} + 0.25
 
 @query(f"select o.sheet, o.id as old_id, n.id as new_id, {TABLE_SCORE} as score from {SIDES}")
 def table_scores(spark, folder):
-    old, new = (matching.tables_of(df).select("sheet", F.struct(F.col("table_id").alias("id"), "logical", "physical", "names", "comments").alias(side)) for df, side in zip(versions(spark), "on"))
+    old, new = (matching.tables_of(df).select("sheet", F.struct(F.col("table_id").alias("id"), "logical", "physical", "names", "comments").alias(side)) for df, side in zip(versions(spark, folder), "on"))
     return old.join(new, "sheet").select("sheet", F.col("o.id").alias("old_id"), F.col("n.id").alias("new_id"), F.round(matching.table_score(F.col("o"), F.col("n")), 6).alias("score"))
 
 
@@ -83,7 +112,7 @@ walk as (select distinct sheet, cast(0 as bigint) as i, cast([] as integer[]) as
 union all select c.sheet, c.i, case when list_contains(ua, c.a) or list_contains(ub, c.b) then ua else list_append(ua, c.a) end, case when list_contains(ua, c.a) or list_contains(ub, c.b) then ub else list_append(ub, c.b) end, case when list_contains(ua, c.a) or list_contains(ub, c.b) then null else c.a end, c.b, c.score from walk w join cand c on c.sheet = w.sheet and c.i = w.i + 1)
 select sheet, a as old_id, b as new_id, phase, score from exact union all select sheet, a, b, 'fuzzy', score from walk where a is not null""")
 def table_matches(spark, folder):
-    sides = [matching.tables_of(df).select("sheet", F.struct(F.col("table_id").alias("id"), "logical", "physical", "names", "comments").alias("x")) for df in versions(spark)]
+    sides = [matching.tables_of(df).select("sheet", F.struct(F.col("table_id").alias("id"), "logical", "physical", "names", "comments").alias("x")) for df in versions(spark, folder)]
     return matching.matched(*sides, ["sheet"], matching.table_score).withColumn("score", F.round("score", 6))
 
 
@@ -98,31 +127,31 @@ COLUMN_CHANGES = [
 TABLE_CHANGES = [("s1", "changed", "orders", "orders", [], 6), ("s1", "rename_suggest", "customers", "customer_master", ["physicalTableName"], 0), ("s1", "removed", "legacy_log", None, [], 0), ("s1", "added", None, "brand_new", [], 0), ("s2", "removed", "stores", None, [], 0), ("s3", "added", None, "stores", [], 0)]
 
 
-@query(f"select sheet, old_table, new_table, action, array_to_string(f, ',') as fields, a as old_position, b as new_position from {values_sql(COLUMN_CHANGES, 'sheet, old_table, new_table, action, f, a, b')}")
+@query(f"select sheet, old_table, new_table, action, array_to_string(f, ',') as fields, a as old_position, b as new_position from {values_sql(COLUMN_CHANGES, 'sheet, old_table, new_table, action, f, a, b')} union all select sheet, table_id, table_id, action, array_to_string(f, ','), place, case when action = 'modified' then place end from {PART_CHANGES}")
 def column_change_list(spark, folder):
-    _, columns = matching.schema_changes(*versions(spark))
+    _, columns = matching.schema_changes(*versions(spark, folder))
     return columns.select("sheet", "old_table", "new_table", "action", F.array_join("changed_fields", ",").alias("fields"), F.col("o.id").alias("old_position"), F.col("n.id").alias("new_position"))
 
 
-@query(f"select sheet, action, a as before, b as after, array_to_string(f, ',') as fields, n as n_columns from {values_sql(TABLE_CHANGES, 'sheet, action, a, b, f, n')}")
+@query(f"select sheet, action, a as before, b as after, array_to_string(f, ',') as fields, n as n_columns from {values_sql(TABLE_CHANGES, 'sheet, action, a, b, f, n')} union all select sheet, 'changed', tab, tab, '', count(*) from {PART_CHANGES} group by sheet, tab union all select sheet, 'removed', tab, null, '', 0 from {PART_GONE}")
 def table_change_list(spark, folder):
-    tables, _ = matching.schema_changes(*versions(spark))
+    tables, _ = matching.schema_changes(*versions(spark, folder))
     return tables.select("sheet", "action", F.col("o.physical").alias("before"), F.col("n.physical").alias("after"), F.array_join("changed_fields", ",").alias("fields"), "n_columns")
 
 
-@query("select 2 as added_tables, 2 as removed_tables, 1 as changed_tables, 1 as added_columns, 1 as removed_columns, 4 as changed_columns, 2 as rename_suggestions")
+@query(f"select 2 as added_tables, 2 + (select count(*) from {PART_GONE}) as removed_tables, 1 + count(distinct tab) as changed_tables, 1 as added_columns, 1 + count_if(action = 'removed') as removed_columns, 4 + count_if(action = 'modified') as changed_columns, 2 as rename_suggestions from {PART_CHANGES}")
 def schema_change_summary(spark, folder):
-    return matching.summary(*matching.schema_changes(*versions(spark)))
+    return matching.summary(*matching.schema_changes(*versions(spark, folder)))
 
 
-@query("select unnest(['column:created_at', 'column:customer_id', 'column:Memo', 'column:note', 'column:old_flag', 'column:total_amt', 'rename:pending_confirmation', 'table:brand_new', 'table:customer_master', 'table:legacy_log', 'table:orders', 'table:stores']) as keyword")
+@query("select unnest(['column:created_at', 'column:customer_id', 'column:Memo', 'column:note', 'column:old_flag', 'column:total_amt', 'rename:pending_confirmation', 'table:brand_new', 'table:customer_master', 'table:legacy_log', 'table:orders', 'table:stores']) as keyword " + f"union select 'column:' || physical from {PART_CHANGES} union select 'table:' || tab from {PART_CHANGES} union select 'table:' || tab from {PART_GONE}")
 def change_hints(spark, folder):
-    return matching.hints(*matching.schema_changes(*versions(spark)))
+    return matching.hints(*matching.schema_changes(*versions(spark, folder)))
 
 
 @query(f"select distinct lower(sheet) || '|' || lower(physical) || '|' || list_aggregate(list_sort(names), 'string_agg', ',') as signature from {TABLES_SQL.format(OLD_SQL)} o")
 def definition_signatures(spark, folder):
-    return matching.signatures(versions(spark)[0])
+    return matching.signatures(versions(spark, folder)[0])
 
 
 FILES = [(i, f"design_{'ab'[i % 2]}_{i}.xlsx", f"2024-01-{1 + i % 28:02d} 00:00:00", [f"t{j}" for j in range(i % 4)]) for i in range(1, 31)]
@@ -142,13 +171,13 @@ def baseline_candidates(spark, folder):
 
 @query(f"select distinct sheet from (select sheet from {OLD_SQL} union select sheet from {NEW_SQL})")
 def sheet_names(spark, folder):
-    old, new = versions(spark)
+    old, new = versions(spark, folder)
     return old.select("sheet").union(new.select("sheet")).distinct().orderBy("sheet")
 
 
-@query("select 's1' as sheet, 's1' as baseline union all select 's3', 's2'")
+@query(f"select 's1' as sheet, 's1' as baseline union all select 's3', 's2' union all select distinct sheet, sheet from {PART_NEW}")
 def sheet_baselines(spark, folder):
-    old, new = versions(spark)
+    old, new = versions(spark, folder)
     return matching.sheet_mapping(new, old)
 
 
@@ -170,25 +199,25 @@ def name_conflicts(spark, folder):
     return rows.where(F.size("conflicts") > 0).select("table_id", "position", F.array_join("conflicts", ",").alias("conflicts"))
 
 
-def flat_changes(spark) -> DataFrame:
+def flat_changes(spark, folder) -> DataFrame:
     """Column changes with what views ask for."""
-    _, columns = matching.schema_changes(*versions(spark))
+    _, columns = matching.schema_changes(*versions(spark, folder))
     side = lambda s, p: [F.col(f"{s}.{f}").alias(f"{p}_{f}") for f in ("logical", "physical", "comment")]
     return columns.select(F.col("old_table").alias("table_key"), "action", "changed_fields", "o", "n", F.coalesce("o.id", "n.id").alias("place"), *side("o", "old"), *side("n", "new"))
 
 
 FLAT = [(1, "modified", ["notNull"], 2), (1, "rename_suggest", ["physicalName"], 3), (1, "modified", ["comment"], 4), (1, "modified", ["dataType"], 5), (1, "removed", [], 6), (1, "added", [], 6)]
-FLAT_SQL = f"""(select *, case when action = 'added' then 'non_breaking' when action <> 'modified' then 'breaking' when f = ['comment'] then 'metadata' when len(list_intersect(f, ['dataType', 'size', 'notNull', 'isPk', 'autoIncrement', 'physicalName'])) > 0 then 'breaking' else 'non_breaking' end as impact from {values_sql(FLAT, 'table_key, action, f, place')})"""
+FLAT_SQL = f"""(select *, case when action = 'added' then 'non_breaking' when action <> 'modified' then 'breaking' when f = ['comment'] then 'metadata' when len(list_intersect(f, ['dataType', 'size', 'notNull', 'isPk', 'autoIncrement', 'physicalName'])) > 0 then 'breaking' else 'non_breaking' end as impact from (select * from {values_sql(FLAT, 'table_key, action, f, place')} union all select table_id, action, f, place from {PART_CHANGES}))"""
 
 
 @query(f"select action, place, impact, f = ['comment'] as formatting from {FLAT_SQL}")
 def change_impacts(spark, folder):
-    return visibility.visible_columns(flat_changes(spark)).select("action", "place", "impact", "formatting")
+    return visibility.visible_columns(flat_changes(spark, folder)).select("action", "place", "impact", "formatting")
 
 
 @query(f"select action, place from {FLAT_SQL} where impact <> 'metadata' union all select action, place + 100 from {FLAT_SQL} where list_contains(f, 'notNull') union all select action, place + 200 from {FLAT_SQL} where action = 'modified' and f <> ['comment'] union all select 'rename_suggest', 303")
 def visible_changes(spark, folder):
-    rows = flat_changes(spark)
+    rows = flat_changes(spark, folder)
     shown = [visibility.visible_columns(rows, metadata=False), visibility.visible_columns(rows, field="nullable"), visibility.visible_columns(rows, action="modified", hide_formatting=True), visibility.visible_columns(rows, keyword="TOTAL_AMT")]
     out = [df.select("action", (F.col("place") + 100 * i).alias("place")) for i, df in enumerate(shown)]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
@@ -196,7 +225,7 @@ def visible_changes(spark, folder):
 
 @query(f"select table_key, sum(case when impact <> 'metadata' then 1 else 0 end) as n_schema, sum(case when impact = 'metadata' then 1 else 0 end) as n_metadata, sum(case when f = ['comment'] then 1 else 0 end) as n_formatting from {FLAT_SQL} group by table_key")
 def change_impact_counts(spark, folder):
-    return visibility.impact_counts(visibility.visible_columns(flat_changes(spark)))
+    return visibility.impact_counts(visibility.visible_columns(flat_changes(spark, folder)))
 
 
 TABLE_IMPACTS = [(1, "removed", [], []), (2, "added", [], []), (3, "changed", ["physicalTableName"], []), (4, "changed", ["logicalTableName"], ["breaking"]), (5, "changed", [], ["metadata", "breaking"]), (6, "changed", [], ["metadata"]), (7, "changed", [], []), (8, "changed", [], ["metadata", "non_breaking"]), (9, "rename_suggest", [], ["metadata"])]
@@ -208,17 +237,15 @@ def table_impacts(spark, folder):
     return df.select("id", visibility.table_impact(F.col("action"), F.col("fields"), F.col("impacts")).alias("impact"))
 
 
-@query(f"select row_number() over (order by r, place) as i, action, place from (select action, place, case action when 'removed' then 0 when 'rename_suggest' then 1 when 'modified' then 3 when 'added' then 4 end as r from {FLAT_SQL})")
+@query(f"select rank() over (order by r, place) as i, action, place from (select action, place, case action when 'removed' then 0 when 'rename_suggest' then 1 when 'modified' then 3 when 'added' then 4 end as r from {FLAT_SQL})")
 def change_order(spark, folder):
-    from pyspark.sql import Window as W
-
-    rows = visibility.ordered_changes(flat_changes(spark), "place")
-    return rows.select(F.row_number().over(W.partitionBy(F.lit(1)).orderBy("rank", "place")).alias("i"), "action", "place")
+    rows = visibility.ordered_changes(flat_changes(spark, folder), "place")
+    return rows.select(F.rank().over(W.partitionBy(F.lit(1)).orderBy("rank", "place")).alias("i"), "action", "place")
 
 
 @query(f"""select n.position, f as field, case when v is null or trim(v) = '' then '-' else trim(v) end as new_value from (select n.position, unnest(['logical', 'physical', 'data_type', 'size', 'comment']) as f, unnest([n.logical, n.physical, n.data_type, n.size, n.comment]) as v from {NEW_SQL} where n.physical = 'created_at') as n""")
 def added_column_fields(spark, folder):
-    rows = flat_changes(spark).where("action = 'added'")
+    rows = flat_changes(spark, folder).where("action = 'added'")
     return visibility.field_changes(rows, ["logical", "physical", "data_type", "size", "comment"]).select(F.col("n.id").alias("position"), "field", "new_value")
 
 
@@ -253,3 +280,43 @@ def matched_part_names(spark, folder):
     """The same names one to one, the most alike first."""
     found = similarity.similar_names(*part_names(spark, folder), ["p_brand"], 0.85)
     return similarity.one_to_one(found.withColumnRenamed("similarity", "score").withColumn("score", F.round("score", 6)), ["p_brand"])
+
+
+OLD_SHEETS = """(select case when cast(substr(p_brand, 7) as int) % 2 = 0 then p_brand else 'old ' || lower(p_brand) end as sheet, cast(substr(p_brand, 7) as int) as place, list_sort(list(distinct replace(p_name, ' ', '_'))) as tables from part where p_size % 10 <> 0 group by all)"""
+NEW_SHEETS = "(select p_brand as sheet, list_sort(list(distinct replace(p_name, ' ', '_'))) as tables from part group by 1 union all select 'blank', [])"
+
+
+def part_sheets(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Sheets of brands, their parts' names as tables: the newer has a blank sheet, the older other names for half of them, and less."""
+    part, number = table(spark, folder, "part"), F.substring("p_brand", 7, 9).cast("int")
+    none = {c: F.lit(None).cast("string") for c in ("table_logical", "physical", "logical", "comment")}
+    made = lambda df, sheet: df.select(sheet.alias("sheet"), number.alias("place"), F.col("p_partkey").cast("int").alias("table_id"), F.col("p_name").alias("table_physical"), F.lit(1).alias("position")).withColumns(none)
+    blank = spark.createDataFrame([("blank", 0, None, None, 1)], "sheet string, place int, table_id int, table_physical string, position int").withColumns(none)
+    return made(part, F.col("p_brand")).unionByName(blank), made(part.where("p_size % 10 != 0"), F.when(number % 2 == 0, F.col("p_brand")).otherwise(F.concat(F.lit("old "), F.lower("p_brand"))))
+
+
+MAPPED = f"""select n.sheet, coalesce(max(o.sheet) filter (where o.sheet = n.sheet), case when len(any_value(n.tables)) > 0 then arg_max(o.sheet, struct_pack(s := sc, p := -o.place)) filter (where sc >= 0.2) end, n.sheet) as baseline
+from (select *, round(0.75 * len(list_intersect(n.tables, o.tables)) / len(list_distinct(list_concat(n.tables, o.tables))) + 0.25 * {dice_sql('n.sheet', 'o.sheet')}, 9) as sc from {NEW_SHEETS} n cross join {OLD_SHEETS} o) as x(n_sheet, n_tables, o_sheet, place, o_tables, sc), lateral (select n_sheet as sheet, n_tables as tables) n, lateral (select o_sheet as sheet, x.place as place) o group by n.sheet"""
+
+
+@query(MAPPED)
+def part_sheet_baselines(spark, folder):
+    """Each sheet's older namesake, or the sheet most like it, the first of equals."""
+    return matching.sheet_mapping(*part_sheets(spark, folder))
+
+
+@query(f"""with s as (select f.c_custkey as id, f.c_custkey as place, round(0.7 * {dice_sql("'Customer#000000500'", 'f.c_name')} + 0.3 * greatest(1 - abs(f.c_nationkey - 7) / 20.0, 0), 9) as score from customer f)
+select id, cast(round(score, 6) as double) as score from s order by score desc, place limit 1""")
+def chosen_baseline(spark, folder):
+    """The best of all candidates; of equal scores the first."""
+    name, near = text.dice(F.lit("Customer#000000500"), F.col("c_name")), F.greatest(1 - F.abs(F.col("c_nationkey") - 7) / 20.0, F.lit(0.0))
+    rows = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("place"), matching.weighted([(0.7, name), (0.3, near)]).alias("score"))
+    return matching.baseline(rows).withColumn("score", F.round("score", 6))
+
+
+@query("select t.kind, t.table_name, t.action, t.name, t.requires_confirmation from " + values_sql([
+    ("table", "orders", "changed", "orders", False), ("table", "customer_master", "rename_suggest", "customer_master", True), ("table", "legacy_log", "removed", "legacy_log", False), ("table", "brand_new", "added", "brand_new", False), ("table", "stores", "removed", "stores", False), ("table", "stores", "added", "stores", False),
+    ("column", "orders", "modified", "customer_id", False), ("column", "orders", "rename_suggest", "total_amt", True), ("column", "orders", "modified", "note", False), ("column", "orders", "modified", "Memo", False), ("column", "orders", "removed", "old_flag", False), ("column", "orders", "added", "created_at", False),
+], "kind, table_name, action, name, requires_confirmation") + f" union all select 'table', tab, 'changed', tab, false from {PART_CHANGES} group by tab union all select 'table', tab, 'removed', tab, false from {PART_GONE} union all select 'column', tab, action, physical, false from {PART_CHANGES}")
+def changed_name_list(spark, folder):
+    return matching.changed_names(*matching.schema_changes(*versions(spark, folder))).select("kind", "table_name", "action", "name", "requires_confirmation")

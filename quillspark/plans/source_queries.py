@@ -95,9 +95,43 @@ def ddl_import_keys(spark, folder):
     return rows.select("kind", "key_name", F.array_join("columns", ",").alias("columns"), "ref_table", F.array_join("ref_columns", ",").alias("ref_columns"))
 
 
-@query("select 1 as errors, 1 as warnings, 2 as total")
+@query("select 0 as blocking, 1 as confirm, 0 as info")
 def ddl_import_issues(spark, folder):
-    return ddl_text.issue_counts(ddl_text.issues(ddl_text.imported_columns(scripts(spark))))
+    df = scripts(spark)
+    return ddl_text.issue_counts(ddl_text.issues(ddl_text.imported_tables(df), ddl_text.imported_columns(df)))
+
+
+def part_scripts(spark, folder):
+    """A script for each part: quotes with marks in them, defaults, rules, tables without keys or columns."""
+    k, c = F.col("p_partkey"), F.concat
+    said = lambda *parts: c(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    kind, key = F.when(k % 4 == 1, "varchar(9)").otherwise("bigint"), F.when(k % 3 == 0, "").otherwise(" PRIMARY KEY (`id`),")
+    rules = F.when(k % 5 == 0, " ON DELETE SET NULL ON UPDATE CASCADE").otherwise("")
+    full = said(
+        "insert into x values (';');\n-- it's `one`\nCREATE TABLE IF NOT EXISTS `shop`.`t_", k, "` ( `id` ", kind, " NOT NULL AUTO_INCREMENT,\n name varchar(", F.col("p_size"), ") DEFAULT '", F.col("p_name"), "; -- (x' UNIQUE COMMENT 'it''s ", F.col("p_type"),
+        ", /* kept */', made timestamp default now(),", key, " CONSTRAINT `fk_", k, "` FOREIGN KEY (`name`) REFERENCES `shop`.`brands` (`brand`)", rules, ") ENGINE=InnoDB COMMENT='", F.col("p_brand"), ";';",
+    )
+    return table(spark, folder, "part").select("p_partkey", F.when(k % 50 == 7, said("/* none; */ create table t_", k, " ();")).otherwise(full).alias("sql"))
+
+
+@query("""select p_partkey, x.* from part, lateral (select unnest([{'column_name': 'id', 'type': case when p_partkey % 4 = 1 then 'varchar' else 'bigint' end, 'size': case when p_partkey % 4 = 1 then '9' end, 'not_null': true, 'is_pk': p_partkey % 3 <> 0, 'is_unique': false, 'default_value': null, 'comment': null},
+{'column_name': 'name', 'type': 'varchar', 'size': p_size::varchar, 'not_null': false, 'is_pk': false, 'is_unique': true, 'default_value': '''' || p_name || '; -- (x''', 'comment': 'it''s ' || p_type || ', /* kept */'}, {'column_name': 'made', 'type': 'timestamp', 'size': null, 'not_null': false, 'is_pk': false, 'is_unique': false, 'default_value': 'now()', 'comment': null}]) as x) where p_partkey % 50 <> 7""")
+def ddl_import_columns(spark, folder):
+    return ddl_text.imported_columns(part_scripts(spark, folder)).select("p_partkey", "column_name", "type", "size", "not_null", "is_pk", "is_unique", "default_value", "comment")
+
+
+@query("select p_partkey, 't_' || p_partkey as table_name, case when p_partkey % 50 <> 7 then p_brand || ';' end as comment, case when p_partkey % 50 <> 7 then 'fk_' || p_partkey end as key_name, case when p_partkey % 50 <> 7 then 'brands' end as ref_table, case when p_partkey % 50 <> 7 and p_partkey % 5 = 0 then 'SET NULL' end as on_delete, case when p_partkey % 50 <> 7 and p_partkey % 5 = 0 then 'CASCADE' end as on_update from part")
+def ddl_import_rules(spark, folder):
+    df = part_scripts(spark, folder)
+    keys = ddl_text.imported_keys(df).select("p_partkey", "key_name", "ref_table", "on_delete", "on_update")
+    return ddl_text.imported_tables(df).select("p_partkey", "table_name", "comment").join(keys, "p_partkey", "left")
+
+
+@query("""select 'confirm' as severity, 't_' || p_partkey as table_name, null as column_name from part where p_partkey % 50 = 7 or p_partkey % 3 = 0 union all select 'blocking', 't_' || p_partkey, null from part where p_partkey % 50 = 7
+union all select 'info', 't_' || p_partkey, 'id' from part where p_partkey % 50 <> 7 and p_partkey % 4 = 1""")
+def ddl_import_doubts(spark, folder):
+    df = part_scripts(spark, folder)
+    return ddl_text.issues(ddl_text.imported_tables(df), ddl_text.imported_columns(df)).select("severity", "table_name", "column_name")
 
 
 FKS = [("orders", "fk_b", ["customer_id"], "customers", ["customer_id"]), ("Orders", "fk_a", ["CUSTOMER_ID"], "customers", ["customer_id"]), ("orders", "fk_x", ["x"], "nowhere", ["x"]), ("stores", "fk_s", ["a", "b"], "orders", ["order_id", "note"])]
@@ -106,13 +140,13 @@ FKS = [("orders", "fk_b", ["customer_id"], "customers", ["customer_id"]), ("Orde
 @query(f"select arg_min(t, c) as table_name, min(c) as constraint_name from {values_sql(FKS, 't, c, cols, r, rcols')} where r <> 'nowhere' group by lower(t), lower(array_to_string(cols, ',')), lower(r), lower(array_to_string(rcols, ','))")
 def fk_join_edges(spark, folder):
     fks = spark.createDataFrame(FKS, "table_name string, constraint_name string, columns array<string>, ref_table string, ref_columns array<string>")
-    known = versions(spark)[0].select(C("table_physical").alias("table_name")).distinct()
+    known = versions(spark, folder)[0].select(C("table_physical").alias("table_name")).distinct()
     return catalog.join_edges(fks, known).select("table_name", "constraint_name")
 
 
 @query(f"select table_physical as table_name, physical as column_name, is_pk, comment from {OLD_SQL} where physical <> ''")
 def metadata_join(spark, folder):
-    rows = versions(spark)[0].where("physical != ''").select(C("table_physical").alias("table_name"), C("physical").alias("column_name"), "is_pk", "comment")
+    rows = versions(spark, folder)[0].where("physical != ''").select(C("table_physical").alias("table_name"), C("physical").alias("column_name"), "is_pk", "comment")
     on = ["table_name", "column_name"]
     return catalog.with_metadata(rows.select(*on), rows.where("is_pk").select(*on), rows.where("comment is not null").select(*on, "comment"))
 
@@ -132,7 +166,7 @@ def missing_type_groups(spark, folder):
 
 @query(f"select sheet, table_id, position, row_number() over (partition by sheet, table_id order by case when physical <> '' then lower(physical) else lower(replace(logical, ' ', '_')) end) as place from {OLD_SQL}")
 def canonical_columns(spark, folder):
-    return catalog.canonical(versions(spark)[0]).select("sheet", "table_id", "position", "place")
+    return catalog.canonical(versions(spark, folder)[0]).select("sheet", "table_id", "position", "place")
 
 
 @query(VERSIONS + """select '{"o_orderkey":' || o_orderkey || '}' as row_key, status from cmp where status <> 'unchanged'""")
