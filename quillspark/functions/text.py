@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import reduce
 from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def normalize_name(c: Column) -> Column:
@@ -181,6 +184,16 @@ def comment_meaning(c: Column) -> Column:
 SEPARATORS = r"[\s_\-./\\]+"
 
 
+@F.pandas_udf(T.StringType())
+def _compatible(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
+def nfkc(c: Column) -> Column:
+    """Compatibility forms (full width, half width, circled, ligatures) as what they stand for, composed. ASCII stays in the JVM."""
+    return F.when(c.rlike(r"^[\x00-\x7F]*$"), c).otherwise(_compatible(c))
+
+
 def search_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), SEPARATORS, "")
 
@@ -196,10 +209,11 @@ def allowed_edits(query: str) -> int:
 
 def fuzzy_match(c: Column, query: str) -> Column:
     """If a name has the query in it, as a part, as a subsequence (from three characters on), or within the allowed edits of one
-    of its words or of its beginning. Case and separators have no meaning; full-width forms are taken as they are."""
-    q = re.sub(SEPARATORS, "", query.lower())
+    of its words or of its beginning. Case, separators and compatibility forms have no meaning."""
+    q = re.sub(SEPARATORS, "", unicodedata.normalize("NFKC", query).lower())
     if not q:
         return F.lit(True)
+    c = nfkc(c)
     name, tokens = search_key(c), search_tokens(c)
     within = ".*".join(map(re.escape, q)) if len(q) >= 3 else None
     near = lambda x: F.levenshtein(x, F.lit(q)) <= allowed_edits(q)

@@ -59,4 +59,4 @@ def values_sql(rows: list[tuple], names: str, alias: str = "t") -> str:
     return f"(values {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) as {alias}({names})"
 
 
-from quillspark.plans import cell_queries, ddl_queries, diff_queries, function_queries, grid_queries, library_queries, matching_queries, relational_queries, schema_queries, source_queries, transfer_queries, version_queries, view_queries, workbench_queries  # noqa: E402, F401
+from quillspark.plans import cell_queries, ddl_queries, diff_queries, function_queries, grid_queries, library_queries, matching_queries, relational_queries, schema_queries, source_queries, store_queries, transfer_queries, version_queries, view_queries, workbench_queries  # noqa: E402, F401

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.operators import ddl
@@ -134,6 +135,31 @@ def ddl_import_doubts(spark, folder):
     return ddl_text.issues(ddl_text.imported_tables(df), ddl_text.imported_columns(df)).select("severity", "table_name", "column_name")
 
 
+SIDES = """(select *, row_number() over (partition by p_brand, side order by p_partkey) as i from (select p_brand, p_partkey, p_partkey % 2 as side, p_size, p_type from part))"""
+
+
+def side_by_side(spark, folder):
+    """A sheet for each brand with two tables beside each other, of parts with even and with odd keys, and a third one below."""
+    part = table(spark, folder, "part").withColumn("side", (C("p_partkey") % 2).cast("int"))
+    place = F.row_number().over(W.partitionBy("p_brand", "side").orderBy("p_partkey"))
+    head, none = ["No", "論理名", "物理名", "データ型", "Size"], F.array(*map(F.lit, [""] * 5))
+    lit = lambda cells: F.array(*map(F.lit, cells))
+    cells = part.select("p_brand", "side", place.alias("row_idx"), F.array(place.cast("string"), C("p_type"), F.concat(F.lit("c_"), C("p_partkey")), F.lit("varchar"), C("p_size").cast("string")).alias("x"))
+    rows = cells.groupBy("p_brand", "row_idx").agg(F.max(F.when(C("side") == 0, C("x"))).alias("a"), F.max(F.when(C("side") == 1, C("x"))).alias("b"))
+    rows = rows.select("p_brand", (C("row_idx") + 2).alias("row_idx"), F.concat(F.coalesce("a", none), lit(["", ""]), F.coalesce("b", none)).alias("cells"))
+    brands = part.groupBy("p_brand").agg(F.lit(1).alias("n"))
+    name = lambda side: F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit(f"_{side}"))
+    label = brands.select("p_brand", F.lit(0).alias("row_idx"), F.array(F.lit("物理テーブル名"), name(0), F.lit(""), F.lit(""), F.lit(""), F.lit(""), F.lit(""), F.lit("物理テーブル名"), name(1)).alias("cells"))
+    headers = brands.select("p_brand", F.lit(1).alias("row_idx"), lit([*head, "", "", *head]).alias("cells"))
+    grid_ = label.unionByName(headers).unionByName(rows)
+    return grid_.select(F.lit("x").alias("path"), F.lit(1).alias("sheet_no"), C("p_brand").alias("sheet"), C("row_idx").cast("int").alias("row_idx"), "cells")
+
+
+@query(f"select p_brand as sheet, replace(lower(p_brand), '#', '_') || '_' || side as table_name, i as position, 'c_' || p_partkey as physical_name, p_type as logical_name, p_size::varchar as size from {SIDES}")
+def side_by_side_tables(spark, folder):
+    return workbook.all_definitions(side_by_side(spark, folder)).select("sheet", "table_name", "position", "physical_name", "logical_name", "size")
+
+
 FKS = [("orders", "fk_b", ["customer_id"], "customers", ["customer_id"]), ("Orders", "fk_a", ["CUSTOMER_ID"], "customers", ["customer_id"]), ("orders", "fk_x", ["x"], "nowhere", ["x"]), ("stores", "fk_s", ["a", "b"], "orders", ["order_id", "note"])]
 
 

@@ -277,3 +277,34 @@ def patched(grid: DataFrame, patches: DataFrame) -> DataFrame:
     by_row = patches.groupBy("sheet", "row_idx").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "value"))).alias("p"))
     cells = F.when(F.col("p").isNull(), F.col("cells")).otherwise(F.transform("cells", lambda x, i: F.coalesce(F.col("p")[i], x)))
     return grid.join(by_row, ["sheet", "row_idx"], "left").withColumn("cells", cells).select(*grid.columns)
+
+
+#: Columns to the left of a table's label that belong to it, where tables stand side by side.
+SIDE_LEFT = 2
+
+
+def strips(grid: DataFrame) -> DataFrame:
+    """The parts of sheets where tables stand side by side, as sheets of their own: ``grid`` with strip (from 1, within the sheet), and the
+    cells of that strip. A row with several table labels begins a band, which ends at the next such row; each label's strip goes
+    from a little left of it to a little left of the next label, or to the end of the row."""
+    t = F.transform("cells", token)
+    places = F.filter(F.transform(t, lambda x, i: F.when(x.isin(TABLE_NAME), i)), lambda i: i.isNotNull())
+    rows = grid.withColumn("_at", places)
+    begins = F.size("_at") > 1
+    band = F.sum(begins.cast("int")).over(W.partitionBy("path", "sheet").orderBy("row_idx"))
+    rows = rows.withColumn("_band", band).where("_band > 0")
+    heads = rows.where(begins).select("path", "sheet", "_band", F.posexplode(F.transform("_at", lambda x, i: F.struct(F.greatest(x - SIDE_LEFT, F.lit(0)).alias("a"), (F.coalesce(F.get("_at", i + 1), F.lit(1 << 20)) - SIDE_LEFT).alias("b")))).alias("_i", "_x"))
+    heads = heads.withColumn("strip", F.row_number().over(W.partitionBy("path", "sheet").orderBy("_band", "_i")))
+    cut = F.slice("cells", F.col("_x.a") + 1, F.col("_x.b") - F.col("_x.a"))
+    return rows.join(heads, ["path", "sheet", "_band"]).withColumn("cells", cut).select(*grid.columns, "strip")
+
+
+def all_definitions(grid: DataFrame, empty_rows: int = 10) -> DataFrame:
+    """``table_definitions`` of tables side by side, and then of those below each other; of equal names in a sheet the first counts."""
+    mark = "\u0001"
+    side = strips(grid).withColumn("sheet", F.concat_ws(mark, "sheet", "strip")).drop("strip")
+    beside = table_definitions(side, empty_rows).withColumn("_strip", F.element_at(F.split("sheet", mark), -1).cast("int")).withColumn("sheet", F.element_at(F.split("sheet", mark), 1))
+    first = F.min("_strip").over(W.partitionBy("path", "sheet", "table_name"))
+    beside = beside.withColumn("_first", first).where("_strip = _first").drop("_strip", "_first")
+    names = beside.select("path", "sheet", "table_name").distinct()
+    return beside.unionByName(table_definitions(grid, empty_rows).join(names, ["path", "sheet", "table_name"], "left_anti"))
