@@ -35,12 +35,13 @@ def stable_key(primary: list[str], unique: list[list[str]], business: list[str])
     return found
 
 
-def keep_last(df: DataFrame, keys: list[str], ordinal: list[Column]) -> DataFrame:
-    """One row a key: the one that comes last in the ordinal. An aggregate, so each task sends one row a key and a key that very
-    many rows have is no burden."""
-    rest = [c for c in df.columns if c not in keys]
+def keep_last(df: DataFrame, keys: list[str], ordinal: list[Column], columns: list[str] | None = None) -> DataFrame:
+    """One row a key: the one that comes last in the ordinal, with ``columns`` or all. An aggregate, so each task sends one row a key
+    and a key that very many rows have is no burden; only what is asked for is carried."""
+    columns = columns or df.columns
+    rest = [c for c in columns if c not in keys]
     last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*ordinal)).alias("_row")) if rest else df.select(*keys).distinct()
-    return last.select(*(F.col(f"_row.{c}").alias(c) if c in rest else F.col(c) for c in df.columns))
+    return last.select(*(F.col(f"_row.{c}").alias(c) if c in rest else F.col(c) for c in columns))
 
 
 def suggested_action(status: Column) -> Column:

@@ -89,7 +89,7 @@ def snapshot_hash(spark, folder):
 @query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_shipdate desc, l_partkey desc, l_suppkey desc, l_extendedprice desc) as r from lineitem) where r = 1""")
 def dedupe_keep_last(spark, folder):
     order = [F.col(c) for c in ("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice")]
-    return diff.keep_last(table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"], order).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return diff.keep_last(table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"], order, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
 
 
 @query(VERSIONS + """select o_orderkey, case when status = 'source_only' then s_custkey else t_custkey end as o_custkey, case when status in ('source_only', 'value_changed') then s_status else t_status end as o_orderstatus,

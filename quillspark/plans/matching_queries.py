@@ -84,7 +84,7 @@ def dice_sql(x: str, y: str) -> str:
     return f"(case when {a} = {b} then 1.0 when {a} = '' or {b} = '' then 0.0 else 2.0 * {shared} / (len({p}) + len({q})) end)"
 
 
-COLUMN_SCORE = f"cast(round(0.45 * {dice_sql('o.physical', 'n.physical')} + 0.2 * {dice_sql('o.logical', 'n.logical')} + 0.2 * (case when o.data_type is not distinct from n.data_type and o.size is not distinct from n.size then 1 else 0 end) + 0.1 * (case when o.not_null = n.not_null and o.is_pk = n.is_pk then 1 else 0 end) + 0.05 * {dice_sql('o.comment', 'n.comment')}, 6) as double)"
+COLUMN_SCORE = f"cast(round(round(0.45 * {dice_sql('o.physical', 'n.physical')} + 0.2 * {dice_sql('o.logical', 'n.logical')} + 0.2 * (case when o.data_type is not distinct from n.data_type and o.size is not distinct from n.size then 1 else 0 end) + 0.1 * (case when o.not_null = n.not_null and o.is_pk = n.is_pk then 1 else 0 end) + 0.05 * {dice_sql('o.comment', 'n.comment')}, 9), 6) as double)"
 
 
 @query(f"select o.table_id, o.position as old_position, n.position as new_position, {COLUMN_SCORE} as score from {OLD_SQL} join {NEW_SQL} on o.sheet = n.sheet and o.table_id = n.table_id")
@@ -96,7 +96,7 @@ def column_scores(spark, folder):
 
 TABLES_SQL = "(select sheet, table_id as id, max(table_logical) as logical, max(table_physical) as physical, list(distinct case when physical <> '' then lower(physical) else lower(replace(logical, ' ', '_')) end) as names, string_agg(coalesce(comment, ''), '|' order by position) as comments from {0} group by sheet, table_id)"
 SIDES = f"{TABLES_SQL.format(OLD_SQL)} o join {TABLES_SQL.format(NEW_SQL)} n on o.sheet = n.sheet"
-TABLE_SCORE = f"cast(round(0.35 * {dice_sql('o.physical', 'n.physical')} + 0.25 * {dice_sql('o.logical', 'n.logical')} + 0.3 * len(list_intersect(o.names, n.names)) / len(list_distinct(list_concat(o.names, n.names))) + 0.1 * {dice_sql('o.comments', 'n.comments')}, 6) as double)"
+TABLE_SCORE = f"cast(round(round(0.35 * {dice_sql('o.physical', 'n.physical')} + 0.25 * {dice_sql('o.logical', 'n.logical')} + 0.3 * len(list_intersect(o.names, n.names)) / len(list_distinct(list_concat(o.names, n.names))) + 0.1 * {dice_sql('o.comments', 'n.comments')}, 9), 6) as double)"
 
 
 @query(f"select o.sheet, o.id as old_id, n.id as new_id, {TABLE_SCORE} as score from {SIDES}")
