@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import ddl, matching, statements
 from quillspark.plans.matching_queries import OLD_SQL, fixed_versions, versions
-from quillspark.plans.registry import query, values_sql
+from quillspark.plans.registry import query, table, values_sql
 
 TYPE = "case when data_type in ('varchar', 'char') then data_type || '(' || coalesce(size, '255') || ') CHARACTER SET utf8mb4 COLLATE utf8mb4_bin' when data_type = 'decimal' then 'decimal(' || coalesce(size, '10,2') || ')' when data_type = 'boolean' then 'tinyint(1)' else data_type || coalesce('(' || size || ')', '') end"
 FIRST = "auto_increment and is_pk and data_type in ('int', 'bigint')"
@@ -32,23 +32,26 @@ def create_oracle(spark, folder):
 COUNTED = [("s", 1, 1, "id", "int(11)", True, True), ("s", 1, 2, "second", "bigint", True, True), ("s", 1, 3, "text_key", "varchar(5)", True, True), ("s", 1, 4, "other", "int", False, True), ("s", 2, 1, "id", "INTEGER", True, True), ("s", 2, 2, "plain", "int", True, False), ("s", 3, 1, "none", None, True, True)]
 
 
-def counted(spark):
+def counted(spark, folder):
+    part, k = table(spark, folder, "part"), F.col("p_partkey")
+    kind = F.when(k % 3 == 0, "int").when(k % 3 == 1, "BIGINT(20)").otherwise("varchar(9)")
+    more = part.select(F.lit("s").alias("sheet"), (F.col("p_size") + 100).alias("table_id"), F.concat(F.lit("t"), F.col("p_size") + 100).alias("table_physical"), k.cast("int").alias("position"), F.concat(F.lit("c"), k).alias("physical"), kind.alias("data_type"), (k % 2 == 0).alias("is_pk"), (k % 5 < 3).alias("auto_increment"))
     rows = [(s, t, None, f"t{t}", p, None, name, kind, None, False, pk, auto, None) for s, t, p, name, kind, pk, auto in COUNTED]
-    return spark.createDataFrame(rows, matching.DEFINITION)
+    return spark.createDataFrame(rows, matching.DEFINITION).unionByName(more.withColumn("not_null", F.lit(False)), allowMissingColumns=True)
 
 
-PLAN_SQL = f"(select *, case when not auto then null when not pk then 'not_primary_key' when coalesce(not regexp_matches(lower(kind), '^(tinyint|smallint|int|integer|bigint)([(].*)?$'), true) then 'non_numeric_type' else 'enabled' end as r from {values_sql(COUNTED, 'sheet, table_id, position, name, kind, pk, auto')})"
+PLAN_SQL = f"(select *, case when not auto then null when not pk then 'not_primary_key' when coalesce(not regexp_matches(lower(kind), '^(tinyint|smallint|int|integer|bigint)([(].*)?$'), true) then 'non_numeric_type' else 'enabled' end as r from (select * from {values_sql(COUNTED, 'sheet, table_id, position, name, kind, pk, auto')} union all select 's', p_size + 100, p_partkey, 'c' || p_partkey, case p_partkey % 3 when 0 then 'int' when 1 then 'BIGINT(20)' else 'varchar(9)' end, p_partkey % 2 = 0, p_partkey % 5 < 3 from part))"
 
 
 @query(f"select table_id, position, case when r = 'enabled' and row_number() over (partition by table_id, r order by position) > 1 then 'multiple_auto_increment' else r end as auto_plan from {PLAN_SQL}")
 def auto_increment_plan(spark, folder):
-    return ddl.auto_increment_plan(counted(spark)).select("table_id", "position", "auto_plan")
+    return ddl.auto_increment_plan(counted(spark, folder)).select("table_id", "position", "auto_plan")
 
 
-@query(f"select 't' || table_id as table_name, name as column_name, case when r = 'enabled' then 'multiple_auto_increment' else r end as reason from {PLAN_SQL} where r <> 'enabled' or (r = 'enabled' and position = 2) union all select 'ora', 't' || table_id || '.' || name, 'dialect_unsupported' from {PLAN_SQL} where auto")
+@query(f"select 't' || table_id as table_name, name as column_name, case when r = 'enabled' then 'multiple_auto_increment' else r end as reason from (select *, row_number() over (partition by table_id, r order by position) as nth from {PLAN_SQL}) where r <> 'enabled' or (r = 'enabled' and nth > 1) union all select 'ora', 't' || table_id || '.' || name, 'dialect_unsupported' from {PLAN_SQL} where auto")
 def auto_increment_warnings(spark, folder):
-    oracle = ddl.auto_increment_warnings(counted(spark), "oracle")
-    return ddl.auto_increment_warnings(counted(spark)).unionByName(oracle.select(F.lit("ora").alias("table_name"), F.concat_ws(".", "table_name", "column_name").alias("column_name"), "reason"))
+    oracle = ddl.auto_increment_warnings(counted(spark, folder), "oracle")
+    return ddl.auto_increment_warnings(counted(spark, folder)).unionByName(oracle.select(F.lit("ora").alias("table_name"), F.concat_ws(".", "table_name", "column_name").alias("column_name"), "reason"))
 
 
 @query(f"select 'Crt_' || table_physical || '.sql' as path from {OLD_SQL} where table_physical <> '' group by sheet, table_physical union all select 'export_errors.txt'")

@@ -72,9 +72,10 @@ HASHED = [("a", None, 1), ("null", "x|b=y", None), (None, "null", 2), ('quote"',
 JSON_SQL = """'{"a":' || coalesce('"' || replace(a, '"', chr(92) || '"') || '"', 'null') || ',"b":' || coalesce('"' || replace(b, '"', chr(92) || '"') || '"', 'null') || ',"n":' || coalesce(cast(n as varchar), 'null') || '}'"""
 
 
-@query(f"select n, sha256({JSON_SQL}) as h from {values_sql(HASHED, 'b, a, n')}")
+@query(f"""select n, sha256({JSON_SQL}) as h from (select * from {values_sql(HASHED, 'b, a, n')} union all select p_name, p_brand || '"', p_partkey + 1000 from part)""")
 def snapshot_row_hashes(spark, folder):
-    rows = spark.createDataFrame(HASHED, "b string, a string, n int")
+    parts = table(spark, folder, "part").select(F.col("p_name").alias("b"), F.concat("p_brand", F.lit('"')).alias("a"), (F.col("p_partkey") + 1000).cast("int").alias("n"))
+    rows = spark.createDataFrame(HASHED, "b string, a string, n int").unionByName(parts)
     return rows.select("n", diff.row_hash(rows).alias("h"))
 
 

@@ -35,9 +35,10 @@ def listed_tables(spark, folder):
 SAME = [(1, " a  b ", "a b"), (2, None, ""), (3, "x", "X"), (4, "varchar( 20 )", "varchar(20)"), (5, "-", None), (6, "a\n b", "a b")]
 
 
-@query(rf"select id, regexp_replace(coalesce(nullif(trim(a), ''), '-'), '\s+', ' ', 'g') = regexp_replace(coalesce(nullif(trim(b), ''), '-'), '\s+', ' ', 'g') as same, coalesce(nullif(trim(a), ''), '-') as shown from {values_sql(SAME, 'id, a, b')}")
+@query(rf"select id, regexp_replace(coalesce(nullif(trim(a), ''), '-'), '\s+', ' ', 'g') = regexp_replace(coalesce(nullif(trim(b), ''), '-'), '\s+', ' ', 'g') as same, coalesce(nullif(trim(a), ''), '-') as shown from (select * from {values_sql(SAME, 'id, a, b')} union all select p_partkey + 1000, p_name, case when p_partkey % 2 = 0 then replace(p_name, ' ', '  ') else p_type end from part)")
 def shown_values(spark, folder):
-    return spark.createDataFrame(SAME, "id int, a string, b string").select("id", visibility.semantically_equal(C("a"), C("b")).alias("same"), visibility.shown(C("a")).alias("shown"))
+    parts = table(spark, folder, "part").select((C("p_partkey") + 1000).cast("int").alias("id"), C("p_name").alias("a"), F.when(C("p_partkey") % 2 == 0, F.replace("p_name", F.lit(" "), F.lit("  "))).otherwise(C("p_type")).alias("b"))
+    return spark.createDataFrame(SAME, "id int, a string, b string").unionByName(parts).select("id", visibility.semantically_equal(C("a"), C("b")).alias("same"), visibility.shown(C("a")).alias("shown"))
 
 
 A = "\n".join(f"line {i}" for i in range(30))
