@@ -104,7 +104,7 @@ def test_dice_counts_repeats(spark):
 
 def test_greedy_pairs_are_one_to_one(spark):
     scores = spark.createDataFrame([("t", 1, 1, 0.9), ("t", 1, 2, 0.8), ("t", 2, 1, 0.85), ("t", 2, 2, 0.3)], "scope string, old_id int, new_id int, score double")
-    assert {(r["old_id"], r["new_id"]) for r in matching.greedy(scores, ["scope"]).collect()} == {(1, 1), (2, 2)}
+    assert {(r["old_id"], r["new_id"]) for r in matching.similarity.one_to_one(scores, ["scope"]).collect()} == {(1, 1), (2, 2)}
 
 
 def test_statements():
