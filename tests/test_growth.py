@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import similarity
+from quillspark.operators import matching, similarity
+from quillspark.plans import registry
 
 WORDS = ["large ring", "small ring", "hot bolt", "hot bolts", "cold plate", "x"]
 
@@ -46,3 +47,13 @@ def test_halves_are_rounded_like_spark(spark):
     x = [0.0140625, 0.45 * 5 / 32, 0.1234565, 0.5, 1.0, 0.0, 1 / 3, 0.2 * 0.7 + 0.45]
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, v double").orderBy("i").select(F.round(F.round("v", 9), 6)).collect()
     assert similarity.rounded(similarity.rounded(np.array(x), 9), 6).tolist() == [r[0] for r in rows]
+
+
+def test_column_scores_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 2)
+    old, new = registry.matching_queries.fixed_versions(spark)
+    scope = ["sheet", "table_id"]
+    struct = lambda df, side: df.select(*scope, F.struct("position", *matching.FIELDS).alias(side))
+    each = struct(old, "o").join(struct(new, "n"), scope).select(*scope, "o.position", "n.position", matching.column_score(F.col("o"), F.col("n"))).collect()
+    got = matching.column_scores(old, new, scope).select(*scope, "old_position", "new_position", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, each)) and len(got) > 20
