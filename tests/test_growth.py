@@ -1,11 +1,13 @@
 """What grew faster than its input: many copies of a name, common bigrams, long texts, and pages and files in one task."""
 
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import text
 from quillspark.operators import matching, similarity
 from quillspark.plans import registry
 
@@ -57,3 +59,11 @@ def test_column_scores_by_blocks(spark, monkeypatch):
     each = struct(old, "o").join(struct(new, "n"), scope).select(*scope, "o.position", "n.position", matching.column_score(F.col("o"), F.col("n"))).collect()
     got = matching.column_scores(old, new, scope).select(*scope, "old_position", "new_position", "score").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, each)) and len(got) > 20
+
+
+def test_long_texts_are_compared_in_proportion(spark):
+    """Equal bigrams are numbered without looking for the first of them each time."""
+    n = 120_000
+    began = time.perf_counter()
+    row = spark.range(1).select(text.dice(F.repeat(F.lit("ab"), n // 2), F.concat(F.repeat(F.lit("ab"), n // 2 - 1), F.lit("b"))).alias("d")).first()
+    assert row["d"] == pytest.approx(2 * (n - 3) / (2 * n - 3), abs=1e-12) and time.perf_counter() - began < 20
