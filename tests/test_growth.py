@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
-from quillspark.operators import matching, similarity
+from quillspark.operators import matching, names, range_index, similarity
 from quillspark.plans import registry
 
 WORDS = ["large ring", "small ring", "hot bolt", "hot bolts", "cold plate", "x"]
@@ -67,3 +67,34 @@ def test_long_texts_are_compared_in_proportion(spark):
     began = time.perf_counter()
     row = spark.range(1).select(text.dice(F.repeat(F.lit("ab"), n // 2), F.concat(F.repeat(F.lit("ab"), n // 2 - 1), F.lit("b"))).alias("d")).first()
     assert row["d"] == pytest.approx(2 * (n - 3) / (2 * n - 3), abs=1e-12) and time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize("most", [64, 13])
+def test_names_told_apart_by_spark_as_one_by_one(spark, most):
+    r = random.Random(6)
+    found = ["a", "a_2", "A", "b", "b_7", "a_2_2", "brand_1", "brand_2", "abcdefghijkl", "abcdefghijkm", "x_9_"]
+    rows = [(k % 2, k, r.choice(found)) for k in range(120)]
+    got = {x["k"]: (x["after"], list(x["reasons"])) for x in names.name_plan(spark.createDataFrame(rows, "s int, k int, name string"), ["s"], "k", ["name"], "'x'", most=most).collect()}
+    plain = {x["k"]: x["p"] for x in spark.createDataFrame(rows, "s int, k int, name string").select("k", text.physical_name(F.col("name"), "").alias("p")).collect()}
+    for s in (0, 1):
+        keys = [k for t, k, _ in rows if t == s]
+        used = set()
+        for k in keys:
+            tries = [plain[k], *(names.suffixed(plain[k], f"_{i}", most) for i in range(2, 200))]
+            expected = next(x for x in tries if x not in used)
+            used.add(expected)
+            assert got[k] == (expected, ["duplicate_resolved"] if expected != plain[k] else [])
+
+
+def test_more_than_ten_thousand_equal_names():
+    after, stuck = names.told_apart(["a"] * 12_000, [""] * 12_000, 64, "suffix_increment")
+    assert after[-1] == "a_12000" and not any(stuck)
+
+
+def test_pages_over_many_ranges_are_no_single_task(spark, monkeypatch):
+    monkeypatch.setattr(range_index, "RANGE_ROWS", 50)
+    index = range_index.RangeIndex(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")), ["k"], ranges=5)
+    assert len(index.parts) >= 18
+    for offset, limit in ((0, 999), (130, 500), (700, 400), (49, 51)):
+        page = index.page(limit, offset)
+        assert [x["k"] for x in page.collect()] == list(range(offset, min(1000, offset + limit + 1)))
