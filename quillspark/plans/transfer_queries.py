@@ -15,15 +15,15 @@ from quillspark.sources import archives, csv_blocks
 
 
 def csv_file(df: DataFrame, newline: str = "\r\n") -> str:
-    """One CSV file without a header, as a client would send it."""
+    """CSV without a header, as a client would send it, in a folder: a file for each task that writes, so that none writes all rows."""
     path = fresh_dir(df.sparkSession, "csv")
-    df.select(F.concat_ws(",", *(text.csv_cell(F.col(c), ",", "\r") for c in df.columns)).alias("line")).coalesce(1).write.option("lineSep", newline).text(path)
+    df.select(F.concat_ws(",", *(text.csv_cell(F.col(c), ",", "\r") for c in df.columns)).alias("line")).write.option("lineSep", newline).text(path)
     return path
 
 
 @query("select doc_id, lang, md5(text) as digest, length(text) as n_chars from (select doc_id, lang, nullif(text, '') as text from documents)")
 def csv_documents(spark, folder):
-    """Texts with line ends, quotes and commas, written as one CSV file and read block by block."""
+    """Texts with line ends, quotes and commas, written as CSV and read block by block."""
     path = csv_file(table(spark, folder, "documents").select("doc_id", "text", "lang"))
     rows = csv_blocks.read_csv_blocks(spark, path, "doc_id long, text string, lang string", header=False)
     return rows.select("doc_id", "lang", F.md5("text").alias("digest"), F.length("text").alias("n_chars"))

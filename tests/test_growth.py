@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text
 from quillspark.operators import matching, names, range_index, similarity
-from quillspark.plans import registry
+from quillspark.plans import registry, transfer_queries
 
 WORDS = ["large ring", "small ring", "hot bolt", "hot bolts", "cold plate", "x"]
 
@@ -98,3 +98,11 @@ def test_pages_over_many_ranges_are_no_single_task(spark, monkeypatch):
     for offset, limit in ((0, 999), (130, 500), (700, 400), (49, 51)):
         page = index.page(limit, offset)
         assert [x["k"] for x in page.collect()] == list(range(offset, min(1000, offset + limit + 1)))
+
+
+def test_csv_is_written_by_many_tasks(spark):
+    df = spark.range(40).select(F.col("id"), F.concat(F.lit('a "b",\n'), "id").alias("t")).repartition(4)
+    path = transfer_queries.csv_file(df)
+    assert spark.read.text(path).select(F.input_file_name()).distinct().count() == 4
+    rows = transfer_queries.csv_blocks.read_csv_blocks(spark, path, "id long, t string", header=False).collect()
+    assert sorted(map(tuple, rows)) == [(i, f'a "b",\n{i}') for i in range(40)]
