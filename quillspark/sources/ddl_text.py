@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import cells
+from quillspark.shared import settled
 
+#: Tasks of a core that scripts are dealt to.
+TASKS = 4
 NAME = r"[`\"]?([\p{L}\p{N}_$]+)[`\"]?"
 
 
@@ -28,7 +31,9 @@ _INNER = rf"\((?:{QUOTED}|[^()'\"`]|\((?:{QUOTED}|[^()'\"`])*+\))*+\)"
 
 
 def create_tables(scripts: DataFrame, sql: str = "sql") -> DataFrame:
-    """The other columns of ``scripts``, table_no, table_name, body and options of each CREATE TABLE."""
+    """The other columns of ``scripts``, table_no, table_name, body and options of each CREATE TABLE. Reading a script takes far longer
+    than moving it, so scripts are dealt to all tasks, however few files they come from."""
+    scripts = scripts.repartition(TASKS * scripts.sparkSession.sparkContext.defaultParallelism)
     body = F.regexp_replace(F.col(sql), rf"({QUOTED})|{COMMENT}", "$1 ")
     found = F.regexp_extract_all(body, F.lit(rf"(?is)\bcreate\s+table\s+(?:{QUOTED}|[^;'\"`])*+"), F.lit(0))
     rows = scripts.withColumn("x", found).select(*[c for c in scripts.columns if c != sql], F.posexplode("x").alias("table_no", "statement"))
@@ -62,7 +67,7 @@ KEY_ITEM = r"(?i)^(constraint\b|primary key\b|unique\b|key\b|index\b|foreign key
 def imported_columns(scripts: DataFrame, sql: str = "sql") -> DataFrame:
     """Columns of the tables in scripts: table_no, table_name, position, column_name, type, size, not_null, auto_increment, comment, is_pk (by
     the column itself or by a PRIMARY KEY of the table), default_value (as it is written) and is_unique (by the column itself)."""
-    every = items(create_tables(scripts, sql))
+    every = settled(items(create_tables(scripts, sql)), "items")  # asked for several times, and dear
     kept = [c for c in scripts.columns if c != sql]
     made = every.where(~F.col("item").rlike(KEY_ITEM))
     name, rest = F.regexp_extract("item", rf"^{NAME}", 1), F.regexp_replace("item", rf"^{NAME}\s*", "")
@@ -84,7 +89,7 @@ def imported_keys(scripts: DataFrame, sql: str = "sql") -> DataFrame:
     """Foreign keys and indexes of the tables in scripts: kind (foreign, unique or index), key_name, columns, ref_table, ref_columns, on_delete
     and on_update (in upper case, null where nothing is said)."""
     kept = [c for c in scripts.columns if c != sql]
-    rows = items(create_tables(scripts, sql)).where(F.col("item").rlike(KEY_ITEM) & ~F.col("item").rlike(r"(?i)^(constraint \S+ )?(primary key|check)"))
+    rows = settled(items(create_tables(scripts, sql)), "items").where(F.col("item").rlike(KEY_ITEM) & ~F.col("item").rlike(r"(?i)^(constraint \S+ )?(primary key|check)"))
     kind = F.when(F.col("item").rlike(r"(?i)\bforeign key\b"), "foreign").when(F.col("item").rlike(r"(?i)\bunique\b"), "unique").otherwise("index")
     named = F.coalesce(F.nullif(F.regexp_extract("item", rf"(?i)^constraint {NAME}", 1), F.lit("")), F.nullif(F.regexp_extract("item", rf"(?i)^(?:unique )?(?:key|index) {NAME}", 1), F.lit("")))
     listed = lambda pattern: F.transform(F.filter(F.split(F.regexp_extract("item", pattern, 1), ","), lambda c: F.trim(c) != ""), lambda c: F.trim(_bare(c)))
