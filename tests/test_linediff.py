@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from quillspark.operators import linediff
 
 
@@ -44,3 +46,30 @@ def test_diffs_rebuild_both_texts(spark):
             assert [(x["new_line"], x["content"]) for x in rows if x["type"] != "removed"] == list(enumerate(b, 1))
             stay = sum(x["type"] == "unchanged" for x in rows)
             assert stay == lcs(a, b) if whole > 5 else stay <= lcs(a, b)
+
+
+def test_only_one_line_feed_ends_a_text(spark):
+    """A text's last line feed goes, blank lines before it and other separators stay."""
+    texts = ["a\n\n", "\n", "", None, "a\r\r", "a\n ", "\n\n\n", "a\r\n\r\nb"]
+    expected = [["a", ""], [""], [], [], ["a", ""], ["a", " "], ["", "", ""], ["a", "", "b"]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").orderBy("id").select(linediff.lines_of(F.col("t"))).collect()
+    assert [r[0] for r in rows] == expected == [linediff.split_lines(t) for t in texts]
+
+
+def test_short_texts_are_compared_in_one_pass(spark):
+    """Their lines aren't shuffled, and a text is made once to be compared."""
+    df = spark.range(50).select("id", F.concat(F.lit("a\nb\n"), "id").alias("old_text"), F.concat(F.lit("a\nc\n"), "id").alias("new_text"))
+    diff = linediff.line_diff(df)
+    plan = diff._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+    assert diff.count() == 200
+
+
+def test_long_and_short_texts_side_by_side(spark, monkeypatch):
+    monkeypatch.setattr(linediff, "BATCH", 3)
+    texts = [(i, "\n".join(f"{i} {j}" for j in range(n)), "\n".join(f"{i} {j}" for j in range(n) if j % 4)) for i, n in enumerate([3, 40, 5, 41, 0])]
+    rows = linediff.line_diff(spark.createDataFrame(texts, "id int, old_text string, new_text string"), whole=9).collect()
+    for i, a, b in texts:
+        own = sorted((x for x in rows if x["id"] == i), key=lambda x: x["place"])
+        assert [x["place"] for x in own] == list(range(len(own)))
+        assert "\n".join(x["content"] for x in own if x["type"] != "added") == a and "\n".join(x["content"] for x in own if x["type"] != "removed") == b
