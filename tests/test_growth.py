@@ -106,3 +106,36 @@ def test_csv_is_written_by_many_tasks(spark):
     assert spark.read.text(path).select(F.input_file_name()).distinct().count() == 4
     rows = transfer_queries.csv_blocks.read_csv_blocks(spark, path, "id long, t string", header=False).collect()
     assert sorted(map(tuple, rows)) == [(i, f'a "b",\n{i}') for i in range(40)]
+
+
+def counting(df, seen):
+    """``df``, and in ``seen`` how many of its rows were made."""
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema)
+
+
+def test_definitions_are_made_once_for_all_changes(spark):
+    old, new = registry.matching_queries.fixed_versions(spark)
+    seen = spark.sparkContext.accumulator(0)
+    tables, columns = matching.schema_changes(counting(old, seen), counting(new, seen))
+    expected = old.count() + new.count()
+    assert matching.summary(tables, columns).first()["changed_columns"] == 4 and len(matching.changed_names(tables, columns).collect()) == 12
+    assert seen.value == expected
+
+
+def test_each_row_has_one_outcome(spark):
+    """Equal, empty and missing names, and ids that stand twice: a row is matched once or stays alone."""
+    schema = "s int, x struct<id: int, physical: string, logical: string, data_type: string, size: string, not_null: boolean, is_pk: boolean, comment: string>"
+    row = lambda s, i, p, l: (s, (i, p, l, "int", None, True, False, None))
+    old = [row(1, 1, "a", "A"), row(1, 2, "a", "A"), row(1, 3, "", "L"), row(1, 4, None, "L"), row(1, 5, None, None), row(1, 6, "order_number", "N"), row(2, 1, "a", "A"), row(2, 7, "b", "B"), row(2, 7, "b", "B"), row(3, 1, "z", "Z")]
+    new = [row(1, 1, "A ", "A"), row(1, 3, "", "l"), row(1, 8, "order_numbers", "N"), row(1, 9, "", None), row(2, 1, "b", "B"), row(2, 2, "", "A"), row(4, 1, "z", "Z")]
+    sides = [spark.createDataFrame(rows, schema) for rows in (old, new)]
+    got = [((r["s"], r["o"] and r["o"]["id"]), (r["s"], r["n"] and r["n"]["id"]), r["phase"]) for r in matching.outcome(*sides, ["s"], matching.column_score).collect()]
+    assert sorted(a for a, _, _ in got if a[1]) == sorted((s, x[0]) for s, x in old) and sorted(b for _, b, _ in got if b[1]) == sorted((s, x[0]) for s, x in new)
+    pairs = sorted((a, b[1], p) for a, b, p in got if a[1] and b[1])
+    assert pairs == [((1, 1), 1, "physical"), ((1, 3), 3, "logical"), ((1, 5), 9, "fuzzy"), ((1, 6), 8, "fuzzy"), ((2, 7), 1, "physical")]
+    assert all(p is None for a, b, p in got if not (a[1] and b[1]))
