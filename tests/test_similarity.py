@@ -54,3 +54,21 @@ def test_candidates_lose_no_match(spark):
     sides = [matching.tables_of(df).select("sheet", F.struct(F.col("table_id").alias("id"), "logical", "physical", "names", "comments").alias("x")) for df in registry.matching_queries.fixed_versions(spark)]
     found = [{tuple(x) for x in matching.matched(*sides, ["sheet"], matching.table_score, pairs=n).collect()} for n in (10**6, -1)]
     assert found[0] == found[1] and any("fuzzy" in x for x in found[0])
+
+
+def test_blocks_of_sets_under_keys_that_are_arrays(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "DENSE", 10**9)
+    sides = [spark.createDataFrame([(1, x) for x in names], "s int, x string").select("s", F.split("x", "").alias("key")).withColumn("grams", F.col("key")) for names in (["abc", "xyz"], ["abd", "xyz"])]
+    rows = similarity.similar_sets(*sides, ["s"], 0.5).collect()
+    assert {("".join(r["a"]), "".join(r["b"])): r["similarity"] for r in rows} == pytest.approx({("abc", "abd"): 2 / 3, ("xyz", "xyz"): 1})
+
+
+def test_candidates_of_two_sides_of_one_table(spark, monkeypatch):
+    """Equal sets under several ids, ids that are texts, and both sides from one frame; by rare elements and by blocks."""
+    rows = [(1, "a", "order", None), (1, "b", "order", None), (1, "c", None, "orders"), (1, "d", None, "zz"), (2, "e", "zz", None), (2, "f", None, "zz"), (None, "g", "zz", "zz")]
+    df = spark.createDataFrame(rows, "s int, id string, o string, n string")
+    sides = [df.where(F.col(c).isNotNull()).select("s", F.struct("id", F.col(c).alias("name")).alias("x")) for c in "on"]
+    for dense in (0, 10**9):
+        monkeypatch.setattr(similarity, "DENSE", dense)
+        found = similarity.candidates(*sides, ["s"], {"name": similarity.name_grams(F.col("x.name"))}, 0.5).collect()
+        assert sorted(map(tuple, found)) == [(1, "a", "c"), (1, "b", "c"), (2, "e", "f")]
