@@ -3,6 +3,7 @@
 import collections
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,37 @@ def test_candidates_of_two_sides_of_one_table(spark, monkeypatch):
         monkeypatch.setattr(similarity, "DENSE", dense)
         found = similarity.candidates(*sides, ["s"], {"name": similarity.name_grams(F.col("x.name"))}, 0.5).collect()
         assert sorted(map(tuple, found)) == [(1, "a", "c"), (1, "b", "c"), (2, "e", "f")]
+
+
+def test_blocks_are_shuffled_once_and_not_for_each_other_block(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 8)
+    r = random.Random(5)
+    rows = [[(s, k, r.choice(["", "a ", "b "]) + str(r.randint(0, 60))) for s, n in ((1, 300), (2, 5), (3, 20 * side), (None, 9)) for k in range(n)] for side in (0, 1)]
+    sides = [spark.createDataFrame(x, "s int, key int, name string").select("s", "key", F.array(similarity.name_grams(F.col("name"))).alias("sets")) for x in rows]
+    sc, java = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(java.double, 0), java.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in map(found.apply, range(found.size()))}
+
+    before = written()
+    got = {(x["s"], x["a"], x["b"]): x["score"] for x in similarity.block_scores(*sides, ["s"], [1.0]).collect()}
+    assert got == pytest.approx({(s, a, b): 1.0 if x == y else dice(x, y) for s, a, x in rows[0] for t, b, y in rows[1] if s == t is not None})
+    assert 600 < sum(n for k, n in written().items() if k not in before) < 6000  # 600 sets and 1,444 pairs of blocks; with a copy for each other block 22,800 sets
+
+
+def test_wide_blocks_are_looked_at_in_stretches(monkeypatch):
+    r = random.Random(7)
+    x, y = ([r.sample(range(40), r.randint(1, 30)) for _ in range(n)] for n in (9, 5))
+    for width in (1, 7, 40, 100):
+        monkeypatch.setattr(similarity, "WIDTH", width)
+        shared, n, m = similarity._shared(*(pa.chunked_array([pa.array([[str(e) for e in s] for s in z])]) for z in (x, y)))
+        assert shared.tolist() == [[len({*a} & {*b}) for b in y] for a in x] and [*n, *m] == [*map(len, x + y)]
+
+
+def test_runs_reach_over_batches():
+    rows = [(1, None), (1, None), (1, "a"), (2, "a"), (2, "a"), (2, "a"), (2, "b")]
+    table = pa.table({"s": [a for a, _ in rows], "t": [b for _, b in rows], "v": range(len(rows))})
+    for size in (1, 2, 3, 7):
+        assert [x["v"].to_pylist() for x in similarity._runs(table.to_batches(max_chunksize=size), ["s", "t"])] == [[0, 1], [2], [3, 4, 5], [6]]
